@@ -48,7 +48,11 @@ def with_ranges(df: DataFrame, cuts: dict[str, list[float]], suffix: str = "__ra
         outputCols=[col + suffix for col in cols],
         handleInvalid="keep",
     ).transform(df)
-    return ranged.withColumns({col + suffix: F.col(f"`{col}{suffix}`").cast("int") for col in cols})
+    # Never null, so that the later join on the range adds no filter to one of its sides only and
+    # both sides read the same shuffle.
+    return ranged.withColumns(
+        {col + suffix: F.coalesce(F.col(f"`{col}{suffix}`").cast("int"), F.lit(0)) for col in cols}
+    )
 
 
 def running_totals(
