@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["curves"]
+MODULES = ["curves", "cleaning"]
 
 
 def _catalogs():
