@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["curves", "cleaning"]
+MODULES = ["curves", "cleaning", "monitoring"]
 
 
 def _catalogs():
