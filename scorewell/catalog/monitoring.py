@@ -217,12 +217,11 @@ def alert_route(spark, sf_dir):
 
 @catalog.add(
     "alert_cooldown",
-    f"""WITH RECURSIVE {ALERTS}, hop AS (SELECT a.name, a.id, a.ts, min((b.ts, b.id)) AS nxt FROM alerts a
-  LEFT JOIN (SELECT name, ts, id FROM alerts) b ON b.name = a.name AND b.ts >= a.ts + INTERVAL 3000 SECOND
-    AND b.ts < a.ts + INTERVAL 30000 SECOND GROUP BY 1, 2, 3),
-sent AS (SELECT name, min((ts, id)) AS at FROM alerts GROUP BY name
-  UNION ALL SELECT s.name, h.nxt FROM sent s JOIN hop h ON h.name = s.name AND h.id = s.at[2] WHERE h.nxt IS NOT NULL)
-SELECT a.id, a.name, s.at IS NOT NULL AS sent FROM alerts a LEFT JOIN sent s ON s.name = a.name AND s.at[2] = a.id""",
+    f"""WITH RECURSIVE {ALERTS}, hop AS (SELECT name, id, first_value(id) OVER (PARTITION BY name ORDER BY ts
+    RANGE BETWEEN INTERVAL 3000 SECOND FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM alerts),
+sent AS (SELECT arg_min(id, ts) AS id FROM alerts GROUP BY name
+  UNION ALL SELECT h.nxt FROM sent s JOIN hop h ON h.id = s.id WHERE h.nxt IS NOT NULL)
+SELECT a.id, a.name, s.id IS NOT NULL AS sent FROM alerts a LEFT JOIN sent s ON s.id = a.id""",
 )
 def alert_cooldown(spark, sf_dir):
     marked = monitor.cooldown_filter(event_alerts(spark, sf_dir), seconds=3000)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -25,6 +26,27 @@ def c(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def q(name: str) -> str:
+    """A column name quoted for SQL text.
+
+    Expressions over many columns are built as SQL text: parsing one string on the JVM costs far
+    less than building the same tree call by call from Python.
+    """
+    return "`" + name.replace("`", "``") + "`"
+
+
+def lit_text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def lit_double(value: float) -> str:
+    if math.isnan(value):
+        return "double('NaN')"
+    if math.isinf(value):
+        return f"double('{'-' if value < 0 else ''}Infinity')"
+    return f"{float(value)!r}D"
+
+
 def is_numeric(dtype: T.DataType) -> bool:
     return isinstance(dtype, T.NumericType)
 
@@ -54,6 +76,25 @@ def as_double(df: DataFrame, name: str) -> Column:
     return present(name, df.schema[name].dataType).cast("double")
 
 
+def present_sql(name: str, dtype: T.DataType) -> str:
+    """``present`` as SQL text."""
+    return f"if(isnan({q(name)}), null, {q(name)})" if is_fraction(dtype) else q(name)
+
+
+def double_sql(df: DataFrame, name: str) -> str:
+    """``as_double`` as SQL text."""
+    return f"cast({present_sql(name, df.schema[name].dataType)} AS double)"
+
+
+def missing_sql(name: str, dtype: T.DataType) -> str:
+    missing = f"{q(name)} IS NULL"
+    return f"({missing} OR isnan({q(name)}))" if is_fraction(dtype) else f"({missing})"
+
+
+def count_sql(cond: str) -> str:
+    return f"count_if({cond})"
+
+
 def is_missing(name: str, dtype: T.DataType) -> Column:
     return c(name).isNull() | F.isnan(c(name)) if is_fraction(dtype) else c(name).isNull()
 
@@ -141,11 +182,11 @@ def count_if(cond: Column) -> Column:
     return F.coalesce(F.sum(cond.cast("long")), F.lit(0).cast("long"))
 
 
-def edge_bin(value: Column, edges: Sequence[float]) -> Column:
+def edge_bin_sql(value: str, edges: Sequence[float]) -> str:
     """1-based bin of ``value`` among ascending ``edges``; the last bin is closed, outside is null."""
-    n = len(edges) - 1
-    rank = sum((value >= F.lit(float(e))).cast("int") for e in edges)
-    return F.when((value >= F.lit(float(edges[0]))) & (value <= F.lit(float(edges[-1]))), F.least(F.lit(n), rank))
+    rank = " + ".join(f"int({value} >= {lit_double(e)})" for e in edges)
+    inside = f"{value} >= {lit_double(edges[0])} AND {value} <= {lit_double(edges[-1])}"
+    return f"if({inside}, least({len(edges) - 1}, {rank}), null)"
 
 
 def even_edges(low: float, high: float, bins: int) -> list[float]:
@@ -157,6 +198,6 @@ def safe_divide(num: Column, den: Column, default: float = 0.0) -> Column:
     return F.coalesce(F.try_divide(num.cast("double"), den.cast("double")), F.lit(default))
 
 
-def local_struct_rows(rows: Sequence[Column]) -> Column:
-    """``inline`` over a literal array of structs: several report rows from one."""
-    return F.inline(F.array(*rows))
+def inline_sql(rows: Sequence[str]) -> str:
+    """Several rows from one: ``inline`` over an array of structs given as SQL text."""
+    return f"inline(array({', '.join(rows)}))"

@@ -18,7 +18,10 @@ from scorewell.functions.exprs import (
     c,
     clamp,
     count_if,
+    count_sql,
+    double_sql,
     is_numeric,
+    lit_double,
     nan_to_null,
     numeric_columns,
     parse_boolean,
@@ -27,7 +30,7 @@ from scorewell.functions.exprs import (
     string_columns,
     strip_text,
 )
-from scorewell.operators.stats import duplicate_count, exact_modes, exact_quantiles, summarize
+from scorewell.operators.stats import aggregate, duplicate_count, exact_modes, exact_quantiles, summarize
 from scorewell.session import materialize
 
 # The limits of the cleaning rules.
@@ -169,12 +172,11 @@ def cap_outliers(
 def count_outside(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> dict[str, int]:
     if not bounds:
         return {}
-    row = df.agg(
-        *[
-            count_if((as_double(df, name) < F.lit(low)) | (as_double(df, name) > F.lit(high))).alias(f"o{i}")
-            for i, (name, (low, high)) in enumerate(bounds.items())
-        ]
-    ).first()
+    exprs = {}
+    for i, (name, (low, high)) in enumerate(bounds.items()):
+        x = double_sql(df, name)
+        exprs[f"o{i}"] = count_sql(f"{x} < {lit_double(low)} OR {x} > {lit_double(high)}")
+    row = aggregate(df, exprs)
     return {name: row[f"o{i}"] for i, name in enumerate(bounds)}
 
 

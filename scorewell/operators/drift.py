@@ -9,10 +9,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewell.functions.exprs import as_double, edge_bin, even_edges
+from scorewell.functions.exprs import as_double, edge_bin_sql, even_edges, lit_double, lit_text
 from scorewell.operators.prefix import MIN_RANGES, quantile_cuts, range_count, running_totals, with_ranges
 from scorewell.operators.sampling import uniform_sample
-from scorewell.operators.stats import exact_quantiles, summarize
+from scorewell.operators.stats import exact_quantiles, long_cells, summarize
 
 # Bins, outer percentiles, epsilon, and the limits of the drift rules.
 PSI_BINS = 10
@@ -50,12 +50,6 @@ class DriftReference:
         )
 
 
-def numeric_cells(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """(feature, value) rows, missing cells left out."""
-    cells = [F.struct(F.lit(f).alias("feature"), as_double(df, f).alias("value")) for f in features]
-    return df.select(F.inline(F.array(*cells))).where(F.col("value").isNotNull())
-
-
 def drift_fit(
     df: DataFrame,
     features: Sequence[str],
@@ -82,7 +76,7 @@ def drift_fit(
         for f in features
         if stats[f]["mean"] is not None
     }
-    counts = numeric_cells(base, list(facts)).groupBy("feature", "value").agg(F.count("*").alias("n"))
+    counts = long_cells(base, list(facts), "double").groupBy("feature", "value").agg(F.count("*").alias("n"))
     return DriftReference(facts, counts, psi_threshold, ks_alpha)
 
 
@@ -110,10 +104,8 @@ def _edges(fact: dict) -> list[float]:
 
 def psi_bin(reference: DriftReference, present: Sequence[str]) -> Column:
     """The reference bin of ``value`` for the row's ``feature``; null outside its edges."""
-    out = F.lit(None).cast("int")
-    for f in present:
-        out = F.when(F.col("feature") == f, edge_bin(F.col("value"), _edges(reference.facts[f]))).otherwise(out)
-    return out
+    cases = " ".join(f"WHEN {lit_text(f)} THEN {edge_bin_sql('value', _edges(reference.facts[f]))}" for f in present)
+    return F.expr(f"CASE feature {cases} END")
 
 
 def _both_sides(reference: DriftReference, batch: DataFrame, present: Sequence[str]) -> DataFrame:
@@ -123,7 +115,7 @@ def _both_sides(reference: DriftReference, batch: DataFrame, present: Sequence[s
     ref = reference.values.where(F.col("feature").isin(list(present))).select(
         "feature", "value", F.col("n").alias("n_ref"), zero.alias("n_cur")
     )
-    cur = numeric_cells(batch, present).select("feature", "value", zero.alias("n_ref"), one.alias("n_cur"))
+    cur = long_cells(batch, present, "double").select("feature", "value", zero.alias("n_ref"), one.alias("n_cur"))
     return ref.unionByName(cur)
 
 
@@ -131,23 +123,6 @@ def _present(reference: DriftReference, batch: DataFrame) -> list[str]:
     return [f for f in reference.features if f in batch.columns]
 
 
-def _batch_bins(batch: DataFrame, reference: DriftReference, present: Sequence[str]) -> DataFrame:
-    cells = [
-        F.struct(
-            F.lit(f).alias("feature"),
-            as_double(batch, f).alias("value"),
-            edge_bin(as_double(batch, f), _edges(reference.facts[f])).alias("bin"),
-        )
-        for f in present
-    ]
-    return (
-        batch.select(F.inline(F.array(*cells)))
-        .where(F.col("value").isNotNull())
-        .groupBy("feature", "bin")
-        .agg(F.count("*").alias("n_cur"))
-    )
-
-
 def psi(reference: DriftReference, batch: DataFrame) -> DataFrame:
     """(feature, psi) over the reference's ten bins.
 
@@ -158,56 +133,32 @@ def psi(reference: DriftReference, batch: DataFrame) -> DataFrame:
     present = _present(reference, batch)
     if not present:
         return spark.createDataFrame([], "feature string, psi double")
-    cur = _batch_bins(batch, reference, present)
-    ref = (
-        reference.values.where(F.col("feature").isin(present))
-        .select("feature", psi_bin(reference, present).alias("bin"), "n")
-        .groupBy("feature", "bin")
-        .agg(F.sum("n").alias("n_ref"))
-    )
-    zero = F.lit(0).cast("long")
-    # At most eleven rows per feature and side from here on; every bin is there even when empty.
-    frame = spark.range(1).select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(f).alias("feature"), F.lit(b).alias("bin"))
-                    for f in present
-                    for b in range(1, PSI_BINS + 1)
-                ]
-            )
-        )
-    )
-    stacked = (
-        frame.select("feature", "bin", zero.alias("n_ref"), zero.alias("n_cur"))
-        .unionByName(ref.select("feature", "bin", "n_ref", zero.alias("n_cur")))
-        .unionByName(cur.select("feature", "bin", zero.alias("n_ref"), "n_cur"))
-        .groupBy("feature", "bin")
-        .agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
+    slot = psi_bin(reference, present).alias("bin")
+    binned = _both_sides(reference, batch, present).select("feature", slot, "n_ref", "n_cur")
+    # Empty rows, so that every bin is there.
+    features = ", ".join(lit_text(f) for f in present)
+    frame = spark.range(1).selectExpr(f"explode(array({features})) AS feature").selectExpr(
+        "feature", f"explode(sequence(1, {PSI_BINS})) AS bin", "0L AS n_ref", "0L AS n_cur"
     )
+    stacked = binned.unionByName(frame).groupBy("feature", "bin").agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
     return _psi_from_bins(stacked, reference)
 
 
 def _psi_from_bins(binned: DataFrame, reference: DriftReference) -> DataFrame:
     """PSI from (feature, bin, n_ref, n_cur); the row with null bin counts values outside."""
     per = binned.groupBy("feature").agg(
-        F.sum("n_ref").alias("ref_total"),
-        F.sum("n_cur").alias("cur_total"),
-        F.collect_list(
-            F.when(F.col("bin").isNotNull(), F.struct(F.col("n_ref").alias("r"), F.col("n_cur").alias("c")))
-        ).alias("bins"),
+        F.expr("sum(n_ref) AS ref_total"),
+        F.expr("sum(n_cur) AS cur_total"),
+        F.expr("collect_list(if(bin IS NULL, null, struct(n_ref AS r, n_cur AS c))) AS bins"),
     )
-    flat = [f for f, s in reference.facts.items() if not s["std_pop"]]
-
-    def term(b: Column) -> Column:
-        r = (b["r"] + PSI_EPSILON) / F.col("ref_total")
-        q = (b["c"] + PSI_EPSILON) / F.col("cur_total")
-        return (q - r) * F.log(q / r)
-
-    total = F.abs(F.aggregate(F.transform("bins", term), F.lit(0.0), lambda acc, x: acc + x))
-    return per.where(F.col("cur_total") >= MIN_VALUES).select(
-        "feature", F.when(F.col("feature").isin(flat), F.lit(0.0)).otherwise(total).alias("psi")
+    shares = (
+        f"transform(bins, b -> struct((b.r + {lit_double(PSI_EPSILON)}) / ref_total AS r, "
+        f"(b.c + {lit_double(PSI_EPSILON)}) / cur_total AS q))"
     )
+    total = f"abs(aggregate({shares}, 0D, (acc, s) -> acc + (s.q - s.r) * ln(s.q / s.r)))"
+    flat = [lit_text(f) for f, s in reference.facts.items() if not s["std_pop"]]
+    value = f"if(feature IN ({', '.join(flat)}), 0D, {total})" if flat else total
+    return per.where(F.col("cur_total") >= MIN_VALUES).selectExpr("feature", f"{value} AS psi")
 
 
 def ks_pvalue(d: Column, n1: Column, n2: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorewell.functions.exprs import count_if, even_edges, safe_divide
+from scorewell.functions.exprs import count_if, even_edges, inline_sql, lit_double, safe_divide
 from scorewell.operators.curves import auc_aggregate, score_curve
 
 
@@ -88,16 +88,8 @@ def score_histogram(scored: DataFrame, low: float = 0.0, high: float = 1.0, bins
         .groupBy(slot.alias("bin"))
         .agg(F.count("*").alias("n"))
     )
-    frame = scored.sparkSession.range(1).select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(i + 1).alias("bin"), F.lit(edges[i]).alias("lo"), F.lit(edges[i + 1]).alias("hi"))
-                    for i in range(bins)
-                ]
-            )
-        )
-    )
+    rows = [f"struct({i + 1} AS bin, {lit_double(edges[i])} AS lo, {lit_double(edges[i + 1])} AS hi)" for i in range(bins)]
+    frame = scored.sparkSession.range(1).selectExpr(inline_sql(rows))
     return frame.join(F.broadcast(counted), "bin", "left").select(
         "bin", "lo", "hi", F.coalesce("n", F.lit(0)).alias("n")
     )

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from scorewell.functions.exprs import lit_double, q
+
 MAX_RANGES = 20_000
 MIN_RANGES = 4
 
@@ -30,7 +32,8 @@ def quantile_cuts(df: DataFrame, cols: Sequence[str], ranges: int | None = None)
     n = ranges or range_count(df)
     steps = [i / n for i in range(1, n)]
     accuracy = max(1_000, 10 * n)
-    row = df.agg(*[F.percentile_approx(F.col(f"`{col}`"), steps, accuracy).alias(f"q{i}") for i, col in enumerate(cols)]).first()
+    at = ", ".join(lit_double(s) for s in steps)
+    row = df.selectExpr(*[f"percentile_approx({q(col)}, array({at}), {accuracy}) AS q{i}" for i, col in enumerate(cols)]).first()
     return {col: sorted({float(v) for v in row[f"q{i}"] or []}) for i, col in enumerate(cols)}
 
 
@@ -50,9 +53,8 @@ def with_ranges(df: DataFrame, cuts: dict[str, list[float]], suffix: str = "__ra
     ).transform(df)
     # Never null, so that the later join on the range adds no filter to one of its sides only and
     # both sides read the same shuffle.
-    return ranged.withColumns(
-        {col + suffix: F.coalesce(F.col(f"`{col}{suffix}`").cast("int"), F.lit(0)) for col in cols}
-    )
+    kept = [q(x) for x in df.columns]
+    return ranged.selectExpr(*kept, *[f"coalesce(int({q(x + suffix)}), 0) AS {q(x + suffix)}" for x in cols])
 
 
 def running_totals(

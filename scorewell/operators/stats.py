@@ -4,22 +4,30 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorewell.functions.exprs import (
     FALSE_WORDS,
+    NUMBER_DECORATION,
+    NUMBER_PATTERN,
     TRUE_WORDS,
     as_double,
-    count_if,
-    is_missing,
+    c,
+    count_sql,
+    double_sql,
+    inline_sql,
     is_numeric,
+    lit_double,
+    lit_text,
     looks_like_date,
+    missing_sql,
     nan_to_null,
-    parse_number,
-    present,
+    present_sql,
+    q,
     row_fingerprint,
 )
 
@@ -28,44 +36,47 @@ COLUMNS_PER_PASS = 200
 DISTINCT_SKETCH_BITS = 12
 DISTINCT_ERROR = 0.0163
 BUFFER_VALUES = 500_000
+PAIRS_PER_PASS = 400
 SKETCH_ACCURACY = 5_000
 
 
-def sketched_distinct(value: Column) -> Column:
+def sketched_distinct(value: str) -> str:
     """Distinct non-missing values from a sketch whose buffer is a few kilobytes."""
-    hashed = F.when(value.isNotNull(), F.xxhash64(value))
-    return F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(hashed, DISTINCT_SKETCH_BITS)), F.lit(0))
+    sketch = f"hll_sketch_agg(if({value} IS NULL, null, xxhash64({value})), {DISTINCT_SKETCH_BITS})"
+    return f"coalesce(hll_sketch_estimate({sketch}), 0L)"
 
 
-def _measures(df: DataFrame, name: str, wanted: Iterable[str]) -> dict[str, Column]:
+def aggregate(df: DataFrame, exprs: dict[str, str]) -> Row:
+    """One row of aggregates, each given as SQL text under its name."""
+    return df.selectExpr(*[f"{sql} AS {q(name)}" for name, sql in exprs.items()]).first()
+
+
+def _measures(df: DataFrame, name: str, wanted: Iterable[str]) -> dict[str, str]:
     dtype = df.schema[name].dataType
-    value = present(name, dtype)
+    value = present_sql(name, dtype)
     text = isinstance(dtype, T.StringType)
-    number = is_numeric(dtype)
-    out: dict[str, Column] = {}
+    out: dict[str, str] = {}
     if "missing" in wanted:
-        out["missing"] = count_if(is_missing(name, dtype))
+        out["missing"] = count_sql(missing_sql(name, dtype))
     if "range" in wanted:
-        out["min"], out["max"] = F.min(value), F.max(value)
+        out["min"], out["max"] = f"min({value})", f"max({value})"
     if "constant" in wanted:
-        out["constant"] = F.coalesce(F.min(value) == F.max(value), F.lit(True))
+        out["constant"] = f"coalesce(min({value}) = max({value}), true)"
     if "distinct" in wanted:
         out["distinct"] = sketched_distinct(value)
-    if "moments" in wanted and number:
-        x = as_double(df, name)
-        out |= {"mean": F.avg(x), "std": F.stddev_samp(x), "std_pop": F.stddev_pop(x), "skew_pop": F.skewness(x)}
+    if "moments" in wanted and is_numeric(dtype):
+        x = double_sql(df, name)
+        out |= {"mean": f"avg({x})", "std": f"stddev_samp({x})", "std_pop": f"stddev_pop({x})", "skew_pop": f"skewness({x})"}
     if "text" in wanted and text:
-        out["avg_len"] = F.avg(F.length(value))
+        out["avg_len"] = f"avg(length({value}))"
     if "numeric_like" in wanted and text:
-        out["numeric_like"] = count_if(parse_number(value).isNotNull())
+        out["numeric_like"] = count_sql(f"regexp_replace({value}, r'{NUMBER_DECORATION}', '') RLIKE r'{NUMBER_PATTERN}'")
     if "boolean_like" in wanted and text:
-        word = F.lower(value)
-        known = word.isin(TRUE_WORDS + FALSE_WORDS)
-        out["boolean_like"] = count_if(known)
+        words = ", ".join(lit_text(w) for w in TRUE_WORDS + FALSE_WORDS)
+        known = f"lower({value}) IN ({words})"
+        out["boolean_like"] = count_sql(known)
         # A set of at most twelve words.
-        out["boolean_words"] = F.size(F.collect_set(F.when(known, word)))
-    if "date_like" in wanted and text:
-        out["date_like"] = count_if(looks_like_date(value))
+        out["boolean_words"] = f"size(collect_set(if({known}, lower({value}), null)))"
     return out
 
 
@@ -80,12 +91,19 @@ def summarize(df: DataFrame, wanted: Sequence[str], cols: Sequence[str] | None =
     n_rows = 0
     for start in range(0, max(len(cols), 1), COLUMNS_PER_PASS):
         batch = cols[start : start + COLUMNS_PER_PASS]
-        exprs, places = [], []
+        places, exprs = [], {"n": "count(1)"}
         for name in batch:
-            for key, expr in _measures(df, name, wanted).items():
+            for key, sql in _measures(df, name, wanted).items():
                 places.append((name, key))
-                exprs.append(expr.alias(f"m{len(places)}"))
-        row = df.agg(F.count(F.lit(1)).alias("n"), *exprs).first()
+                exprs[f"m{len(places)}"] = sql
+        source = df
+        if "date_like" in wanted:
+            texts = [x for x in batch if isinstance(df.schema[x].dataType, T.StringType)]
+            source = df.select("*", *[looks_like_date(c(x)).alias(f"__date{i}") for i, x in enumerate(texts)])
+            for i, name in enumerate(texts):
+                places.append((name, "date_like"))
+                exprs[f"m{len(places)}"] = count_sql(f"__date{i}")
+        row = aggregate(source, exprs)
         n_rows = row["n"]
         for i, (name, key) in enumerate(places, 1):
             result.setdefault(name, {})[key] = row[f"m{i}"]
@@ -102,10 +120,9 @@ def adjusted_skew(skew_pop: float | None, n: int) -> float | None:
 def long_cells(df: DataFrame, cols: Sequence[str], as_type: str) -> DataFrame:
     """(feature, value) rows of the given columns; missing cells are left out."""
     cells = [
-        F.struct(F.lit(name).alias("feature"), present(name, df.schema[name].dataType).cast(as_type).alias("value"))
-        for name in cols
+        f"struct({lit_text(x)} AS feature, cast({present_sql(x, df.schema[x].dataType)} AS {as_type}) AS value)" for x in cols
     ]
-    return df.select(F.inline(F.array(*cells))).where(F.col("value").isNotNull())
+    return df.selectExpr(inline_sql(cells)).where("value IS NOT NULL")
 
 
 def value_counts(df: DataFrame, cols: Sequence[str], as_type: str = "string") -> DataFrame:
@@ -150,64 +167,64 @@ def exact_quantiles(
     cols, probs = list(cols), list(probs)
     if not cols:
         return {}
-    values = {name: as_double(df, name) for name in cols}
-    sizes = df.agg(
-        *[F.count(v).alias(f"n{i}") for i, v in enumerate(values.values())],
-        *[sketched_distinct(v).alias(f"d{i}") for i, v in enumerate(values.values())],
-    ).first()
+    values = {name: double_sql(df, name) for name in cols}
+    row = aggregate(
+        df,
+        {f"n{i}": f"count({v})" for i, v in enumerate(values.values())}
+        | {f"d{i}": sketched_distinct(v) for i, v in enumerate(values.values())},
+    )
+    sizes = {name: row[f"n{i}"] for i, name in enumerate(cols)}
     share = max(1_000, buffer_values // (len(cols) * max(len(probs), 1)))
-    open_band = (-math.inf, math.inf)
-    bands = {}  # (column, prob) -> [interval, values below it, values inside it]
-    for i, name in enumerate(cols):
-        for p in probs:
-            bands[name, p] = [open_band, 0, sizes[f"n{i}"], sizes[f"d{i}"] <= share]
+    # (column, prob) -> [interval or None for the whole column, values below it, inside it, small enough].
+    bands = {(x, p): [None, 0, sizes[x], row[f"d{i}"] <= share] for i, x in enumerate(cols) for p in probs}
+
+    def rank(name: str, p: float) -> float:
+        return (sizes[name] - 1) * p
 
-    def inside(name: str, band: tuple[float, float]) -> Column:
+    def inside(name: str, band: tuple[float, float] | None) -> str:
         v = values[name]
-        if band == open_band:
-            return v.isNotNull()
-        return (v >= F.lit(band[0])) & (v <= F.lit(band[1]))
+        return f"{v} IS NOT NULL" if band is None else f"{v} BETWEEN {lit_double(band[0])} AND {lit_double(band[1])}"
 
     while wide := [key for key, b in bands.items() if not b[3] and b[2] > share]:
         cuts = {}
         for k, (name, p) in enumerate(wide):
             band, below, count, _ = bands[name, p]
-            rank = (sizes[f"n{cols.index(name)}"] - 1) * p - below
-            margin = 3.0 / SKETCH_ACCURACY
-            low, high = max(0.0, rank / count - margin), min(1.0, (rank + 1) / count + margin)
-            kept = F.when(inside(name, band), values[name])
-            cuts[name, p] = F.percentile_approx(kept, [low, high], SKETCH_ACCURACY).alias(f"c{k}")
-        found = df.agg(*cuts.values()).first()
+            place, margin = rank(name, p) - below, 3.0 / SKETCH_ACCURACY
+            ends = [max(0.0, place / count - margin), min(1.0, (place + 1) / count + margin)]
+            kept = f"if({inside(name, band)}, {values[name]}, null)"
+            cuts[f"c{k}"] = f"percentile_approx({kept}, array({', '.join(map(lit_double, ends))}), {SKETCH_ACCURACY})"
+        found = aggregate(df, cuts)
         narrower = {key: tuple(found[f"c{k}"]) for k, key in enumerate(wide)}
-        counted = df.agg(
-            *[count_if(values[name] < F.lit(narrower[name, p][0])).alias(f"b{k}") for k, (name, p) in enumerate(wide)],
-            *[count_if(inside(name, narrower[name, p])).alias(f"i{k}") for k, (name, p) in enumerate(wide)],
-        ).first()
+        counted = aggregate(
+            df,
+            {f"b{k}": count_sql(f"{values[x]} < {lit_double(narrower[x, p][0])}") for k, (x, p) in enumerate(wide)}
+            | {f"i{k}": count_sql(inside(x, narrower[x, p])) for k, (x, p) in enumerate(wide)},
+        )
         for k, (name, p) in enumerate(wide):
             below, count = counted[f"b{k}"], counted[f"i{k}"]
-            rank = (sizes[f"n{cols.index(name)}"] - 1) * p
-            holds = below <= math.floor(rank) and math.ceil(rank) < below + count
-            shrunk = holds and count < bands[name, p][2]
-            # One value repeated, or an interval that cannot shrink further, has few distinct values.
-            bands[name, p] = [narrower[name, p], below, count, False] if shrunk else [*bands[name, p][:3], True]
-            if narrower[name, p][0] == narrower[name, p][1]:
+            holds = below <= math.floor(rank(name, p)) and math.ceil(rank(name, p)) < below + count
+            if holds and count < bands[name, p][2]:
+                # One repeated value is small whatever its count.
+                bands[name, p] = [narrower[name, p], below, count, narrower[name, p][0] == narrower[name, p][1]]
+            else:
                 bands[name, p][3] = True
 
     def place(name: str, p: float) -> float:
         _, below, count, _ = bands[name, p]
-        rank = (sizes[f"n{cols.index(name)}"] - 1) * p - below
-        return min(1.0, max(0.0, rank / (count - 1))) if count > 1 else 0.0
+        return min(1.0, max(0.0, (rank(name, p) - below) / (count - 1))) if count > 1 else 0.0
 
     # Quantiles read from the same interval share one buffer.
     shared: dict[tuple, list[float]] = {}
     for name, p in bands:
         shared.setdefault((name, bands[name, p][0]), []).append(p)
-    row = df.agg(
-        *[
-            F.percentile(F.when(inside(name, band), values[name]), F.array(*[F.lit(place(name, p)) for p in ps])).alias(f"q{k}")
+    row = aggregate(
+        df,
+        {
+            f"q{k}": f"percentile(if({inside(name, band)}, {values[name]}, null), "
+            f"array({', '.join(lit_double(place(name, p)) for p in ps)}))"
             for k, ((name, band), ps) in enumerate(shared.items())
-        ]
-    ).first()
+        },
+    )
     flat: dict[tuple, float | None] = {}
     for k, ((name, _), ps) in enumerate(shared.items()):
         for p, value in zip(ps, row[f"q{k}"] or [None] * len(ps)):
@@ -269,46 +286,27 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """
     cols = list(cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    per_pass = 400
-    out = None
-    for start in range(0, len(pairs), per_pass):
-        batch = pairs[start : start + per_pass]
-        row = df.agg(*[F.corr(as_double(df, a), as_double(df, b)).alias(f"r{i}") for i, (a, b) in enumerate(batch)])
-        part = row.select(
-            F.inline(
-                F.array(
-                    *[
-                        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("corr"))
-                        for i, (a, b) in enumerate(batch)
-                    ]
-                )
-            )
-        )
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    parts = []
+    for start in range(0, len(pairs), PAIRS_PER_PASS):
+        batch = pairs[start : start + PAIRS_PER_PASS]
+        row = df.selectExpr(*[f"corr({double_sql(df, a)}, {double_sql(df, b)}) AS r{i}" for i, (a, b) in enumerate(batch)])
+        rows = [
+            f"struct({lit_text(a)} AS a, {lit_text(b)} AS b, if(isnan(r{i}), null, r{i}) AS corr)"
+            for i, (a, b) in enumerate(batch)
+        ]
+        parts.append(row.selectExpr(inline_sql(rows)))
+    if not parts:
         return df.sparkSession.createDataFrame([], "a string, b string, corr double")
-    return out.withColumn("corr", F.when(~F.isnan("corr"), F.col("corr")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def missing_counts(df: DataFrame) -> DataFrame:
     """(column, missing, rate): one aggregation, then one report row per column."""
-    names = df.columns
-    row = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[count_if(is_missing(f.name, f.dataType)).alias(f"m{i}") for i, f in enumerate(df.schema)],
-    )
-    return row.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(name).alias("column"),
-                        F.col(f"m{i}").alias("missing"),
-                        F.coalesce(F.try_divide(F.col(f"m{i}").cast("double"), F.col("n")), F.lit(0.0)).alias("rate"),
-                    )
-                    for i, name in enumerate(names)
-                ]
-            )
-        )
+    counts = df.selectExpr(
+        "count(1) AS n", *[f"{count_sql(missing_sql(f.name, f.dataType))} AS m{i}" for i, f in enumerate(df.schema)]
     )
-
+    rows = [
+        f"struct({lit_text(name)} AS column, m{i} AS missing, coalesce(try_divide(double(m{i}), n), 0D) AS rate)"
+        for i, name in enumerate(df.columns)
+    ]
+    return counts.selectExpr(inline_sql(rows))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scorewell.functions.exprs import c, count_if
+from scorewell.functions.exprs import c, count_if, lit_double
 from scorewell.operators.curves import cost_grid, f1_of, precision_of, recall_of, score_curve
 
 # Strategy names, default costs per missed positive and per false alarm, epsilon.
@@ -116,9 +116,8 @@ def cost_curve(
     counts = slotted.groupBy(F.col("slot").cast("int").alias("slot")).agg(
         count_if(F.col("label") == 1).alias("pos"), count_if(F.col("label") == 0).alias("neg")
     )
-    points = scored.sparkSession.range(1).select(
-        F.posexplode(F.array(F.lit(float("-inf")), *[F.lit(t) for t in grid])).alias("slot", "threshold")
-    )
+    marks = ", ".join(lit_double(t) for t in [float("-inf"), *grid])
+    points = scored.sparkSession.range(1).selectExpr(f"posexplode(array({marks})) AS (slot, threshold)")
     # At most steps + 1 rows from here on.
     filled = points.join(F.broadcast(counts), "slot", "left").na.fill(0, ["pos", "neg"])
     below = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
