@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["curves", "cleaning", "profiles", "features", "monitoring"]
+MODULES = ["curves", "cleaning", "profiles", "features", "models", "monitoring", "streams"]
 
 
 def _catalogs():

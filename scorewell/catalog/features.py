@@ -13,9 +13,10 @@ from scorewell.plans.flagship import cheapest_threshold_report
 catalog = Catalog()
 
 
-def transactions(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    return e.select("event_id", features.epoch_seconds(F.col("ts")).alias("Time"), (F.col("value") * 10).alias("Amount"))
+def transactions(events, *more):
+    """Events as transactions: the time in seconds and ten times the value as the amount."""
+    seconds = features.epoch_seconds(F.col("ts"))
+    return events.select("event_id", seconds.alias("Time"), (F.col("value") * 10).alias("Amount"), *more)
 
 
 SECONDS = "CAST(floor(epoch(ts)) AS BIGINT)"
@@ -30,18 +31,18 @@ SELECT event_id, {SECONDS} AS "Time", round(value * 10, 6) AS "Amount", round({H
   round((value * 10 - m) / sd, 6) AS "Amount_zscore", CAST(value * 10 > 1000 AS INTEGER) AS "High_amount" FROM events, s""",
 )
 def engineer_features(spark, sf_dir):
-    return rounded(features.engineer_features(transactions(spark, sf_dir)))
+    return rounded(features.engineer_features(transactions(table(spark, sf_dir, "events"))))
 
 
 @catalog.add("hour_of_day", f'SELECT event_id, round({HOUR}, 6) AS "hour" FROM events')
 def hour_of_day(spark, sf_dir):
-    t = transactions(spark, sf_dir)
+    t = transactions(table(spark, sf_dir, "events"))
     return rounded(t.select("event_id", features.hour_of_day(F.col("Time")).alias("hour")))
 
 
 @catalog.add("night_flag", f"SELECT event_id, CAST({HOUR} < 6 OR {HOUR} > 22 AS INTEGER) AS night FROM events")
 def night_flag(spark, sf_dir):
-    t = transactions(spark, sf_dir)
+    t = transactions(table(spark, sf_dir, "events"))
     return t.select("event_id", features.night_flag(features.hour_of_day(F.col("Time"))).alias("night"))
 
 

@@ -64,7 +64,7 @@ REPORT = f"""{PSI}, {KS}, report AS (SELECT feature, round(psi, 4) AS psi, pvalu
     "round(quantile_cont(value, 0.01), 6) AS lo, round(quantile_cont(value, 0.99), 6) AS hi FROM ref GROUP BY feature",
 )
 def drift_fit(spark, sf_dir):
-    return rounded(drift.drift_fit(halves(spark, sf_dir)[0], FEATURES).facts_frame(spark))
+    return rounded(drift.drift_fit(halves(spark, sf_dir)[0], FEATURES).facts_frame(spark).drop("bins"))
 
 
 @catalog.add("psi", f"WITH {PSI} SELECT feature, round(psi, 6) AS psi FROM psi")

@@ -139,31 +139,29 @@ def smote(
 
 
 def _between(vectors: DataFrame, pairs: DataFrame, needed: int, n_min: int, k: int, seed: int) -> DataFrame:
+    """``vec`` of the synthetic rows. Every minority row first gathers its own ``k`` neighbours'
+    vectors, so that nothing has to be joined once the copies have been made."""
+    to = vectors.select(F.col("key").alias("neighbour"), F.col("vec").alias("to_vec"))
+    around = pairs.join(to, "neighbour").groupBy("key").agg(
+        F.sort_array(F.collect_list(F.struct("rank", "to_vec"))).alias("around")
+    )
     per_row, left_over = divmod(needed, n_min)
     first = hash_at_ranks(vectors, ["key"], {None: [left_over]}, {None: n_min}, None, seed)[None][0]
     copies = F.lit(per_row) + (key_hash(["key"], seed) <= F.lit(first)).cast("long")
+    based = vectors.join(around, "key").withColumn("copies", copies).where(F.col("copies") > 0)
     # Two steps, so that a row with very many copies is spread over tasks before it grows.
-    chunks = vectors.select("key", copies.alias("copies")).where(F.col("copies") > 0).select(
-        "key", "copies", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES_PER_ROW))).alias("chunk")
+    chunks = based.withColumn(
+        "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES_PER_ROW)))
     )
-    start = F.col("chunk") * COPIES_PER_ROW
     spread = chunks.repartition("key", "chunk") if per_row > COPIES_PER_ROW else chunks
-    numbered = spread.select(
-        "key", F.explode(F.sequence(start, F.least(start + COPIES_PER_ROW, F.col("copies")) - 1)).alias("copy")
+    start = F.col("chunk") * COPIES_PER_ROW
+    numbered = spread.withColumn(
+        "copy", F.explode(F.sequence(start, F.least(start + COPIES_PER_ROW, F.col("copies")) - 1))
     )
     # Draws are hashes of (row, copy): one picks the neighbour, one the place on the line.
     drawn = numbered.select(
-        "key",
-        (F.pmod(key_hash(["key", "copy"], seed + 1), F.lit(k)) + 1).cast("int").alias("rank"),
+        "vec",
+        F.col("around")[F.pmod(key_hash(["key", "copy"], seed + 1), F.lit(k)).cast("int")]["to_vec"].alias("to_vec"),
         (key_hash(["key", "copy"], seed + 2).cast("double") / F.lit(HASH_SPACE)).alias("place"),
     )
-    ends = (
-        pairs.join(vectors.select("key", F.col("vec").alias("from_vec")), "key")
-        .join(vectors.select(F.col("key").alias("neighbour"), F.col("vec").alias("to_vec")), "neighbour")
-        .select("key", "rank", "from_vec", "to_vec")
-    )
-    joined = drawn.join(ends, ["key", "rank"])
-    return joined.select(
-        F.zip_with("from_vec", "to_vec", lambda a, b: a + F.col("place") * (b - a)).alias("vec")
-    )
-
+    return drawn.select(F.expr("zip_with(vec, to_vec, (a, b) -> a + place * (b - a)) AS vec"))

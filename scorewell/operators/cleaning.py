@@ -234,9 +234,10 @@ def clean_smart(
     outlier_method: str = "iqr",
     outlier_width: float = OUTLIER_WIDTH,
     missing_limit: float = MISSING_DROP_RATE,
+    protect: Sequence[str] = (),
 ) -> tuple[DataFrame, CleaningReport]:
     """The whole chain, in order: names, duplicates, sparse and constant columns, yes/no words,
-    written numbers, white space, outliers.
+    written numbers, white space, outliers. The target and the columns in ``protect`` stay as they are.
 
     The deduplicated table is written once; two passes of statistics read it back column by
     column, and the result is one lazy select over it.
@@ -244,7 +245,7 @@ def clean_smart(
     report = CleaningReport()
     named = strip_column_names(df)
     unique = materialize(drop_duplicates(named), "unique")
-    cols = [name for name in unique.columns if name != target]
+    cols = [name for name in unique.columns if name != target and name not in protect]
     n, stats = summarize(unique, ["missing", "constant", "numeric_like", "boolean_like"], cols)
     report.add("rows_before", None, n_before := named.count())
     report.add("duplicates_removed", None, n_before - n)
@@ -279,7 +280,7 @@ def clean_smart(
 
     result = typed
     if outlier_method != "none":
-        numeric = numeric_columns(typed, [target] if target else [])
+        numeric = numeric_columns(typed, [*protect, target])
         bounds = outlier_bounds(typed, numeric, outlier_method, outlier_width)
         outside = {name: k for name, k in count_outside(typed, bounds).items() if k}
         for name, k in outside.items():

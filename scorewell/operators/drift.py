@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewell.functions.exprs import as_double, edge_bin_sql, even_edges, lit_double, lit_text
+from scorewell.functions.exprs import as_double, double_sql, edge_bin_sql, even_edges, inline_sql, lit_double, lit_text
 from scorewell.operators.prefix import MIN_RANGES, quantile_cuts, range_count, running_totals, with_ranges
 from scorewell.operators.sampling import uniform_sample
 from scorewell.operators.stats import exact_quantiles, long_cells, summarize
@@ -26,9 +26,13 @@ LISTED_FEATURES = 10
 KS_TERMS = 100
 
 
+FACTS = ["n", "mean", "std_pop", "lo", "hi", "bins"]
+FACTS_SCHEMA = "feature string, n long, mean double, std_pop double, lo double, hi double, bins array<long>"
+
+
 @dataclass
 class DriftReference:
-    """What is kept of a reference table: bin edges and facts per feature, and its values.
+    """What is kept of a reference table: facts, bin edges and bin counts per feature, and its values.
 
     ``values`` holds (feature, value, n) with one row per distinct value, so it can be saved and
     compared later without the table it came from.
@@ -44,10 +48,8 @@ class DriftReference:
         return list(self.facts)
 
     def facts_frame(self, spark: SparkSession) -> DataFrame:
-        rows = [(f, s["n"], s["mean"], s["std_pop"], s["lo"], s["hi"]) for f, s in self.facts.items()]
-        return spark.createDataFrame(
-            rows, "feature string, n long, mean double, std_pop double, lo double, hi double"
-        )
+        rows = [tuple([f, *[s[k] for k in FACTS]]) for f, s in self.facts.items()]
+        return spark.createDataFrame(rows, FACTS_SCHEMA)
 
 
 def drift_fit(
@@ -76,6 +78,11 @@ def drift_fit(
         for f in features
         if stats[f]["mean"] is not None
     }
+    for f, fact in facts.items():
+        fact["bins"] = [0] * PSI_BINS
+    if facts:
+        for r in _bin_counts(base, facts).where("bin IS NOT NULL").collect():
+            facts[r["feature"]]["bins"][r["bin"] - 1] = r["n"]
     counts = long_cells(base, list(facts), "double").groupBy("feature", "value").agg(F.count("*").alias("n"))
     return DriftReference(facts, counts, psi_threshold, ks_alpha)
 
@@ -92,7 +99,7 @@ def save_reference(reference: DriftReference, path: str) -> None:
 def load_reference(spark: SparkSession, path: str) -> DriftReference:
     settings = json.loads(spark.read.parquet(f"{path}/settings").first()["settings"])
     facts = {
-        r["feature"]: {k: r[k] for k in ("n", "mean", "std_pop", "lo", "hi")}
+        r["feature"]: {k: r[k] for k in FACTS}
         for r in spark.read.parquet(f"{path}/facts").collect()
     }
     return DriftReference(facts, spark.read.parquet(f"{path}/values"), settings["psi_threshold"], settings["ks_alpha"])
@@ -102,10 +109,14 @@ def _edges(fact: dict) -> list[float]:
     return even_edges(fact["lo"], fact["hi"], PSI_BINS)
 
 
-def psi_bin(reference: DriftReference, present: Sequence[str]) -> Column:
-    """The reference bin of ``value`` for the row's ``feature``; null outside its edges."""
-    cases = " ".join(f"WHEN {lit_text(f)} THEN {edge_bin_sql('value', _edges(reference.facts[f]))}" for f in present)
-    return F.expr(f"CASE feature {cases} END")
+def _bin_counts(df: DataFrame, facts: dict[str, dict]) -> DataFrame:
+    """(feature, bin, n) over the reference's bins; the null bin counts values outside all of them."""
+    cells = [
+        f"struct({lit_text(f)} AS feature, {double_sql(df, f)} AS value, {edge_bin_sql(double_sql(df, f), _edges(fact))} AS bin)"
+        for f, fact in facts.items()
+    ]
+    found = df.selectExpr(inline_sql(cells)).where("value IS NOT NULL")
+    return found.groupBy("feature", "bin").agg(F.count("*").alias("n"))
 
 
 def _both_sides(reference: DriftReference, batch: DataFrame, present: Sequence[str]) -> DataFrame:
@@ -133,32 +144,22 @@ def psi(reference: DriftReference, batch: DataFrame) -> DataFrame:
     present = _present(reference, batch)
     if not present:
         return spark.createDataFrame([], "feature string, psi double")
-    slot = psi_bin(reference, present).alias("bin")
-    binned = _both_sides(reference, batch, present).select("feature", slot, "n_ref", "n_cur")
-    # Empty rows, so that every bin is there.
-    features = ", ".join(lit_text(f) for f in present)
-    frame = spark.range(1).selectExpr(f"explode(array({features})) AS feature").selectExpr(
-        "feature", f"explode(sequence(1, {PSI_BINS})) AS bin", "0L AS n_ref", "0L AS n_cur"
-    )
-    stacked = binned.unionByName(frame).groupBy("feature", "bin").agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
-    return _psi_from_bins(stacked, reference)
-
-
-def _psi_from_bins(binned: DataFrame, reference: DriftReference) -> DataFrame:
-    """PSI from (feature, bin, n_ref, n_cur); the row with null bin counts values outside."""
-    per = binned.groupBy("feature").agg(
-        F.expr("sum(n_ref) AS ref_total"),
-        F.expr("sum(n_cur) AS cur_total"),
-        F.expr("collect_list(if(bin IS NULL, null, struct(n_ref AS r, n_cur AS c))) AS bins"),
+    facts = {f: reference.facts[f] for f in present}
+    per = _bin_counts(batch, facts).groupBy("feature").agg(
+        F.expr("sum(n) AS n_cur"),
+        F.expr("map_from_entries(collect_list(if(bin IS NULL, null, struct(bin, n)))) AS cur"),
     )
+    sizes = " ".join(f"WHEN {lit_text(f)} THEN struct({s['n']}L AS n, array({', '.join(f'{b}L' for b in s['bins'])}) AS bins)" for f, s in facts.items())
+    epsilon = lit_double(PSI_EPSILON)
     shares = (
-        f"transform(bins, b -> struct((b.r + {lit_double(PSI_EPSILON)}) / ref_total AS r, "
-        f"(b.c + {lit_double(PSI_EPSILON)}) / cur_total AS q))"
+        f"transform(ref.bins, (r, i) -> struct((r + {epsilon}) / ref.n AS r, "
+        f"(coalesce(cur[i + 1], 0L) + {epsilon}) / n_cur AS q))"
     )
     total = f"abs(aggregate({shares}, 0D, (acc, s) -> acc + (s.q - s.r) * ln(s.q / s.r)))"
-    flat = [lit_text(f) for f, s in reference.facts.items() if not s["std_pop"]]
+    flat = [lit_text(f) for f, s in facts.items() if not s["std_pop"]]
     value = f"if(feature IN ({', '.join(flat)}), 0D, {total})" if flat else total
-    return per.where(F.col("cur_total") >= MIN_VALUES).selectExpr("feature", f"{value} AS psi")
+    enough = per.where(F.col("n_cur") >= MIN_VALUES).select("*", F.expr(f"CASE feature {sizes} END AS ref"))
+    return enough.selectExpr("feature", f"{value} AS psi")
 
 
 def ks_pvalue(d: Column, n1: Column, n2: Column) -> Column:

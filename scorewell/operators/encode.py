@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -120,7 +121,7 @@ def fit_one_hot(
 ) -> OneHot:
     """Categories in sorted order. Beyond ``max_categories`` the most frequent stay (the later
     value among equals) and one more column takes the rest."""
-    counts = value_counts(df, cols)
+    counts = value_counts(df, cols).persist(StorageLevel.MEMORY_AND_DISK)
     totals = {r["feature"]: r["n"] for r in counts.groupBy("feature").agg(F.count("*").alias("n")).collect()}
     keep = {
         x: totals.get(x, 0) if max_categories is None or totals.get(x, 0) <= max_categories else max_categories - 1
@@ -144,6 +145,7 @@ def fit_one_hot(
         else:
             seen = counts.where((F.col("feature") == x) & ~F.col("value").isin(kept[x]))
             pooled[x] = sorted(r["value"] for r in seen.select("value").collect())
+    counts.unpersist()
     return OneHot({x: sorted(v) for x, v in kept.items()}, pooled, counts.select("feature", "value"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorewell.operators.features import epoch_seconds
+from scorewell.session import materialize
 
 # Alert limits, severity order and cooldown.
 LAST_PREDICTIONS, LAST_ALERTS = 100, 50
@@ -221,13 +222,14 @@ def cooldown_filter(
     """
     cooldown = seconds * 1_000_000
     width = (slot_seconds or 12 * seconds) * 1_000_000
-    t = F.col("__t")
     timed = alerts.withColumn("__t", micros(F.col("ts")))
     instants = (
-        timed.groupBy("name", t.alias("t"))
-        .agg(F.min(F.struct(*[F.col(k) for k in keys])).alias("first"))
+        timed.groupBy("name", F.col("__t").alias("t"))
+        .agg(F.min(F.struct(*keys)).alias("first"))
         .withColumn("slot", F.floor(F.col("t") / F.lit(width)))
     )
+    # Read three times below.
+    instants = materialize(instants, "instants")
     times = instants.select("name", "slot", "t")
     steps = times.groupBy("name", "slot").applyInPandas(_slot_steps(cooldown, width), STEP_SCHEMA)
     entries = steps.groupBy("name").applyInPandas(_enter_slots, ENTRY_SCHEMA)
@@ -236,16 +238,10 @@ def cooldown_filter(
         .groupBy("name", "slot")
         .applyInPandas(_mark_sends(cooldown), "name string, t long")
     )
-    first = instants.select("name", F.col("t"), "first").join(sends, ["name", "t"], "left_semi")
-    marks = first.select(
-        F.col("name").alias("__name"), F.col("t").alias("__at"), F.col("first").alias("__first")
-    )
-    cond = (F.col("name") == F.col("__name")) & (t == F.col("__at")) & (F.struct(*[F.col(k) for k in keys]) == F.col("__first"))
-    joined = timed.join(marks, cond, "left")
-    reason = F.when(F.col("__name").isNull(), F.lit("duplicate within cooldown window"))
-    return joined.select(
-        *alerts.columns, F.col("__name").isNotNull().alias("sent"), reason.alias("cooldown_reason")
-    )
+    marks = instants.join(sends, ["name", "t"], "left_semi").select("name", F.col("t").alias("__t"), "first.*", F.lit(True).alias("sent"))
+    joined = timed.join(marks, ["name", "__t", *keys], "left")
+    reason = F.when(F.col("sent").isNull(), F.lit("duplicate within cooldown window"))
+    return joined.select(*alerts.columns, F.coalesce("sent", F.lit(False)).alias("sent"), reason.alias("cooldown_reason"))
 
 
 def send_counts(marked: DataFrame) -> DataFrame:

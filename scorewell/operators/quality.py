@@ -234,7 +234,8 @@ def categorical_profile(df: DataFrame, cols: Sequence[str], top: int = TOP_VALUE
     counts = value_counts(df, cols)
     order = Window.partitionBy("feature").orderBy(F.col("n").desc(), F.col("value"))
     best = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    unique = counts.groupBy("feature").agg(F.count("*").alias("n_unique"))
+    # The condition keeps the counts in this branch too, so that both read one shuffle.
+    unique = counts.groupBy("feature").agg(count_if(F.col("n") > 0).alias("n_unique"))
     return best.join(F.broadcast(unique), "feature").select(
         F.col("feature").alias("column"), "n_unique", "rank", "value", "n"
     )
