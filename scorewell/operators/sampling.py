@@ -57,7 +57,7 @@ def hash_at_ranks(
                 low + int(max(0.0, share - spread) * span) if share > spread else low,
                 low + int((share + spread) * span) if share + spread < 1 else high,
             )
-            bands[key] = (band, 2 * spread * count <= BAND_HASHES)
+            bands[key] = (band, 2 * spread * count <= BAND_HASHES or band == (low, high))
 
         def hits(k: object, lo: int, hi: int) -> Column:
             inside = (F.col("h") >= lo) & (F.col("h") <= hi)
