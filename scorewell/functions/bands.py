@@ -42,7 +42,3 @@ def class_label(prediction: Column, style: str = "universal") -> Column:
 
 def score_percent(score: Column, digits: int = 4) -> Column:
     return F.round(score * 100, digits)
-
-
-def score_histogram_edges(kind: str) -> tuple[float, float]:
-    return {"full": (0.0, 1.0), "low": (0.0, 0.5)}[kind]

@@ -182,13 +182,6 @@ def count_if(cond: Column) -> Column:
     return F.coalesce(F.sum(cond.cast("long")), F.lit(0).cast("long"))
 
 
-def edge_bin_sql(value: str, edges: Sequence[float]) -> str:
-    """1-based bin of ``value`` among ascending ``edges``; the last bin is closed, outside is null."""
-    rank = " + ".join(f"int({value} >= {lit_double(e)})" for e in edges)
-    inside = f"{value} >= {lit_double(edges[0])} AND {value} <= {lit_double(edges[-1])}"
-    return f"if({inside}, least({len(edges) - 1}, {rank}), null)"
-
-
 def even_edges(low: float, high: float, bins: int) -> list[float]:
     step = (high - low) / bins
     return [low + i * step for i in range(bins)] + [high]

@@ -143,10 +143,8 @@ def outlier_bounds(
     if not cols:
         return {}
     if method == "iqr":
-        n, stats = summarize(df, ["missing"], cols)
-        enough = [name for name in cols if n - stats[name]["missing"] >= MIN_OUTLIER_VALUES]
         bounds = {}
-        for name, (q1, q3) in exact_quantiles(df, enough, [0.25, 0.75]).items():
+        for name, (q1, q3) in exact_quantiles(df, cols, [0.25, 0.75], min_values=MIN_OUTLIER_VALUES).items():
             if q3 != q1:
                 bounds[name] = (q1 - width * (q3 - q1), q3 + width * (q3 - q1))
         return bounds
@@ -246,7 +244,7 @@ def clean_smart(
     named = strip_column_names(df)
     unique = materialize(drop_duplicates(named), "unique")
     cols = [name for name in unique.columns if name != target and name not in protect]
-    n, stats = summarize(unique, ["missing", "constant", "numeric_like", "boolean_like"], cols)
+    n, stats = summarize(unique, ["missing", "constant", "numeric_like", "boolean_like", "padded"], cols)
     report.add("rows_before", None, n_before := named.count())
     report.add("duplicates_removed", None, n_before - n)
 
@@ -257,25 +255,18 @@ def clean_smart(
     booleans = [name for name in texts if _is_boolean(n, stats[name])]
     numbers = [name for name in texts if name not in booleans and _is_numeric_text(n, stats[name])]
     plain = [name for name in texts if name not in booleans and name not in numbers]
-    for step, names in [
-        ("high_missing_dropped", sparse),
-        ("constant_dropped", constant),
-        ("boolean_coerced", booleans),
-        ("numeric_string_coerced", numbers),
-    ]:
+    for name in sparse:
+        report.add("high_missing_dropped", name, stats[name]["missing"])
+    for step, names in [("constant_dropped", constant), ("boolean_coerced", booleans), ("numeric_string_coerced", numbers)]:
         for name in names:
-            report.add(step, name, stats[name]["missing"] if step == "high_missing_dropped" else n - stats[name]["missing"])
+            report.add(step, name, n - stats[name]["missing"])
 
     new = {name: parse_boolean(c(name)) for name in booleans}
     new |= {name: parse_number(c(name)) for name in numbers}
     new |= {name: strip_text(c(name)) for name in plain}
-    padded = {}
-    if plain:
-        row = unique.agg(*[count_if(strip_text(c(x)) != c(x)).alias(f"w{i}") for i, x in enumerate(plain)]).first()
-        padded = {x: row[f"w{i}"] for i, x in enumerate(plain)}
-    for name, k in padded.items():
-        if k:
-            report.add("whitespace_stripped", name, k)
+    for name in plain:
+        if stats[name]["padded"]:
+            report.add("whitespace_stripped", name, stats[name]["padded"])
     typed = _replace(unique.drop(*sparse, *constant), new)
 
     result = typed

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewell.functions.exprs import as_double, double_sql, edge_bin_sql, even_edges, inline_sql, lit_double, lit_text
+from scorewell.functions.exprs import double_sql, inline_sql, lit_double, lit_text, q
 from scorewell.operators.prefix import MIN_RANGES, quantile_cuts, range_count, running_totals, with_ranges
 from scorewell.operators.sampling import uniform_sample
 from scorewell.operators.stats import exact_quantiles, long_cells, summarize
@@ -35,13 +35,15 @@ class DriftReference:
     """What is kept of a reference table: facts, bin edges and bin counts per feature, and its values.
 
     ``values`` holds (feature, value, n) with one row per distinct value, so it can be saved and
-    compared later without the table it came from.
+    compared later without the table it came from. While that table is at hand as ``base`` its
+    columns are read instead, which saves a shuffle.
     """
 
     facts: dict[str, dict]
     values: DataFrame
     psi_threshold: float = PSI_THRESHOLD
     ks_alpha: float = KS_ALPHA
+    base: DataFrame | None = None
 
     @property
     def features(self) -> list[str]:
@@ -84,7 +86,7 @@ def drift_fit(
         for r in _bin_counts(base, facts).where("bin IS NOT NULL").collect():
             facts[r["feature"]]["bins"][r["bin"] - 1] = r["n"]
     counts = long_cells(base, list(facts), "double").groupBy("feature", "value").agg(F.count("*").alias("n"))
-    return DriftReference(facts, counts, psi_threshold, ks_alpha)
+    return DriftReference(facts, counts, psi_threshold, ks_alpha, base)
 
 
 def save_reference(reference: DriftReference, path: str) -> None:
@@ -105,29 +107,43 @@ def load_reference(spark: SparkSession, path: str) -> DriftReference:
     return DriftReference(facts, spark.read.parquet(f"{path}/values"), settings["psi_threshold"], settings["ks_alpha"])
 
 
-def _edges(fact: dict) -> list[float]:
-    return even_edges(fact["lo"], fact["hi"], PSI_BINS)
-
-
 def _bin_counts(df: DataFrame, facts: dict[str, dict]) -> DataFrame:
-    """(feature, bin, n) over the reference's bins; the null bin counts values outside all of them."""
-    cells = [
-        f"struct({lit_text(f)} AS feature, {double_sql(df, f)} AS value, {edge_bin_sql(double_sql(df, f), _edges(fact))} AS bin)"
-        for f, fact in facts.items()
-    ]
-    found = df.selectExpr(inline_sql(cells)).where("value IS NOT NULL")
+    """(feature, bin, n) over the reference's bins; the null bin counts values outside all of them.
+
+    A value's bin is first guessed from the width of the bins, then moved by one where the exact
+    edges say so: a few operations however many bins there are.
+    """
+    clean = df.selectExpr(*[f"{double_sql(df, f)} AS v{i}" for i, f in enumerate(facts)])
+    guesses, bins, cells = [], [], []
+    for i, (f, fact) in enumerate(facts.items()):
+        low, high = lit_double(fact["lo"]), lit_double(fact["hi"])
+        step = (fact["hi"] - fact["lo"]) / PSI_BINS
+        guess = f"greatest(0, least({PSI_BINS - 1}, int((v{i} - {low}) / {lit_double(step)})))" if step else str(PSI_BINS - 1)
+        guesses.append(f"if(v{i} BETWEEN {low} AND {high}, {guess}, null) AS g{i}")
+        edge = f"{low} + {{0}} * {lit_double(step)}"
+        below = f"g{i} > 0 AND v{i} < {edge.format(f'g{i}')}"
+        above = f"g{i} < {PSI_BINS - 1} AND v{i} >= {edge.format(f'(g{i} + 1)')}"
+        bins.append(f"g{i} + 1 + int({above}) - int({below}) AS b{i}")
+        cells.append(f"struct({lit_text(f)} AS feature, b{i} AS bin, v{i} IS NOT NULL AS known)")
+    binned = clean.selectExpr("*", *guesses).selectExpr("*", *bins)
+    found = binned.selectExpr(inline_sql(cells)).where("known")
     return found.groupBy("feature", "bin").agg(F.count("*").alias("n"))
 
 
+def _numbered_cells(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(f, value) with the place of the feature in the list, missing cells left out."""
+    clean = df.selectExpr(*[f"{double_sql(df, x)} AS v{i}" for i, x in enumerate(features)])
+    return clean.selectExpr(inline_sql([f"struct({i} AS f, v{i} AS value)" for i in range(len(features))])).where("value IS NOT NULL")
+
+
 def _both_sides(reference: DriftReference, batch: DataFrame, present: Sequence[str]) -> DataFrame:
-    """(feature, value, n_ref, n_cur) with rows of either side, not yet folded."""
-    zero = F.lit(0).cast("long")
-    one = F.lit(1).cast("long")
-    ref = reference.values.where(F.col("feature").isin(list(present))).select(
-        "feature", "value", F.col("n").alias("n_ref"), zero.alias("n_cur")
-    )
-    cur = long_cells(batch, present, "double").select("feature", "value", zero.alias("n_ref"), one.alias("n_cur"))
-    return ref.unionByName(cur)
+    """(f, value, n_ref, n_cur) with rows of either side, not yet folded."""
+    if reference.base is not None:
+        ref = _numbered_cells(reference.base, present).selectExpr("f", "value", "1L AS n_ref", "0L AS n_cur")
+    else:
+        place = " ".join(f"WHEN {lit_text(x)} THEN {i}" for i, x in enumerate(present))
+        ref = reference.values.selectExpr(f"CASE feature {place} END AS f", "value", "n AS n_ref", "0L AS n_cur").where("f IS NOT NULL")
+    return ref.unionByName(_numbered_cells(batch, present).selectExpr("f", "value", "0L AS n_ref", "1L AS n_cur"))
 
 
 def _present(reference: DriftReference, batch: DataFrame) -> list[str]:
@@ -190,40 +206,44 @@ def ks_two_sample(reference: DriftReference, batch: DataFrame) -> DataFrame:
     cuts = _joint_cuts(reference, batch, present)
     folded = (
         _both_sides(reference, batch, present)
-        .groupBy("feature", "value")
+        .groupBy("f", "value")
         .agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
     )
-    run = running_totals(_with_feature_range(folded, cuts), "value", ["n_ref", "n_cur"], "range", by=["feature"])
-    upto = [
-        (F.col(f"{s}_before") + F.col(s)).cast("double") / F.col(f"{s}_total").cast("double") for s in ("n_ref", "n_cur")
-    ]
-    best = run.groupBy("feature").agg(
-        F.max("n_ref_total").alias("n_ref"), F.max("n_cur_total").alias("n_cur"), F.max(F.abs(upto[0] - upto[1])).alias("d")
+    run = running_totals(_with_feature_range(folded, cuts), "value", ["n_ref", "n_cur"], "range", by=["f"])
+    gap = "abs((n_ref_before + n_ref) / n_ref_total - (n_cur_before + n_cur) / n_cur_total)"
+    best = run.groupBy("f").agg(
+        F.expr("max(n_ref_total) AS n_ref"), F.expr("max(n_cur_total) AS n_cur"), F.expr(f"max({gap}) AS d")
     )
+    names = ", ".join(map(lit_text, present))
+    best = best.selectExpr(f"array({names})[f] AS feature", "n_ref", "n_cur", "d")
     enough = best.where((F.col("n_cur") >= MIN_VALUES) & (F.col("n_ref") > 0))
     return enough.withColumn("pvalue", ks_pvalue(F.col("d"), F.col("n_ref"), F.col("n_cur")))
 
 
-def _joint_cuts(reference: DriftReference, batch: DataFrame, present: Sequence[str]) -> dict[str, list[float]]:
+def _joint_cuts(reference: DriftReference, batch: DataFrame, present: Sequence[str]) -> list[list[float]]:
     """Quantile cut points per feature taken from both sides, so that neither crowds one range."""
     ranges = max(MIN_RANGES, -(-range_count(batch) // len(present)))
-    wide = batch.select(*[as_double(batch, f).alias(f) for f in present])
-    cuts = quantile_cuts(wide, present, ranges)
-    steps = [i / ranges for i in range(1, ranges)]
-    of_ref = reference.values.groupBy("feature").agg(F.percentile_approx("value", steps, max(1_000, 10 * ranges)).alias("q"))
-    for r in of_ref.collect():
-        if r["feature"] in cuts:
-            cuts[r["feature"]] = sorted({*cuts[r["feature"]], *r["q"]})
-    return cuts
-
-
-def _with_feature_range(folded: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
+    wide = batch.selectExpr(*[f"{double_sql(batch, x)} AS {q(x)}" for x in present])
+    cuts = {x: set(v) for x, v in quantile_cuts(wide, present, ranges).items()}
+    if reference.base is not None:
+        base = reference.base.selectExpr(*[f"{double_sql(reference.base, x)} AS {q(x)}" for x in present])
+        for x, v in quantile_cuts(base, present, ranges).items():
+            cuts[x] |= set(v)
+    else:
+        at = ", ".join(lit_double(i / ranges) for i in range(1, ranges))
+        sketch = F.expr(f"percentile_approx(value, array({at}), {max(1_000, 10 * ranges)})").alias("q")
+        for r in reference.values.groupBy("feature").agg(sketch).collect():
+            if r["feature"] in cuts:
+                cuts[r["feature"]] |= set(r["q"])
+    return [sorted(cuts[x]) for x in present]
+
+
+def _with_feature_range(folded: DataFrame, cuts: list[list[float]]) -> DataFrame:
     """Add ``range``: the place of ``value`` among its own feature's cut points."""
-    own = {f"v{i}": F.when(F.col("feature") == f, F.col("value")) for i, f in enumerate(cuts)}
-    spread = with_ranges(folded.withColumns(own), {f"v{i}": points for i, points in enumerate(cuts.values())})
+    own = folded.selectExpr("*", *[f"if(f = {i}, value, null) AS v{i}" for i in range(len(cuts))])
+    spread = with_ranges(own, {f"v{i}": points for i, points in enumerate(cuts)})
     # A row has a value, and so a range above 0, in its own feature's column only.
-    place = sum((F.col(f"v{i}__range") for i in range(len(cuts))), F.lit(0))
-    return spread.select(*folded.columns, place.alias("range"))
+    return spread.selectExpr(*folded.columns, " + ".join(f"v{i}__range" for i in range(len(cuts))) + " AS range")
 
 
 def drift_report(reference: DriftReference, batch: DataFrame) -> DataFrame:

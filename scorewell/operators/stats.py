@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorewell.functions.exprs import (
+    EDGE_SPACE,
     FALSE_WORDS,
     NUMBER_DECORATION,
     NUMBER_PATTERN,
@@ -71,6 +72,8 @@ def _measures(df: DataFrame, name: str, wanted: Iterable[str]) -> dict[str, str]
         out["avg_len"] = f"avg(length({value}))"
     if "numeric_like" in wanted and text:
         out["numeric_like"] = count_sql(f"regexp_replace({value}, r'{NUMBER_DECORATION}', '') RLIKE r'{NUMBER_PATTERN}'")
+    if "padded" in wanted and text:
+        out["padded"] = count_sql(f"regexp_replace({value}, r'{EDGE_SPACE}', '') <> {value}")
     if "boolean_like" in wanted and text:
         words = ", ".join(lit_text(w) for w in TRUE_WORDS + FALSE_WORDS)
         known = f"lower({value}) IN ({words})"
@@ -155,7 +158,7 @@ def settle_distinct(df: DataFrame, approx: dict[str, int], cutoffs: dict[str, Se
 
 
 def exact_quantiles(
-    df: DataFrame, cols: Sequence[str], probs: Sequence[float], buffer_values: int = BUFFER_VALUES
+    df: DataFrame, cols: Sequence[str], probs: Sequence[float], buffer_values: int = BUFFER_VALUES, min_values: int = 0
 ) -> dict[str, list[float | None]]:
     """Linear-interpolated quantiles per column, exact at any size, as driver values.
 
@@ -163,20 +166,30 @@ def exact_quantiles(
     bounded number of them. Columns with few distinct values go to it whole. For the others each
     quantile is first enclosed in an interval from a sketch, the values below and inside are
     counted, and this repeats until few enough are inside; each step is a scan with no shuffle.
+    Columns with fewer than ``min_values`` values are left out.
     """
     cols, probs = list(cols), list(probs)
     if not cols:
         return {}
     values = {name: double_sql(df, name) for name in cols}
+    margin = 3.0 / SKETCH_ACCURACY
+    around = ", ".join(lit_double(e) for p in probs for e in (max(0.0, p - margin), min(1.0, p + margin)))
     row = aggregate(
         df,
         {f"n{i}": f"count({v})" for i, v in enumerate(values.values())}
-        | {f"d{i}": sketched_distinct(v) for i, v in enumerate(values.values())},
+        | {f"d{i}": sketched_distinct(v) for i, v in enumerate(values.values())}
+        | {f"c{i}": f"percentile_approx({v}, array({around}), {SKETCH_ACCURACY})" for i, v in enumerate(values.values())},
     )
     sizes = {name: row[f"n{i}"] for i, name in enumerate(cols)}
     share = max(1_000, buffer_values // (len(cols) * max(len(probs), 1)))
     # (column, prob) -> [interval or None for the whole column, values below it, inside it, small enough].
     bands = {(x, p): [None, 0, sizes[x], row[f"d{i}"] <= share] for i, x in enumerate(cols) for p in probs}
+    # The first intervals come with the sizes.
+    ends = {
+        (x, p): (row[f"c{i}"][2 * j], row[f"c{i}"][2 * j + 1]) if row[f"c{i}"] else None
+        for i, x in enumerate(cols)
+        for j, p in enumerate(probs)
+    }
 
     def rank(name: str, p: float) -> float:
         return (sizes[name] - 1) * p
@@ -186,28 +199,30 @@ def exact_quantiles(
         return f"{v} IS NOT NULL" if band is None else f"{v} BETWEEN {lit_double(band[0])} AND {lit_double(band[1])}"
 
     while wide := [key for key, b in bands.items() if not b[3] and b[2] > share]:
-        cuts = {}
-        for k, (name, p) in enumerate(wide):
-            band, below, count, _ = bands[name, p]
-            place, margin = rank(name, p) - below, 3.0 / SKETCH_ACCURACY
-            ends = [max(0.0, place / count - margin), min(1.0, (place + 1) / count + margin)]
-            kept = f"if({inside(name, band)}, {values[name]}, null)"
-            cuts[f"c{k}"] = f"percentile_approx({kept}, array({', '.join(map(lit_double, ends))}), {SKETCH_ACCURACY})"
-        found = aggregate(df, cuts)
-        narrower = {key: tuple(found[f"c{k}"]) for k, key in enumerate(wide)}
+        if not ends:
+            cuts = {}
+            for k, (name, p) in enumerate(wide):
+                band, below, count, _ = bands[name, p]
+                at = (rank(name, p) - below) / count
+                kept = f"if({inside(name, band)}, {values[name]}, null)"
+                pair = f"{lit_double(max(0.0, at - margin))}, {lit_double(min(1.0, at + 1 / count + margin))}"
+                cuts[f"c{k}"] = f"percentile_approx({kept}, array({pair}), {SKETCH_ACCURACY})"
+            found = aggregate(df, cuts)
+            ends = {key: tuple(found[f"c{k}"]) for k, key in enumerate(wide)}
         counted = aggregate(
             df,
-            {f"b{k}": count_sql(f"{values[x]} < {lit_double(narrower[x, p][0])}") for k, (x, p) in enumerate(wide)}
-            | {f"i{k}": count_sql(inside(x, narrower[x, p])) for k, (x, p) in enumerate(wide)},
+            {f"b{k}": count_sql(f"{values[x]} < {lit_double(ends[x, p][0])}") for k, (x, p) in enumerate(wide)}
+            | {f"i{k}": count_sql(inside(x, ends[x, p])) for k, (x, p) in enumerate(wide)},
         )
         for k, (name, p) in enumerate(wide):
             below, count = counted[f"b{k}"], counted[f"i{k}"]
             holds = below <= math.floor(rank(name, p)) and math.ceil(rank(name, p)) < below + count
             if holds and count < bands[name, p][2]:
                 # One repeated value is small whatever its count.
-                bands[name, p] = [narrower[name, p], below, count, narrower[name, p][0] == narrower[name, p][1]]
+                bands[name, p] = [ends[name, p], below, count, ends[name, p][0] == ends[name, p][1]]
             else:
                 bands[name, p][3] = True
+        ends = {}
 
     def place(name: str, p: float) -> float:
         _, below, count, _ = bands[name, p]
@@ -229,7 +244,7 @@ def exact_quantiles(
     for k, ((name, _), ps) in enumerate(shared.items()):
         for p, value in zip(ps, row[f"q{k}"] or [None] * len(ps)):
             flat[name, p] = value
-    return {name: [flat[name, p] for p in probs] for name in cols}
+    return {name: [flat[name, p] for p in probs] for name in cols if sizes[name] >= min_values}
 
 
 def exact_modes(df: DataFrame, cols: Sequence[str]) -> dict[str, object]:
