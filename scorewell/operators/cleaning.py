@@ -17,7 +17,6 @@ from scorewell.functions.exprs import (
     as_double,
     c,
     clamp,
-    count_if,
     count_sql,
     double_sql,
     is_numeric,

@@ -166,20 +166,17 @@ def explain_tree(
     )
 
 
-def _ranked(condition: str, k: int) -> str:
-    chosen = f"filter(impacts, i -> {condition})"
-    keyed = f"transform({chosen}, i -> struct(-abs(i.impact) AS o, i.feature AS feature, i.impact AS impact))"
-    return f"slice(array_sort({keyed}), 1, {k})"
-
-
 def top_impacts(explained: DataFrame, keys: Sequence[str], k: int = ROW_TOP) -> DataFrame:
     """(keys, kind, rank, feature, impact): the k largest impacts by size, and the k largest among
     the positive and among the negative ones."""
-    kinds = {"absolute": "true", "positive": "i.impact > 0", "negative": "i.impact < 0"}
-    groups = ", ".join(f"struct({lit_text(name)} AS kind, {_ranked(cond, k)} AS top)" for name, cond in kinds.items())
-    spread = explained.select(*[c(x) for x in keys], F.expr(f"inline(array({groups}))"))
-    return spread.select(*[c(x) for x in keys], "kind", F.posexplode("top").alias("pos", "t")).select(
-        *[c(x) for x in keys], "kind", (F.col("pos") + 1).alias("rank"), "t.feature", "t.impact"
+    kept = [c(x) for x in keys]
+    keyed = "transform(impacts, i -> struct(-abs(i.impact) AS o, i.feature AS feature, i.impact AS impact))"
+    ordered = explained.select(*kept, F.expr(f"array_sort({keyed}) AS ordered"))
+    kinds = {"absolute": "ordered", "positive": "filter(ordered, i -> i.impact > 0)", "negative": "filter(ordered, i -> i.impact < 0)"}
+    groups = ", ".join(f"struct({lit_text(name)} AS kind, slice({chosen}, 1, {k}) AS top)" for name, chosen in kinds.items())
+    spread = ordered.select(*kept, F.expr(f"inline(array({groups}))"))
+    return spread.select(*kept, "kind", F.posexplode("top").alias("pos", "t")).select(
+        *kept, "kind", (F.col("pos") + 1).alias("rank"), "t.feature", "t.impact"
     )
 
 
