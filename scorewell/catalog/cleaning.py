@@ -18,7 +18,7 @@ def dirty_events(spark, sf_dir):
     return e.select(
         "event_id",
         F.when(kind != "error", value).alias("holey"),
-        F.when((value < 0.5) & (kind == "view"), value).alias("sparse"),
+        F.when((value < 8) & (kind == "view"), value).alias("sparse"),
         F.lit("same").alias("fixed"),
         F.when(kind == "click", "Yes").when(kind == "view", "no").when(kind == "error", "Y").alias("flag"),
         F.concat(F.lit("$ "), value.cast("decimal(10,2)").cast("string"), F.when(kind == "signup", " %").otherwise("")).alias("amount"),
@@ -29,7 +29,7 @@ def dirty_events(spark, sf_dir):
 
 
 DIRTY = """dirty AS (SELECT event_id, CASE WHEN event_type <> 'error' THEN value END AS holey,
-  CASE WHEN value < 0.5 AND event_type = 'view' THEN value END AS sparse, 'same' AS fixed,
+  CASE WHEN value < 8 AND event_type = 'view' THEN value END AS sparse, 'same' AS fixed,
   CASE event_type WHEN 'click' THEN 'Yes' WHEN 'view' THEN 'no' WHEN 'error' THEN 'Y' END AS flag,
   '$ ' || CAST(CAST(value AS DECIMAL(10,2)) AS VARCHAR) || CASE WHEN event_type = 'signup' THEN ' %' ELSE '' END AS amount,
   '  ' || event_type || chr(9) AS padded, CASE WHEN event_type <> 'signup' THEN event_type END AS kind,

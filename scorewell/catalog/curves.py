@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from scorewell.catalog.common import CURVE, RATES, SCORED, TIED, Catalog, rounded, scored_events, tied_lineitem
 from scorewell.operators import curves, evaluate, thresholds

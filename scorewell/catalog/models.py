@@ -97,12 +97,13 @@ def save_load_model(spark, sf_dir):
 
 
 # A fixed linear score, so that its impacts can be stated in SQL.
-WEIGHTS = {"l_quantity": 0.04, "l_extendedprice": -0.00002, "l_discount": 6.0, "l_tax": -3.0}
-KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+WEIGHTS = {"value": 0.04, "user_id": -0.002, "hour": 0.3, "minute": -0.05}
+KEYS = ["event_id"]
+FACTS = "facts AS (SELECT event_id, value, user_id, hour(ts) AS hour, minute(ts) AS minute FROM events)"
 IMPACTS = (
-    "imp AS ("
+    f"{FACTS}, imp AS ("
     + " UNION ALL ".join(
-        f"SELECT {', '.join(KEYS)}, '{f}' AS feature, {w!r}::DOUBLE * ({f} - (SELECT avg({f}) FROM lineitem)) AS impact FROM lineitem"
+        f"SELECT event_id, '{f}' AS feature, {w!r}::DOUBLE * ({f} - (SELECT avg({f}) FROM facts)) AS impact FROM facts"
         for f, w in WEIGHTS.items()
     )
     + ")"
@@ -110,9 +111,10 @@ IMPACTS = (
 
 
 def linear_impacts(spark, sf_dir):
-    items = table(spark, sf_dir, "lineitem")
-    means = items.agg(*[F.avg(f).alias(f) for f in WEIGHTS]).first().asDict()
-    return explain.explain_linear(items, KEYS, WEIGHTS, means)
+    e = table(spark, sf_dir, "events")
+    facts = e.select("event_id", "value", "user_id", F.hour("ts").alias("hour"), F.minute("ts").alias("minute"))
+    means = facts.agg(*[F.avg(f).alias(f) for f in WEIGHTS]).first().asDict()
+    return explain.explain_linear(facts, KEYS, WEIGHTS, means)
 
 
 @catalog.add("explain_linear", f"WITH {IMPACTS} SELECT * REPLACE (round(impact, 6) AS impact) FROM imp")
