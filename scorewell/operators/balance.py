@@ -15,6 +15,8 @@ from scorewell.operators.sampling import class_sizes, hash_at_ranks
 
 NEIGHBOURS = 5
 BLOCK_ROWS = 4_096
+MAX_BLOCK_ROWS = 16_384
+CELLS_PER_STEP = 4_000_000
 COPIES_PER_ROW = 1_000
 
 
@@ -42,6 +44,26 @@ def scale_pos_weight(df: DataFrame, label: str) -> DataFrame:
     return df.agg(F.try_divide(neg.cast("double"), pos.cast("double")).alias("scale_pos_weight"))
 
 
+def _best_in_block(x: np.ndarray, xk: np.ndarray, y: np.ndarray, yk: np.ndarray, k: int) -> pd.DataFrame:
+    """The k nearest rows of ``y`` for each row of ``x``, a row itself left out.
+
+    A matrix product gives the distances up to rounding. All rows within that rounding of the
+    k-th are kept, and only their distances are worked out from the differences.
+    """
+    square_x, square_y = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    rough = square_x[:, None] + square_y[None, :] - 2.0 * (x @ y.T)
+    rough[xk[:, None] == yk[None, :]] = np.inf
+    limit = np.partition(rough, k - 1, axis=1)[:, k - 1] if k < len(y) else np.full(len(x), np.finfo(float).max)
+    slack = 1e-9 * (square_x + square_y.max())
+    rows, cols = np.nonzero((rough <= (limit + slack)[:, None]) & np.isfinite(rough))
+    exact = ((x[rows] - y[cols]) ** 2).sum(axis=1)
+    order = np.lexsort((yk[cols], exact, rows))
+    rows, cols, exact = rows[order], cols[order], exact[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
+    best = place < k
+    return pd.DataFrame({"key": xk[rows[best]], "neighbour": yk[cols[best]], "dist": exact[best]})
+
+
 def nearest_neighbours(rows: DataFrame, key: str, vector: str, k: int, n: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(key, rank, neighbour): the k nearest other rows of each row, exactly.
 
@@ -60,27 +82,13 @@ def nearest_neighbours(rows: DataFrame, key: str, vector: str, k: int, n: int, b
     asked = base.select("key", "vec", F.col("home").alias("b"), others.alias("a"))
 
     def best_of_pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"key": [], "neighbour": [], "dist": []}).astype({"key": "int64", "neighbour": "int64"})
         if left.empty or right.empty:
-            return empty
+            return pd.DataFrame({"key": [], "neighbour": [], "dist": []})
         x, y = np.stack(left["vec"].to_numpy()), np.stack(right["vec"].to_numpy())
         xk, yk = left["key"].to_numpy(), right["key"].to_numpy()
-        order = np.argsort(yk, kind="stable")
-        y, yk = y[order], yk[order]
-        parts = []
-        step = max(1, 8_000_000 // max(1, y.size))
-        for i in range(0, len(x), step):
-            dist = ((x[i : i + step, None, :] - y[None, :, :]) ** 2).sum(axis=2)
-            dist[xk[i : i + step, None] == yk[None, :]] = np.inf
-            take = np.argsort(dist, axis=1, kind="stable")[:, :k]
-            found = np.take_along_axis(dist, take, axis=1)
-            parts.append(
-                pd.DataFrame(
-                    {"key": np.repeat(xk[i : i + step], take.shape[1]), "neighbour": yk[take].ravel(), "dist": found.ravel()}
-                )
-            )
-        out = pd.concat(parts)
-        return out[np.isfinite(out["dist"])]
+        step = max(1, CELLS_PER_STEP // len(y))
+        parts = [_best_in_block(x[i : i + step], xk[i : i + step], y, yk, k) for i in range(0, len(x), step)]
+        return pd.concat(parts)
 
     found = (
         asking.groupBy("a", "b")
@@ -126,7 +134,9 @@ def smote(
     vectors = original.where(c(label) == F.lit(minority)).select(
         c(key).alias("key"), F.array(*[c(f) for f in features]).alias("vec")
     )
-    pairs = nearest_neighbours(vectors, "key", "vec", k, n_min, block_rows)
+    # Larger blocks for more rows: rows are copied once per block they meet.
+    size = max(block_rows, min(MAX_BLOCK_ROWS, n_min // 64))
+    pairs = nearest_neighbours(vectors, "key", "vec", k, n_min, size)
     made = _between(vectors, pairs, needed, n_min, k, seed)
     dtype = df.schema[label].dataType
     synthetic = made.select(

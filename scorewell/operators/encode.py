@@ -87,6 +87,7 @@ class OneHot:
     kept: dict[str, list[str]]
     pooled: dict[str, list[str] | None]
     seen: DataFrame
+    modes: dict[str, str]
 
     def names(self, column: str) -> list[str]:
         extra = [f"{column}={POOLED}"] if self.pooled[column] != [] else []
@@ -122,7 +123,10 @@ def fit_one_hot(
     """Categories in sorted order. Beyond ``max_categories`` the most frequent stay (the later
     value among equals) and one more column takes the rest."""
     counts = value_counts(df, cols).persist(StorageLevel.MEMORY_AND_DISK)
-    totals = {r["feature"]: r["n"] for r in counts.groupBy("feature").agg(F.count("*").alias("n")).collect()}
+    facts = counts.groupBy("feature").agg(
+        F.count("*").alias("n"), F.expr("min_by(value, struct(-n, value)) AS mode")
+    ).collect()
+    totals = {r["feature"]: r["n"] for r in facts}
     keep = {
         x: totals.get(x, 0) if max_categories is None or totals.get(x, 0) <= max_categories else max_categories - 1
         for x in cols
@@ -146,7 +150,8 @@ def fit_one_hot(
             seen = counts.where((F.col("feature") == x) & ~F.col("value").isin(kept[x]))
             pooled[x] = sorted(r["value"] for r in seen.select("value").collect())
     counts.unpersist()
-    return OneHot({x: sorted(v) for x, v in kept.items()}, pooled, counts.select("feature", "value"))
+    modes = {r["feature"]: r["mode"] for r in facts}
+    return OneHot({x: sorted(v) for x, v in kept.items()}, pooled, counts.select("feature", "value"), modes)
 
 
 def one_hot(df: DataFrame, cols: Sequence[str], max_categories: int | None = MAX_CATEGORIES) -> DataFrame:

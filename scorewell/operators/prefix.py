@@ -19,22 +19,34 @@ from scorewell.functions.exprs import lit_double, q
 
 MAX_RANGES = 20_000
 MIN_RANGES = 4
+ROWS_PER_RANGE = 5_000_000
 
 
 def range_count(df: DataFrame) -> int:
-    """How many ranges to use: some per shuffle partition, within a fixed bound."""
+    """How many ranges to start from: some per shuffle partition, within a fixed bound."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     return max(MIN_RANGES, min(MAX_RANGES, 2 * partitions))
 
 
 def quantile_cuts(df: DataFrame, cols: Sequence[str], ranges: int | None = None) -> dict[str, list[float]]:
-    """Sketched quantile cut points per column, from one aggregation over ``df``."""
+    """Sketched quantile cut points per column, from one aggregation over ``df``.
+
+    A table with more than ``ROWS_PER_RANGE`` rows per range is sketched once more, more finely,
+    so that a range stays within what one task sorts well.
+    """
     n = ranges or range_count(df)
-    steps = [i / n for i in range(1, n)]
-    accuracy = max(1_000, 10 * n)
-    at = ", ".join(lit_double(s) for s in steps)
-    row = df.selectExpr(*[f"percentile_approx({q(col)}, array({at}), {accuracy}) AS q{i}" for i, col in enumerate(cols)]).first()
-    return {col: sorted({float(v) for v in row[f"q{i}"] or []}) for i, col in enumerate(cols)}
+
+    def sketch(parts: int):
+        at = ", ".join(lit_double(i / parts) for i in range(1, parts))
+        accuracy = max(1_000, 10 * parts)
+        return df.selectExpr(
+            "count(1) AS n", *[f"percentile_approx({q(x)}, array({at}), {accuracy}) AS q{i}" for i, x in enumerate(cols)]
+        ).first()
+
+    row = sketch(n)
+    if row["n"] > n * ROWS_PER_RANGE and n < MAX_RANGES:
+        row = sketch(min(MAX_RANGES, -(-row["n"] // ROWS_PER_RANGE)))
+    return {x: sorted({float(v) for v in row[f"q{i}"] or []}) for i, x in enumerate(cols)}
 
 
 def splits_of(cuts: Sequence[float]) -> list[float]:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from scorewell.functions.exprs import HASH_BITS, c, count_if, key_hash
 
 SEED = 42
-MAX_CLASSES = 10_000
+MAX_CLASSES = 200
 BAND_HASHES = 100_000
 HASH_END = 1 << HASH_BITS
 
@@ -116,10 +116,14 @@ def uniform_sample(df: DataFrame, n: int, keys: Sequence[str], seed: int = SEED)
 
 
 def stratified_sample(df: DataFrame, max_rows: int, keys: Sequence[str], by: str | None, seed: int = SEED) -> DataFrame:
-    """At most ``max_rows`` rows with the class shares kept; a plain sample without a class column."""
+    """At most ``max_rows`` rows with the class shares kept; a plain sample without a class column
+    or with one of more than ``MAX_CLASSES`` values."""
     if by is None or by not in df.columns:
         return uniform_sample(df, max_rows, keys, seed)
-    sizes = class_sizes(df, by)
+    try:
+        sizes = class_sizes(df, by)
+    except ValueError:
+        return uniform_sample(df, max_rows, keys, seed)
     total = sum(sizes.values())
     if total <= max_rows:
         return df

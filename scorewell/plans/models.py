@@ -27,7 +27,6 @@ from scorewell.operators.evaluate import classification_summary
 from scorewell.operators.quality import dataset_profile, tier_of
 from scorewell.operators.sampling import stratified_folds, stratified_sample, stratified_split, uniform_sample
 from scorewell.operators.scoring import add_risk_band, decide
-from scorewell.operators.stats import exact_modes
 from scorewell.operators.thresholds import FALSE_ALARM_COST, MISS_COST, best_threshold, choose_threshold, cost_at
 
 log = logging.getLogger(__name__)
@@ -76,13 +75,12 @@ def build_preprocessor(
     if categorical:
         texts = train.selectExpr(*[f"cast({q(x)} AS string) AS {q(x)}" for x in categorical])
         fitted = fit_one_hot(texts, categorical, max_categories)
-        modes = exact_modes(texts, categorical)
         for x in list(categorical):
             kept, rest = fitted.kept[x], fitted.pooled[x]
             if not kept:
                 categorical.remove(x)
                 continue
-            text = f"coalesce(cast({q(x)} AS string), {lit_text(modes[x])})"
+            text = f"coalesce(cast({q(x)} AS string), {lit_text(fitted.modes[x])})"
             if rest is None:
                 # Too many pooled values to list: anything not kept counts as pooled.
                 text = f"if({text} IN ({', '.join(map(lit_text, kept))}), {text}, {lit_text(POOLED)})"
