@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +27,7 @@ MIN_VALUES = 10
 RATIO_HIGH, RATIO_MODERATE = 0.3, 0.1
 LISTED_FEATURES = 10
 KS_TERMS = 100
+EXACT_KS_VALUES = 10_000
 
 
 FACTS = ["n", "mean", "std_pop", "lo", "hi", "bins"]
@@ -193,9 +197,50 @@ def ks_pvalue(d: Column, n1: Column, n2: Column) -> Column:
     return F.when(lam < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2.0 * series)))
 
 
-def ks_two_sample(reference: DriftReference, batch: DataFrame) -> DataFrame:
+def exact_ks_pvalue(d: float, n1: int, n2: int) -> float:
+    """The chance of a gap of at least ``d`` when both samples come from one continuous law.
+
+    Every order of the pooled sample is a path through an n1 x n2 grid; the paths that stay inside
+    the band of smaller gaps are counted row by row, scaled as they grow.
+    """
+    reach = round(d * n1 * n2)
+    if reach <= 0:
+        return 1.0
+    ways = np.zeros(n2 + 1)
+    ways[0] = 1.0
+    log_scale = 0.0
+    for i in range(n1 + 1):
+        low = max(0, (i * n2 - reach) // n1 + 1)
+        high = min(n2, -((-i * n2 - reach) // n1) - 1)
+        if high < low:
+            return 1.0
+        ways[:low] = 0.0
+        ways[high + 1 :] = 0.0
+        ways[low : high + 1] = np.cumsum(ways[low : high + 1])
+        top = ways[high]
+        if top == 0.0:
+            return 1.0
+        ways /= top
+        log_scale += math.log(top)
+    log_paths = math.lgamma(n1 + n2 + 1) - math.lgamma(n1 + 1) - math.lgamma(n2 + 1)
+    inside = math.exp(math.log(ways[n2]) + log_scale - log_paths) if ways[n2] > 0 else 0.0
+    return min(1.0, max(0.0, 1.0 - inside))
+
+
+def _exact_where_small(limit: int):
+    @F.pandas_udf("double")
+    def pvalue(d: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
+        return pd.Series([exact_ks_pvalue(x, a, b) if max(a, b) <= limit else math.nan for x, a, b in zip(d, n1, n2)], dtype="float64")
+
+    return pvalue
+
+
+def ks_two_sample(reference: DriftReference, batch: DataFrame, exact_below: int = EXACT_KS_VALUES) -> DataFrame:
     """(feature, n_ref, n_cur, d, pvalue): the largest gap between the two empirical distributions.
 
+    The p-value is exact while neither side has more than ``exact_below`` values, one number per
+    feature, and by the series beyond that.
+
     Equal values are folded first; the running counts per feature go range by range, so a feature
     with most of the values is spread over many tasks.
     """
@@ -217,7 +262,11 @@ def ks_two_sample(reference: DriftReference, batch: DataFrame) -> DataFrame:
     names = ", ".join(map(lit_text, present))
     best = best.selectExpr(f"array({names})[f] AS feature", "n_ref", "n_cur", "d")
     enough = best.where((F.col("n_cur") >= MIN_VALUES) & (F.col("n_ref") > 0))
-    return enough.withColumn("pvalue", ks_pvalue(F.col("d"), F.col("n_ref"), F.col("n_cur")))
+    size = (F.col("d"), F.col("n_ref"), F.col("n_cur"))
+    if not exact_below:
+        return enough.withColumn("pvalue", ks_pvalue(*size))
+    both = enough.withColumns({"exact": _exact_where_small(exact_below)(*size), "series": ks_pvalue(*size)})
+    return both.select("feature", "n_ref", "n_cur", "d", F.nanvl("exact", "series").alias("pvalue"))
 
 
 def _joint_cuts(reference: DriftReference, batch: DataFrame, present: Sequence[str]) -> list[list[float]]:
@@ -246,9 +295,9 @@ def _with_feature_range(folded: DataFrame, cuts: list[list[float]]) -> DataFrame
     return spread.selectExpr(*folded.columns, " + ".join(f"v{i}__range" for i in range(len(cuts))) + " AS range")
 
 
-def drift_report(reference: DriftReference, batch: DataFrame) -> DataFrame:
-    """(feature, psi, pvalue, drifted, status) per feature present in both."""
-    joined = psi(reference, batch).join(ks_two_sample(reference, batch), "feature")
+def drift_report(reference: DriftReference, batch: DataFrame, exact_below: int = EXACT_KS_VALUES) -> DataFrame:
+    """(feature, psi, pvalue, d, drifted, status) per feature present in both."""
+    joined = psi(reference, batch).join(ks_two_sample(reference, batch, exact_below), "feature")
     psi4 = F.round("psi", 4)
     drifted = (psi4 >= reference.psi_threshold) | (F.col("pvalue") < reference.ks_alpha)
     status = F.when(psi4 >= PSI_HIGH, "HIGH").when(psi4 >= PSI_MODERATE, "MODERATE").otherwise("OK")

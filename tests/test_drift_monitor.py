@@ -1,4 +1,5 @@
 import datetime as dt
+import itertools
 
 import numpy as np
 import pytest
@@ -78,6 +79,34 @@ def test_ks_pvalue_near_the_exact_law(spark, d, n, p):
     assert row.p == pytest.approx(p, abs=5e-3)
 
 
+@pytest.mark.parametrize("m, n", [(3, 4), (5, 5), (2, 7)])
+def test_exact_ks_pvalue_by_listing_every_order(m, n):
+    gaps = []
+    for places in itertools.combinations(range(m + n), m):
+        a = b = 0
+        worst = 0.0
+        for i in range(m + n):
+            a, b = (a + 1, b) if i in places else (a, b + 1)
+            worst = max(worst, abs(a / m - b / n))
+        gaps.append(worst)
+    for d in sorted(set(round(g, 9) for g in gaps)):
+        expected = sum(g >= d - 1e-7 for g in gaps) / len(gaps)
+        assert drift.exact_ks_pvalue(d, m, n) == pytest.approx(expected)
+
+
+def test_exact_law_and_series_agree_on_large_samples(spark):
+    row = spark.range(1).select(drift.ks_pvalue(F.lit(0.02), F.lit(9_000), F.lit(10_000)).alias("p")).first()
+    assert drift.exact_ks_pvalue(0.02, 9_000, 10_000) == pytest.approx(row.p, abs=2e-3)
+
+
+def test_small_samples_get_the_exact_law(spark):
+    ref, cur = normal(spark, n=60), normal(spark, 0.5, 50, 2)
+    fitted = drift.drift_fit(ref, ["normal"])
+    row = drift.ks_two_sample(fitted, cur).first()
+    assert row.pvalue == pytest.approx(drift.exact_ks_pvalue(row.d, 60, 50))
+    assert drift.ks_two_sample(fitted, cur, exact_below=55).first().pvalue != row.pvalue
+
+
 def prediction_frame(spark, rows):
     stamped = [(i, dt.datetime(2024, 1, 1, 0, 0, i % 60), None, p, s) for i, p, s in rows]
     return spark.createDataFrame(stamped, logs.PREDICTION_SCHEMA)
