@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_local_folders: dict[str, str] = {}
 
 
 def build_session(app_name: str = "scorewell", master: str | None = None, **conf: str) -> SparkSession:
@@ -36,14 +37,29 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="scorewell-")
-    spark.conf.set(CHECKPOINT_CONF, folder)
-    return folder
+    # The setting cannot be changed in a running session, so the folder is remembered here.
+    app = spark.sparkContext.applicationId
+    if app not in _local_folders:
+        _local_folders[app] = tempfile.mkdtemp(prefix="scorewell-")
+    return _local_folders[app]
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/scorewell/{spark.sparkContext.applicationId}"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that nothing has been written to yet."""
-    return f"{shared_dir(spark)}/scorewell/{name}-{uuid.uuid4().hex}"
+    """A path below the shared folder, in this application's own part, that nothing has been written to yet."""
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def discard_stages(spark: SparkSession) -> bool:
+    """Delete everything this application has put below the shared folder.
+
+    Call it once the results that read those tables have been written.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
