@@ -39,6 +39,7 @@ def hash_at_ranks(
     Hashes are uniform, so the one at a rank lies in a narrow known band. The rows below the band
     are counted and the band's hashes gathered, at most about ``BAND_HASHES`` of them; where a band
     would hold more, it is only counted and narrowed again. A band that misses its rank is widened.
+    Rows with equal keys are taken or left together, so with repeated keys a part can be smaller.
     """
     cuts: dict[object, list[int]] = {k: [-1 if r <= 0 else HASH_END for r in rs] for k, rs in ranks.items()}
     # (class, place in its list, rank) -> interval known to hold the rank, rows below it and inside it.
@@ -67,26 +68,40 @@ def hash_at_ranks(
         for j, (key, ((lo, hi), gather)) in enumerate(bands.items()):
             aggs.append(count_if(hits(key[0], 0, lo - 1)).alias(f"b{j}"))
             found = hits(key[0], lo, hi)
-            aggs.append(
-                (F.sort_array(F.collect_list(F.when(found, F.col("h")))) if gather else count_if(found)).alias(f"v{j}")
-            )
+            aggs.append(count_if(found).alias(f"n{j}"))
+            if gather:
+                aggs.append(F.sort_array(F.collect_set(F.when(found, F.col("h")))).alias(f"v{j}"))
         row = hashed.agg(*aggs).first()
         missed = False
         for j, (key, ((lo, hi), gather)) in enumerate(bands.items()):
             k, i, rank = key
-            below, value = row[f"b{j}"], row[f"v{j}"]
-            place, size = rank - 1 - below, len(value) if gather else value
-            if not 0 <= place < size:
+            below, size = row[f"b{j}"], row[f"n{j}"]
+            if not 0 <= rank - 1 - below < size:
                 missed = True
-            elif gather:
-                cuts[k][i] = value[place]
-                del todo[key]
-            else:
+            elif not gather:
                 todo[key] = (lo, hi, below, size)
+            else:
+                del todo[key]
+                if len(row[f"v{j}"]) == size:
+                    cuts[k][i] = row[f"v{j}"][rank - 1 - below]
+                else:
+                    counts = hashed.where(hits(k, lo, hi)).groupBy("h").agg(F.count("*").alias("n")).collect()
+                    cuts[k][i] = _last_whole(sorted((r["h"], r["n"]) for r in counts), rank - below, lo - 1)
         width = width * 4 if missed else 8.0
     return cuts
 
 
+def _last_whole(counts: list[tuple[int, int]], room: int, before: int) -> int:
+    """The last hash whose rows, with all smaller ones, fit into ``room``."""
+    cut = before
+    for h, n in counts:
+        room -= n
+        if room < 0:
+            break
+        cut = h
+    return cut
+
+
 def _per_class(by: str | None, values: dict[object, object], build: Callable[[object], Column]) -> Column:
     """``build(value of the row's class)``; a single expression when there is one class."""
     if by is None:

@@ -164,7 +164,7 @@ def cross_validate(
             return auc_of(estimators[name].fit(fit_rows).transform(test_rows))
 
         with ThreadPoolExecutor(parallelism) as pool:
-            jobs = {name: pool.submit(inheritable_thread_target(evaluate), name) for name in estimators}
+            jobs = {name: pool.submit(inheritable_thread_target(train.sparkSession)(evaluate), name) for name in estimators}
             for name, job in jobs.items():
                 try:
                     totals[name].append(job.result())
@@ -320,8 +320,10 @@ def auto_train(
     if not numeric and not categorical:
         raise ValueError("no usable features")
     encoding = fit_target(df, target, positive_label)
-    labelled = df.select(*[c(k) for k in keys], *[c(x) for x in numeric + categorical], encoding.column(target).alias("label"))
-    keys = list(keys) or labelled.columns
+    # Without keys the whole cleaned row is the key: equal rows then stay on one side of a split.
+    keys = list(keys) or [x for x in df.columns if x != target]
+    kept = list(dict.fromkeys([*keys, *numeric, *categorical]))
+    labelled = df.select(*[c(x) for x in kept], encoding.column(target).alias("label"))
     if row_cap:
         labelled = stratified_sample(labelled, row_cap, keys, "label")
     probe = complexity_probe(labelled, keys, numeric, categorical, effort)

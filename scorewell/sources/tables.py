@@ -47,7 +47,8 @@ def load_csv(
     """A CSV file in a given encoding; bytes that do not decode become U+FFFD.
 
     The file is read in splits, so there is no chunk loop. With ``max_rows`` the table is sampled
-    down to that size, per class of ``target`` where given; ``keys`` identify the rows.
+    down to that size, per class of ``target`` where given; ``keys`` identify the rows, else their
+    place in the file does.
     """
     if encoding.lower() not in ENCODINGS:
         raise ValueError(f"encoding {encoding!r} is not one of {ENCODINGS}")
@@ -63,7 +64,11 @@ def load_csv(
     df = reader.csv(path)
     if max_rows is None:
         return df
-    return stratified_sample(df, max_rows, list(keys) or df.columns, target)
+    if keys:
+        return stratified_sample(df, max_rows, keys, target)
+    # Rows of a file are told apart by their place in it.
+    placed = df.withColumn("__place", F.monotonically_increasing_id())
+    return stratified_sample(placed, max_rows, ["__place"], target).drop("__place")
 
 
 def split_features_target(df: DataFrame, target: str) -> tuple[list[str], str]:

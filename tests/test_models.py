@@ -219,6 +219,7 @@ def test_csv_with_bad_bytes_and_cap(spark, tmp_path):
     assert {r.name for r in latin.collect()} == {"café"}
     assert {r.name for r in tables.load_csv(spark, str(path)).collect()} == {"caf�"}
     assert tables.load_csv(spark, str(path), max_rows=10, keys=["id"]).count() == 10
+    assert tables.load_csv(spark, str(path), max_rows=10).count() == 10
     with pytest.raises(ValueError):
         tables.load_csv(spark, str(path), "ebcdic")
 

@@ -69,6 +69,17 @@ def test_hash_cuts_when_bands_are_narrowed(spark, monkeypatch):
     assert {r.k: r["count"] for r in taken.groupBy("k").count().collect()} == {"x": 1_234, "y": 7}
 
 
+@pytest.mark.parametrize("quota", [1_000, 5_000, 9_000])
+def test_copies_of_a_third_of_the_rows_stay_together(spark, monkeypatch, quota):
+    monkeypatch.setattr(sampling, "BAND_HASHES", 300)
+    df = spark.range(12_000).withColumn("key", F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")))
+    taken = sampling.uniform_sample(df, quota, ["key"])
+    n, copies = taken.count(), taken.where("key = -1").count()
+    assert copies in (0, 4_000)
+    # The part is exact unless taking the copies would have passed the quota.
+    assert n == quota or (n <= quota and copies == 0 and n + 4_000 > quota)
+
+
 def test_split_is_exact_disjoint_and_repeatable(spark):
     df = spark.range(1_000).withColumn("label", (F.col("id") % 10 == 0).cast("int"))
     train, test = sampling.stratified_split(df, ["id"], "label", 0.2)
