@@ -24,7 +24,7 @@ from scorewell.session import materialize
 SEED = 42
 BITS = 64
 RADIUS = 4
-FINGERPRINTS_PER_PART = 4096
+FINGERPRINTS_PER_PART = 2048
 ROWS_AT_ONCE = 1 << 16
 
 
