@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from scorewell.catalog.common import Catalog, table
-from scorewell.llm import kneser_ney, mixture, simhash, token_shards, wand
+from scorewell.llm import disclosure, kneser_ney, line_dedup, markov_secrets, mixture, simhash, spotsigs, style_tree, token_shards, wand
 from scorewell.llm.ship import ship
+from scorewell.llm.spans import count_of, listed
 from scorewell.session import fresh_path, materialize
 
 
@@ -79,3 +80,35 @@ def op9_bm25_wand(spark, sf_dir):
     leak = found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
     overlaps = [F.round(x, 6).alias(f"{x}_overlap") for x in ("question", "answer")]
     return leak.select("doc_id", "item_id", F.round("score", 6).alias("score"), *overlaps)
+
+
+@catalog.add("op5_disclosure")
+def op5_disclosure(spark, sf_dir):
+    found = disclosure.personal_data(table(spark, sf_dir, "documents"))
+    counts = [count_of("base", k).alias(f"n_{k}") for k in disclosure.KINDS[:4]]
+    return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
+@catalog.add("op7_markov_secrets")
+def op7_markov_secrets(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = markov_secrets.secrets(docs, markov_secrets.fit(docs))
+    counts = [count_of("secret_base", k).alias(f"n_{k}") for k in markov_secrets.KINDS[:3]]
+    return found.select("doc_id", *counts, F.sha2(listed("secret_base"), 256).alias("base_sha256"), listed("secret_spans").alias("spans"))
+
+
+@catalog.add("op3_spotsigs")
+def op3_spotsigs(spark, sf_dir):
+    return spotsigs.edited_pairs(table(spark, sf_dir, "documents"))
+
+
+@catalog.add("op4_style_tree")
+def op4_style_tree(spark, sf_dir):
+    found = style_tree.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
+@catalog.add("op6_line_dedup")
+def op6_line_dedup(spark, sf_dir):
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.withColumn("dropped", F.array_join("dropped", ","))
