@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scorewell.llm.batches import slices
 from scorewell.llm.collide import meeting_keys
 from scorewell.llm.graph import components
 from scorewell.session import materialize
@@ -60,7 +61,7 @@ def with_fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", t
     """(doc_id long, fp long) for every row; a null text counts as empty."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             found = np.array([fingerprint(t or b"", width) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])

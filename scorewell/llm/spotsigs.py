@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scorewell.llm.batches import slices
 from scorewell.operators.prefix import quantile_cuts, with_ranges
 from scorewell.session import materialize
 
@@ -74,7 +75,7 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text") -> DataFrame:
     at = own.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [to_fingerprint(signatures(t)) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*batch.schema.names, "spot_fingerprint"])
 
@@ -106,7 +107,7 @@ def similar_pairs(fingerprints: DataFrame, least: float = 0.8) -> DataFrame:
     pairs = met.where(sizes & once & (F.col("left") != F.col("right"))).select("left", "right").distinct()
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sides = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
             found = [likeness(from_fingerprint(a), from_fingerprint(b), least) for a, b in sides]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], ["left", "right", "likeness"])
@@ -147,7 +148,7 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         held = None  # range, extra, id, text, signatures
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for doc, text, group, extra in zip(*[batch.column(i).to_pylist() for i in range(4)]):
                 row = (group, extra, doc, text, signatures(text))

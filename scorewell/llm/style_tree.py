@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scorewell.llm.batches import slices
 from scorewell.session import materialize
 
 #: Importance below which a branch is noise, and pages (other than copies) a host needs for that.
@@ -168,7 +169,7 @@ def style_facts(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 blocks, children = parse(page or "")
@@ -227,7 +228,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
     at = own.index(html_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             lists = batch.column(len(own)).to_pylist()
             texts = [main_text(h, set(n or ())) for h, n in zip(batch.column(at).to_pylist(), lists)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], pa.array(texts, pa.string())], [*own, "main_text"])

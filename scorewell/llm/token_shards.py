@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import io
 import math
+import os
 import re
 from collections.abc import Callable, Iterator
 
@@ -26,12 +27,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from scorewell.llm.batches import slices
 from scorewell.llm.collide import mix
 from scorewell.session import materialize
 
 IDS_PER_SHARD = 1 << 24
 KEYS_PER_BUCKET = 50_000
-PIECES_KEPT = 400_000
+PIECES_KEPT, LONGEST_KEPT = 350_000, 64
 SPARE = 2  # bits per key at each level of the hash function
 MOST_LEVELS = 64
 
@@ -39,35 +41,39 @@ MOST_LEVELS = 64
 PIECE = re.compile(r"[ \n\r\t]*[^ \n\r\t]+|[ \n\r\t]+")
 #: White space of other kinds next to such a run could be joined with it; texts that have any are not cut.
 UNUSUAL = re.compile(r"[^\S \n\r\t]")
-_kept: dict[tuple[str, str], tuple[object, dict]] = {}
+_kept: dict[tuple[str, str], Pieces] = {}
 
 
-def encoder(tokenizer: str, dtype: str) -> Callable[[list[str]], list[bytes]]:
-    """Texts to ids as bytes, by the tokenizers library; ids of a piece that was met before are reused."""
-    if (tokenizer, dtype) not in _kept:
+class Pieces:
+    """Ids of pieces of text as bytes, kept from batch to batch; those not met before are encoded together."""
+
+    def __init__(self, tokenizer: str, dtype: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks in parallel
         from tokenizers import Tokenizer
 
-        _kept[tokenizer, dtype] = (Tokenizer.from_file(tokenizer), {})
-    made, ids_of = _kept[tokenizer, dtype]
-
-    def ids(parts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype).tobytes() for x in made.encode_batch_fast(parts, add_special_tokens=False)]
-
-    def run(texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            pieces = [text] if UNUSUAL.search(text) else PIECE.findall(text)
-            new = list({x for x in pieces if x not in ids_of})
-            if len(new) + len(ids_of) > PIECES_KEPT:
-                ids_of.clear()
-                new = list(set(pieces))
-            ids_of.update(zip(new, ids(new)))
-            out.append(b"".join([ids_of[x] for x in pieces]))
-            if len(text) > 100_000 and len(pieces) == 1:
-                ids_of.clear()
+        self.made, self.dtype, self.kept = Tokenizer.from_file(tokenizer), dtype, {}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        pieces = [[x] if UNUSUAL.search(x) else PIECE.findall(x) for x in texts]
+        new = set().union(*pieces).difference(self.kept)
+        if len(new) + len(self.kept) > PIECES_KEPT:
+            self.kept.clear()
+            new = set().union(*pieces)
+        new = list(new)
+        made = self.made.encode_batch_fast(new, add_special_tokens=False)
+        self.kept.update(zip(new, [np.array(x.ids, self.dtype).tobytes() for x in made]))
+        out = [b"".join(map(self.kept.__getitem__, x)) for x in pieces]
+        for x in new:
+            if len(x) > LONGEST_KEPT:
+                del self.kept[x]
         return out
 
-    return run
+
+def encoder(tokenizer: str, dtype: str) -> Callable[[list[str]], list[bytes]]:
+    """Texts to ids as bytes, by the tokenizers library."""
+    if (tokenizer, dtype) not in _kept:
+        _kept[tokenizer, dtype] = Pieces(tokenizer, dtype)
+    return _kept[tokenizer, dtype].encode
 
 
 def _save(path: str, data: bytes) -> None:
@@ -168,18 +174,18 @@ def write_shards(
             _save(f"{folder}/{shard_name(shard)}.ids", b"".join(data))
             _save(f"{folder}/{shard_name(shard)}.lens", np.array(lens, "<i8").tobytes())
 
-        for batch in batches:
+        for batch in slices(batches):
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             places = []
-            for i in range(0, len(texts), 64):
-                for ids in encode([x or "" for x in texts[i : i + 64]]):
-                    if size >= IDS_PER_SHARD:
-                        close()
-                        shard, data, lens, size = shard + 1, [], [], 0
-                    places.append((shard, size, len(lens), len(ids) // width + 1))
-                    data.append(ids + end)
-                    lens.append(places[-1][3])
-                    size += lens[-1]
+            for ids in encode([x or "" for x in texts]):
+                ids += end
+                if size >= IDS_PER_SHARD:
+                    close()
+                    shard, data, lens, size = shard + 1, [], [], 0
+                places.append((shard, size, len(lens), len(ids) // width))
+                data.append(ids)
+                lens.append(places[-1][3])
+                size += lens[-1]
             columns = [pa.array(x, pa.int64()) for x in zip(*places)] if places else [pa.array([], pa.int64())] * 4
             yield pa.RecordBatch.from_arrays([keys, *columns], ["key", "shard", "at", "nth", "n"])
         if lens:

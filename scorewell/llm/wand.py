@@ -1,10 +1,10 @@
 """Benchmark decontamination: BM25 retrieval of test items for every training passage, with block-max WAND.
 
 The test items are indexed: per word the items that hold it with their BM25 weights, as shares of the score that
-retrieves the item, so that one threshold (1) serves all items. Each word also has its greatest weight over all
-items, and over each block of items. A passage whose words' greatest weights do not reach the threshold holds
-no item and is passed over; then blocks whose bounds do not reach it are; only items of blocks that remain are scored.
-Both bounds are never below the score, so every item at or above the threshold is retrieved.
+retrieves the item, so that one threshold (1) serves all items. Each word also has its greatest weight over each
+block of items. Passages are two half-windows; the greatest weights of the distinct words of both are summed
+per block, and only blocks that reach the threshold so have their items scored, word by word. The
+bound is never below the score, so every item at or above the threshold is retrieved.
 
 Items that were retrieved are verified: the shares of the five-word shingles of their question (all sentences but the
 last) and of their answer (the last one) that stand in the passage.
@@ -21,14 +21,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scorewell.llm.batches import slices
+
 K1, B = 1.2, 0.75
-#: An item is retrieved at this share of the score that its own text would get.
-THRESHOLD = 0.6
+#: An item is retrieved at this share of the score that its own text would get. An item four fifths of whose shingles
+#: of five words are there has nearly all of its words there.
+THRESHOLD = 0.75
 OVERLAP = 0.8
 SHINGLE = 5
-BLOCK = 32
-#: An index of so many items is sent to every task; a larger benchmark makes several, each for its own reading of the texts.
-ITEMS_PER_INDEX = 50_000
+BLOCK = 8
+#: An index of about so many items is sent to every task; a larger benchmark makes several, each for its own reading of
+#: the texts. Weights are kept as one table of words by items, some tens of megabytes at most.
+ITEMS_PER_INDEX = 1_000
 
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -50,20 +54,21 @@ class Index:
     answer: list[set]
     vocabulary: dict[str, int]
     window: int
-    most: np.ndarray  # greatest weight per word
-    first: np.ndarray  # where a word's items start
-    items: np.ndarray
-    weights: np.ndarray
-    block_first: np.ndarray  # where a word's blocks start
-    blocks: np.ndarray
-    block_most: np.ndarray
+    weights: np.ndarray  # per word and item
+    most: np.ndarray  # greatest weight per word and block
 
 
 def build_index(rows: list[tuple[int, str | None]], threshold: float = THRESHOLD) -> Index | None:
     """Index of (item id, text); items without words are left out. None when none has any."""
-    kept = sorted(((i, t, words_of(t)) for i, t in rows if words_of(t)), key=lambda r: (len(r[2]), r[2], r[0]))
+    kept = [(i, t, words_of(t)) for i, t in rows if words_of(t)]
     if not kept:
         return None
+    spread: dict[str, int] = {}
+    for _, _, words in kept:
+        for w in set(words):
+            spread[w] = spread.get(w, 0) + 1
+    # Items with the same everyday words (one language) and of like length share blocks: that keeps bounds low.
+    kept.sort(key=lambda r: (max((spread[w], w) for w in r[2]), len(r[2]), r[2], r[0]))
     counts = []
     holders: dict[str, int] = {}
     for _, _, words in kept:
@@ -76,39 +81,19 @@ def build_index(rows: list[tuple[int, str | None]], threshold: float = THRESHOLD
     vocabulary = {w: i for i, w in enumerate(holders)}
     n, mean = len(kept), sum(len(r[2]) for r in kept) / len(kept)
     idf = {w: math.log(1 + (n - df + 0.5) / (df + 0.5)) for w, df in holders.items()}
-    postings: list[list[tuple[int, float]]] = [[] for _ in vocabulary]
+    weights = np.zeros((len(vocabulary), math.ceil(n / BLOCK) * BLOCK), np.float32)
     for item, ((_, _, words), tf) in enumerate(zip(kept, counts)):
         norm = K1 * (1 - B + B * len(words) / mean)
         weight = {w: idf[w] * c * (K1 + 1) / (c + norm) for w, c in tf.items()}
         own = threshold * sum(weight.values())
-        for w, x in weight.items():
-            postings[vocabulary[w]].append((item, x / own))
-    first, items, weights = [0], [], []
-    block_first, blocks, block_most = [0], [], []
-    for listed in postings:
-        per_block: dict[int, float] = {}
-        for item, x in listed:
-            items.append(item)
-            weights.append(x)
-            per_block[item // BLOCK] = max(per_block.get(item // BLOCK, 0.0), x)
-        first.append(len(items))
-        blocks += list(per_block)
-        block_most += list(per_block.values())
-        block_first.append(len(blocks))
+        weights[[vocabulary[w] for w in weight], item] = np.array(list(weight.values())) / own
+    most = weights.reshape(len(vocabulary), -1, BLOCK).max(axis=2)
     question, answer = [], []
     for _, text, words in kept:
         last = words_of(SENTENCE.split(text.strip())[-1])
         question.append(shingles(words[: len(words) - len(last)]))
         answer.append(shingles(last))
-    most = np.array([max(x for _, x in listed) for listed in postings])
-    return Index(
-        [r[0] for r in kept], question, answer, vocabulary, 2 * max(len(r[2]) for r in kept), most, np.array(first),
-        np.array(items), np.array(weights), np.array(block_first), np.array(blocks), np.array(block_most),
-    )
-
-
-def _gather(first: np.ndarray, terms: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.arange(first[t], first[t + 1]) for t in terms])
+    return Index([r[0] for r in kept], question, answer, vocabulary, 2 * max(len(r[2]) for r in kept), weights, most)
 
 
 def retrieve(index: Index, words: list[str]) -> dict[int, float]:
@@ -119,26 +104,27 @@ def retrieve(index: Index, words: list[str]) -> dict[int, float]:
     """
     known = index.vocabulary.get
     ids = np.array([known(w, -1) for w in words], np.int64)
-    bound = np.concatenate([[0.0], np.cumsum(np.where(ids >= 0, index.most[ids], 0.0))])
-    starts = np.arange(0, max(1, len(words) - index.window // 2), max(1, index.window // 2))
-    ends = np.minimum(starts + index.window, len(words))
+    at = np.flatnonzero(ids >= 0)
+    if not len(at):
+        return {}
+    # Each word once per half-window, in order of the halves.
+    keys = np.unique((at // (index.window // 2)) * len(index.most) + ids[at])
+    half, term = np.divmod(keys, len(index.most))
+    starts = np.flatnonzero(np.diff(half, prepend=-1))
+    bounds = np.zeros((int(half[-1]) + 2, index.most.shape[1]), np.float32)
+    bounds[half[starts]] = np.add.reduceat(index.most[term], starts, axis=0)
+    limit = 1 - 1e-4  # sums of single-precision shares
     found: dict[int, float] = {}
-    limit = 1 - 1e-9
-    for i in np.flatnonzero(bound[ends] - bound[starts] >= limit):
-        terms = np.unique(ids[starts[i] : ends[i]])
-        terms = terms[terms >= 0]
-        if index.most[terms].sum() < limit:
-            continue
-        at = _gather(index.block_first, terms)
-        open_blocks = np.bincount(index.blocks[at], index.block_most[at]) >= limit
-        if not open_blocks.any():
-            continue
-        at = _gather(index.first, terms)
-        block = index.items[at] // BLOCK
-        at = at[open_blocks[block]]
-        score = np.bincount(index.items[at], index.weights[at])
-        for item in np.flatnonzero(score >= limit).tolist():
-            found[item] = max(found.get(item, 0.0), float(score[item]))
+    open_blocks = bounds[:-1] + bounds[1:] >= limit
+    for window in np.flatnonzero(open_blocks.any(axis=1)).tolist():
+        low, high = np.searchsorted(half, (window, window + 2))
+        terms = np.unique(term[low:high])
+        blocks = np.flatnonzero(open_blocks[window])
+        items = (blocks[:, None] * BLOCK + np.arange(BLOCK)).reshape(-1)
+        scores = index.weights[terms[:, None], items].sum(axis=0)
+        for i in np.flatnonzero(scores >= limit).tolist():
+            item = int(items[i])
+            found[item] = max(found.get(item, 0.0), float(scores[i]))
     return found
 
 
@@ -194,7 +180,7 @@ def with_leaks(
 
         def run(batches, shared=shared, name=name, at=at):
             index = shared.value
-            for batch in batches:
+            for batch in slices(batches):
                 texts = batch.column(at).to_pylist()
                 found = [leaks_of(index, t, threshold, overlap) if index else [] for t in texts]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(LEAK))], [*batch.schema.names, name])
