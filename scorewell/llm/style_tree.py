@@ -197,7 +197,7 @@ def style_facts(pages: DataFrame, url_col: str = "url", html_col: str = "html")
 
 def branch_importance(facts: DataFrame) -> DataFrame:
     """(host, path, pages, importance): the greatest importance of a path and all paths below it."""
-    values = facts.distinct().groupBy("host", "path", "kind", "value").agg(F.count("*").alias("n"))
+    values = facts.where("path <> ''").distinct().groupBy("host", "path", "kind", "value").agg(F.count("*").alias("n"))
     spread = F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")
     own = values.groupBy("host", "path", "kind").agg(F.sum("n").alias("pages"), F.try_divide(spread, F.log(F.sum("n"))).alias("e"))
     # A path seen on one page differs as much as can be; content decides where there is any.
