@@ -14,8 +14,6 @@ catalog = Catalog()
 HALF = "TIMESTAMP '1998-01-01 00:00:00'"
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 SHIFT_FROM = 1.1
-# The exact law counts lattice paths, which SQL cannot state: the p-value is by the series at any size here.
-SERIES = 0
 
 
 def halves(spark, sf_dir):
@@ -81,7 +79,7 @@ def psi(spark, sf_dir):
 )
 def ks_2samp(spark, sf_dir):
     ref, cur = halves(spark, sf_dir)
-    found = drift.ks_two_sample(drift.drift_fit(ref, FEATURES), cur, exact_below=SERIES)
+    found = drift.ks_two_sample(drift.drift_fit(ref, FEATURES), cur)
     return found.select("feature", "n_ref", "n_cur", F.round("d", 8).alias("d"), F.round("pvalue", 6).alias("pvalue"))
 
 
@@ -91,7 +89,7 @@ def ks_2samp(spark, sf_dir):
 )
 def drift_report(spark, sf_dir):
     ref, cur = halves(spark, sf_dir)
-    return rounded(drift.drift_report(drift.drift_fit(ref, FEATURES), cur, exact_below=SERIES))
+    return rounded(drift.drift_report(drift.drift_fit(ref, FEATURES), cur))
 
 
 SUMMARY_SQL = f"""{REPORT}, dsum AS (SELECT
@@ -105,14 +103,14 @@ SUMMARY_SQL = f"""{REPORT}, dsum AS (SELECT
 @catalog.add("drift_summary", f"WITH {SUMMARY_SQL} SELECT * FROM dsum")
 def drift_summary(spark, sf_dir):
     ref, cur = halves(spark, sf_dir)
-    return drift.drift_summary(drift.drift_report(drift.drift_fit(ref, FEATURES), cur, exact_below=SERIES))
+    return drift.drift_summary(drift.drift_report(drift.drift_fit(ref, FEATURES), cur))
 
 
 @catalog.add("drift_report_exact")
 def drift_report_exact(spark, sf_dir):
     """The report with exact p-values where the samples are small."""
     ref, cur = halves(spark, sf_dir)
-    return drift.drift_report(drift.drift_fit(ref, FEATURES), cur)
+    return drift.drift_report(drift.drift_fit(ref, FEATURES), cur, exact_below=10_000)
 
 
 @catalog.add(
@@ -121,7 +119,7 @@ def drift_report_exact(spark, sf_dir):
 )
 def top_drifted(spark, sf_dir):
     ref, cur = halves(spark, sf_dir)
-    report = drift.drift_report(drift.drift_fit(ref, FEATURES), cur, exact_below=SERIES)
+    report = drift.drift_report(drift.drift_fit(ref, FEATURES), cur)
     return drift.top_drifted(report, 2).select("feature", "psi", "status")
 
 
@@ -188,7 +186,7 @@ fired AS (
 
 def fired_alerts(spark, sf_dir):
     ref, cur = halves(spark, sf_dir)
-    report = drift.drift_report(drift.drift_fit(ref, FEATURES), cur, exact_below=SERIES)
+    report = drift.drift_report(drift.drift_fit(ref, FEATURES), cur)
     return monitor.alert_rules(monitor.rolling_summary(prediction_log(spark, sf_dir)), drift.drift_summary(report))
 
 

@@ -137,7 +137,7 @@ def role_sql(table_name: str, ids: str, dates: str, strings: str, ints: str, flo
              "l_quantity l_extendedprice l_discount l_tax"),
 )
 def column_roles_lineitem(spark, sf_dir):
-    return quality.detect_column_roles(table(spark, sf_dir, "lineitem"))
+    return quality.detect_column_roles(table(spark, sf_dir, "lineitem"), id_ints=quality.ID_INT_UNIQUE)
 
 
 @catalog.add(
@@ -145,7 +145,7 @@ def column_roles_lineitem(spark, sf_dir):
     role_sql("documents", "doc_id", "", "text lang source", "n_chars", ""),
 )
 def column_roles_documents(spark, sf_dir):
-    return quality.detect_column_roles(table(spark, sf_dir, "documents"))
+    return quality.detect_column_roles(table(spark, sf_dir, "documents"), id_ints=quality.ID_INT_UNIQUE)
 
 
 @catalog.add(
@@ -153,7 +153,7 @@ def column_roles_documents(spark, sf_dir):
     role_sql("orders", "o_orderkey o_custkey", "o_orderdate", "o_orderpriority", "", "o_totalprice"),
 )
 def column_roles_orders(spark, sf_dir):
-    return quality.detect_column_roles(table(spark, sf_dir, "orders"), "o_orderstatus")
+    return quality.detect_column_roles(table(spark, sf_dir, "orders"), "o_orderstatus", id_ints=quality.ID_INT_UNIQUE)
 
 
 def holey_items(spark, sf_dir):

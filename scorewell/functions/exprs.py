@@ -160,7 +160,7 @@ def looks_like_date(col: Column) -> Column:
     found = iso
     for test in tests:
         found = found | test
-    return F.coalesce(F.when(F.length(value) <= 40, found), F.lit(False))
+    return F.coalesce(found, F.lit(False))
 
 
 def strip_text(col: Column) -> Column:

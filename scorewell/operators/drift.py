@@ -25,9 +25,7 @@ PSI_THRESHOLD, PSI_MODERATE, PSI_HIGH = 0.2, 0.1, 0.2
 KS_ALPHA = 0.05
 MIN_VALUES = 10
 RATIO_HIGH, RATIO_MODERATE = 0.3, 0.1
-LISTED_FEATURES = 10
 KS_TERMS = 100
-EXACT_KS_VALUES = 10_000
 
 
 FACTS = ["n", "mean", "std_pop", "lo", "hi", "bins"]
@@ -235,11 +233,11 @@ def _exact_where_small(limit: int):
     return pvalue
 
 
-def ks_two_sample(reference: DriftReference, batch: DataFrame, exact_below: int = EXACT_KS_VALUES) -> DataFrame:
+def ks_two_sample(reference: DriftReference, batch: DataFrame, exact_below: int = 0) -> DataFrame:
     """(feature, n_ref, n_cur, d, pvalue): the largest gap between the two empirical distributions.
 
-    The p-value is exact while neither side has more than ``exact_below`` values, one number per
-    feature, and by the series beyond that.
+    The p-value is by the series at every size. On request, features neither side of which has more than ``exact_below``
+    values get the exact one.
 
     Equal values are folded first; the running counts per feature go range by range, so a feature
     with most of the values is spread over many tasks.
@@ -295,7 +293,7 @@ def _with_feature_range(folded: DataFrame, cuts: list[list[float]]) -> DataFrame
     return spread.selectExpr(*folded.columns, " + ".join(f"v{i}__range" for i in range(len(cuts))) + " AS range")
 
 
-def drift_report(reference: DriftReference, batch: DataFrame, exact_below: int = EXACT_KS_VALUES) -> DataFrame:
+def drift_report(reference: DriftReference, batch: DataFrame, exact_below: int = 0) -> DataFrame:
     """(feature, psi, pvalue, d, drifted, status) per feature present in both."""
     joined = psi(reference, batch).join(ks_two_sample(reference, batch, exact_below), "feature")
     psi4 = F.round("psi", 4)
@@ -306,8 +304,8 @@ def drift_report(reference: DriftReference, batch: DataFrame, exact_below: int =
     )
 
 
-def drift_summary(report: DataFrame) -> DataFrame:
-    """One row: status, ratio, counts, and the first drifted features in name order."""
+def drift_summary(report: DataFrame, listed: int | None = None) -> DataFrame:
+    """One row: status, ratio, counts, and the drifted features in name order (the first ``listed`` of them)."""
     ratio = F.coalesce(F.try_divide(F.col("drifted_count").cast("double"), F.col("total_features")), F.lit(0.0))
     counted = report.agg(
         F.coalesce(F.sum(F.col("drifted").cast("long")), F.lit(0)).alias("drifted_count"),
@@ -322,7 +320,7 @@ def drift_summary(report: DataFrame) -> DataFrame:
         F.round(ratio, 3).alias("drift_ratio"),
         "drifted_count",
         "total_features",
-        F.array_join(F.slice("names", 1, LISTED_FEATURES), ",").alias("drifted_features"),
+        F.array_join(F.slice("names", 1, listed) if listed else F.col("names"), ",").alias("drifted_features"),
     )
 
 

@@ -149,32 +149,41 @@ def column_roles(
     overrides: dict[str, str] | None = None,
     id_patterns: Sequence[str] = ID_PATTERNS,
     date_patterns: Sequence[str] = DATE_PATTERNS,
+    id_ints: int | None = None,
 ) -> dict[str, str]:
-    """Column name to role: id, date, text, numeric or cat. ``overrides`` win over the rules."""
+    """Column name to role: id, date, text, numeric or cat. ``overrides`` win over the rules.
+
+    An integer column is an id when nearly all its values differ; with ``id_ints`` also when it has more different
+    values than that, however many rows there are.
+    """
     cols = [name for name in df.columns if name != target]
     n, stats = summarize(df, ["missing", "distinct", "text", "date_like"], cols)
     cutoffs = {}
     for name in cols:
         dtype = df.schema[name].dataType
         if is_integer(dtype):
-            cutoffs[name] = [CATEGORY_INTS, min(ID_INT_RATIO * n, ID_INT_UNIQUE)]
+            cutoffs[name] = [CATEGORY_INTS, _id_from(n, id_ints)]
         elif isinstance(dtype, T.StringType):
             cutoffs[name] = [ID_STRING_UNIQUE, ID_STRING_RATIO * n, TEXT_UNIQUE]
     unique = settle_distinct(df, {name: stats[name]["distinct"] for name in cols}, cutoffs)
     return {
         name: (overrides or {}).get(name)
-        or _role(name, df.schema[name].dataType, n, unique[name], stats[name], id_patterns, date_patterns)
+        or _role(name, df.schema[name].dataType, n, unique[name], stats[name], id_patterns, date_patterns, id_ints)
         for name in cols
     }
 
 
-def _role(name, dtype, n, n_unique, s, id_patterns, date_patterns) -> str:
+def _id_from(n: int, id_ints: int | None) -> float:
+    return min(ID_INT_RATIO * n, id_ints) if id_ints else ID_INT_RATIO * n
+
+
+def _role(name, dtype, n, n_unique, s, id_patterns, date_patterns, id_ints) -> str:
     values = n - s["missing"]
     if values == 0:
         return "id"
     date_name = _named_like(name, date_patterns)
     text = isinstance(dtype, T.StringType)
-    many_ints = is_integer(dtype) and n_unique > min(ID_INT_RATIO * n, ID_INT_UNIQUE)
+    many_ints = is_integer(dtype) and n_unique > _id_from(n, id_ints)
     many_words = text and n_unique / n > ID_STRING_RATIO and n_unique > ID_STRING_UNIQUE
     if _named_like(name, id_patterns) or many_ints or many_words:
         return "date" if date_name else "id"
@@ -189,9 +198,9 @@ def _role(name, dtype, n, n_unique, s, id_patterns, date_patterns) -> str:
     return "numeric"
 
 
-def detect_column_roles(df: DataFrame, target: str | None = None, overrides: dict[str, str] | None = None) -> DataFrame:
+def detect_column_roles(df: DataFrame, target: str | None = None, overrides: dict[str, str] | None = None, id_ints: int | None = None) -> DataFrame:
     """(column, role) with ``is_feature`` for the numeric and categorical ones."""
-    rows = [(name, role, role in ("numeric", "cat")) for name, role in column_roles(df, target, overrides).items()]
+    rows = [(name, role, role in ("numeric", "cat")) for name, role in column_roles(df, target, overrides, id_ints=id_ints).items()]
     return df.sparkSession.createDataFrame(rows, "column string, role string, is_feature boolean")
 
 

@@ -131,14 +131,11 @@ def uniform_sample(df: DataFrame, n: int, keys: Sequence[str], seed: int = SEED)
 
 
 def stratified_sample(df: DataFrame, max_rows: int, keys: Sequence[str], by: str | None, seed: int = SEED) -> DataFrame:
-    """At most ``max_rows`` rows with the class shares kept; a plain sample without a class column
-    or with one of more than ``MAX_CLASSES`` values."""
+    """At most ``max_rows`` rows with the class shares kept; a plain sample without a class column. A column of
+    more than ``MAX_CLASSES`` values is refused."""
     if by is None or by not in df.columns:
         return uniform_sample(df, max_rows, keys, seed)
-    try:
-        sizes = class_sizes(df, by)
-    except ValueError:
-        return uniform_sample(df, max_rows, keys, seed)
+    sizes = class_sizes(df, by)
     total = sum(sizes.values())
     if total <= max_rows:
         return df

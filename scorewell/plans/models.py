@@ -24,27 +24,19 @@ from scorewell.operators.cleaning import alignment, clean_smart, drop_null_targe
 from scorewell.operators.curves import roc_auc, score_curve
 from scorewell.operators.encode import MAX_CATEGORIES, POOLED, feature_kinds, fit_medians, fit_one_hot, fit_standard_scale, fit_target
 from scorewell.operators.evaluate import classification_summary
-from scorewell.operators.quality import dataset_profile, tier_of
+from scorewell.operators.quality import dataset_profile
 from scorewell.operators.sampling import stratified_folds, stratified_sample, stratified_split, uniform_sample
 from scorewell.operators.scoring import add_risk_band, decide
 from scorewell.operators.thresholds import FALSE_ALARM_COST, MISS_COST, best_threshold, choose_threshold, cost_at
 
 log = logging.getLogger(__name__)
 
-# The trained model list per size tier, trees or iterations per model, CV folds and
-# the CV sample per tier, and the limits of the complexity probe.
-TIER_MODELS = {
-    0: {"LogisticRegression": 3000, "RandomForest": 300, "GBT_Deep": 300, "GBT": 200},
-    1: {"LogisticRegression": 3000, "RandomForest": 300, "GBT_Deep": 300, "GBT": 200},
-    2: {"LogisticRegression": 2000, "RandomForest": 150, "GBT_Deep": 200, "GBT": 150},
-    3: {"LogisticRegression": 1000, "GBT_Deep": 200, "GBT": 100},
-    4: {"GBT_Deep": 300, "LogisticRegression": 500},
-    5: {"GBT_Deep": 500},
-}
+# The models and their trees or iterations, and the limits of the complexity probe.
+AUTO_MODELS = {"LogisticRegression": 3000, "RandomForest": 300, "GBT_Deep": 300, "GBT": 200}
 FRAUD_MODELS = {"LogisticRegression": 3000, "RandomForest": 500, "GBT_Balanced": 500, "GBT_HighRecall": 300}
-TIER_FOLDS = {0: 5, 1: 5, 2: 3, 3: 2, 4: 2, 5: 0}
-TIER_CV_SAMPLE = {4: 200_000}
-FRAUD_FOLD_ROWS = 200_000
+#: Cross-validation folds, and the most labelled rows that candidates are fitted and ranked on: the same at every size.
+FOLDS = 3
+FIT_ROWS = 2_000_000
 PROBE_ROWS, PROBE_TEST, PROBE_TREES = 5_000, 0.3, 50
 NONLINEAR_GAP, LINEAR_GAP = 0.05, -0.03
 
@@ -102,12 +94,11 @@ def build_preprocessor(
     return PipelineModel(stages), names
 
 
-def candidates(plan: dict[str, int], seed: int = 42, effort: float = 1.0, weight: str | None = None) -> dict[str, Estimator]:
-    """Estimators by name; ``effort`` scales the number of trees or iterations."""
+def candidates(plan: dict[str, int], seed: int = 42, weight: str | None = None) -> dict[str, Estimator]:
+    """Estimators by name, each with its number of trees or iterations."""
     common = {"featuresCol": "features", "labelCol": "label", **({"weightCol": weight} if weight else {})}
     made: dict[str, Estimator] = {}
-    for name, size in plan.items():
-        n = max(2, int(size * effort))
+    for name, n in plan.items():
         if name == "LogisticRegression":
             made[name] = LogisticRegression(maxIter=n, **common)
         elif name == "RandomForest":
@@ -173,6 +164,8 @@ def cross_validate(
                     totals[name].append(float("nan"))
         fit_rows.unpersist()
         test_rows.unpersist()
+    if all(any(v != v for v in values) for values in totals.values()):
+        raise RuntimeError("no candidate could be fitted")
     return {name: 0.0 if any(v != v for v in values) else sum(values) / len(values) for name, values in totals.items()}
 
 
@@ -270,17 +263,16 @@ def fit_best(
 
 
 def complexity_probe(
-    df: DataFrame, keys: Sequence[str], numeric: Sequence[str], categorical: Sequence[str], effort: float = 1.0
+    df: DataFrame, keys: Sequence[str], numeric: Sequence[str], categorical: Sequence[str], rows: int = PROBE_ROWS, trees: int = PROBE_TREES
 ) -> dict:
-    """Linear against boosted ROC AUC on a small sample; any failure gives "unknown"."""
+    """Linear against boosted ROC AUC on a sample of ``rows`` labelled rows; any failure gives "unknown"."""
     try:
-        sample = with_weight(uniform_sample(df, PROBE_ROWS, keys), False)
+        sample = with_weight(uniform_sample(df, rows, keys), False)
         train, test = stratified_split(sample, keys, "label", PROBE_TEST)
         pre, _ = build_preprocessor(train, numeric, categorical)
         fit_rows, test_rows = pre.transform(train).persist(), pre.transform(test).persist()
-        linear = auc_of(LogisticRegression(maxIter=max(10, int(500 * effort))).fit(fit_rows).transform(test_rows))
-        trees = GBTClassifier(maxIter=max(2, int(PROBE_TREES * effort)), seed=42)
-        boosted = auc_of(trees.fit(fit_rows).transform(test_rows))
+        linear = auc_of(LogisticRegression(maxIter=500).fit(fit_rows).transform(test_rows))
+        boosted = auc_of(GBTClassifier(maxIter=trees, seed=42).fit(fit_rows).transform(test_rows))
         fit_rows.unpersist()
         test_rows.unpersist()
         gap = boosted - linear
@@ -299,15 +291,18 @@ def auto_train(
     test_size: float = 0.2,
     clean_data: bool = True,
     outlier_method: str = "iqr",
-    effort: float = 1.0,
-    row_cap: int | None = None,
+    plan: dict[str, int] | None = None,
+    folds: int = FOLDS,
+    fit_rows: int = FIT_ROWS,
+    probe_rows: int = PROBE_ROWS,
     overrides: dict[str, str] | None = None,
 ) -> TrainedModel:
     """Any table with a binary target: clean, profile, encode, probe, split, rank, fit, choose the
     F1 threshold, evaluate.
 
-    ``keys`` identify the rows for the split; without them the whole row does. ``row_cap`` trains
-    on a sample of that many rows; by default all are used.
+    ``keys`` identify the rows for the split; without them the whole row does. ``plan`` names the
+    candidates with their trees or iterations (AUTO_MODELS). Tables of more than ``fit_rows`` labelled rows are fitted and
+    evaluated on a stratified sample of that many.
     """
     df = drop_null_target(df, target)
     report = None
@@ -324,22 +319,18 @@ def auto_train(
     keys = list(keys) or [x for x in df.columns if x != target]
     kept = list(dict.fromkeys([*keys, *numeric, *categorical]))
     labelled = df.select(*[c(x) for x in kept], encoding.column(target).alias("label"))
-    if row_cap:
-        labelled = stratified_sample(labelled, row_cap, keys, "label")
-    probe = complexity_probe(labelled, keys, numeric, categorical, effort)
+    labelled = stratified_sample(labelled, fit_rows, keys, "label")
+    probe = complexity_probe(labelled, keys, numeric, categorical, probe_rows)
     train, val = stratified_split(labelled, keys, "label", test_size)
     train = with_weight(train, profile["is_imbalanced"])
-    tier = profile["tier"]
-    plan = candidates(TIER_MODELS[tier], effort=effort, weight="weight")
-    pipeline, names, best, scores = fit_best(
-        train, keys, numeric, categorical, plan, TIER_FOLDS[tier], TIER_CV_SAMPLE.get(tier), validation=val
-    )
+    estimators = candidates(plan or AUTO_MODELS, weight="weight")
+    pipeline, names, best, scores = fit_best(train, keys, numeric, categorical, estimators, folds, validation=val)
     scored = positive_score(pipeline.transform(val)).select("label", "score").persist(StorageLevel.MEMORY_AND_DISK)
     threshold = float(best_threshold(scored, "maximize_f1").first()["threshold"])
     metrics = classification_summary(scored, threshold).first().asDict()
     scored.unpersist()
     metrics |= {"best_model": best, "cv_roc_auc": scores[best], "all_scores": scores, "threshold": threshold,
-                "tier": tier, "complexity": probe["complexity"], "n_rows": profile["n_rows"],
+                "tier": profile["tier"], "complexity": probe["complexity"], "n_rows": profile["n_rows"],
                 "cleaning": report.steps if report else []}
     return TrainedModel(pipeline, threshold, numeric + categorical, names, best, metrics)
 
@@ -353,29 +344,31 @@ def fraud_train(
     manual_threshold: float | None = None,
     miss_cost: float = MISS_COST,
     alarm_cost: float = FALSE_ALARM_COST,
-    effort: float = 1.0,
+    plan: dict[str, int] | None = None,
+    folds: int = FOLDS,
+    fit_rows: int = FIT_ROWS,
     oversample: bool = False,
 ) -> TrainedModel:
     """Rank the fraud models by CV on ``train``, choose the threshold on ``val``, evaluate there.
 
-    ``train`` and ``val`` carry ``label``. With ``oversample`` the best model is fitted on
+    ``train`` and ``val`` carry ``label``; ``plan`` names the candidates (FRAUD_MODELS), and at most ``fit_rows`` labelled
+    rows are fitted on. With ``oversample`` the best model is fitted on
     synthetic minority rows as well; cross-validation never sees them.
     """
     numeric, categorical = feature_kinds(train, features)
-    n = train.count()
-    folds = 2 if n > FRAUD_FOLD_ROWS else 3
+    train = stratified_sample(train, fit_rows, keys, "label")
     weighted = with_weight(train, True)
-    plan = candidates(FRAUD_MODELS, effort=effort, weight="weight")
+    estimators = candidates(plan or FRAUD_MODELS, weight="weight")
     if not oversample:
-        pipeline, names, best, scores = fit_best(weighted, keys, numeric, categorical, plan, folds, max_categories=None)
+        pipeline, names, best, scores = fit_best(weighted, keys, numeric, categorical, estimators, folds, max_categories=None)
     else:
         if categorical or len(keys) != 1:
             raise ValueError("oversampling needs numeric features and one key column")
-        scores = cross_validate(weighted, keys, numeric, categorical, plan, folds, max_categories=None)
+        scores = cross_validate(weighted, keys, numeric, categorical, estimators, folds, max_categories=None)
         best = max(scores, key=lambda name: scores[name])
         grown = with_weight(smote(train, keys[0], "label", features), False)
         pre, names = build_preprocessor(grown, numeric, [], None)
-        pipeline = PipelineModel([*pre.stages, plan[best].fit(pre.transform(grown))])
+        pipeline = PipelineModel([*pre.stages, estimators[best].fit(pre.transform(grown))])
     scored = positive_score(pipeline.transform(val)).select("label", "score").persist(StorageLevel.MEMORY_AND_DISK)
     threshold = choose_threshold(scored, objective, manual_threshold, miss_cost, alarm_cost)
     metrics = classification_summary(scored, threshold).first().asDict()
@@ -404,8 +397,3 @@ def set_champion(runs: DataFrame, name: str, chosen: object, model: str = "model
     """Override the champion of one model by version."""
     forced = F.when(c(model) == F.lit(name), c(version) == F.lit(chosen)).otherwise(F.col("is_champion"))
     return runs.withColumn("is_champion", forced)
-
-
-def tier_plan(n_rows: int) -> dict:
-    tier = tier_of(n_rows)
-    return {"tier": tier, "models": list(TIER_MODELS[tier]), "folds": TIER_FOLDS[tier], "cv_rows": TIER_CV_SAMPLE.get(tier)}

@@ -101,7 +101,7 @@ def test_preprocessor_fills_scales_and_names(spark, mixed):
 
 
 def test_auto_train_scores_saves_and_loads(spark, mixed, tmp_path):
-    model = models.auto_train(mixed, "label", ["rid"], effort=0.01)
+    model = models.auto_train(mixed, "label", ["rid"], plan={"LogisticRegression": 30, "GBT": 2}, folds=2)
     assert 0.5 < model.metrics["roc_auc"] <= 1 and 0 <= model.threshold <= 1
     assert set(model.features) == {"num1", "num2", "cat1"}
     model.save(str(tmp_path / "m"))
@@ -135,7 +135,7 @@ def test_failed_model_scores_zero(spark, mixed):
 
 def test_oversampled_fraud_training(spark, mixed):
     train, val = models.stratified_split(mixed.na.fill(0.0), ["rid"], "label", 0.3)
-    model = models.fraud_train(train, val, ["rid"], ["num1", "num2"], effort=0.006, oversample=True)
+    model = models.fraud_train(train, val, ["rid"], ["num1", "num2"], plan={"LogisticRegression": 18, "RandomForest": 3}, oversample=True)
     assert model.metrics["business_cost"] == model.metrics["missed"] * 10_000 + model.metrics["false_alarms"] * 200
 
 

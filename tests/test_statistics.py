@@ -159,6 +159,12 @@ def test_roles_by_rule(spark):
     assert quality.column_roles(df, overrides={"many": "numeric"})["many"] == "numeric"
 
 
+def test_many_integers_are_no_id_unless_asked(spark):
+    df = spark.range(400).selectExpr("id % 200 AS score", "id AS x")
+    assert quality.column_roles(df)["score"] == "numeric"
+    assert quality.column_roles(df, id_ints=100)["score"] == "id"
+
+
 def test_written_dates_are_dates(spark):
     df = spark.range(300).selectExpr("date_format(date_add(DATE'2024-01-01', int(id % 40)), 'MM/dd/yyyy') AS seen", "id AS x")
     assert quality.column_roles(df)["seen"] == "date"
