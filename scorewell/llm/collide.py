@@ -56,13 +56,14 @@ def meeting_keys(
     items_per_part: int,
     keys_of: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]],
     payload: str,
-    rows_of: Callable[[pa.Table, np.ndarray], list],
+    rows_of: Callable[[pa.Table, np.ndarray, np.ndarray], list],
 ) -> DataFrame:
     """Rows (``key`` long, then the columns of ``payload``) for each key that more than one item emits.
 
     ``items`` has a column ``part_hash`` (long) and no repeated items. ``keys_of`` maps a table of
     items to all their keys and, for each key, the item's row number; an item emits a key once.
-    ``rows_of`` maps the table and row numbers to the payload columns. A few keys that only one item
+    ``rows_of`` maps the table, the keys and their row numbers to the columns of the result, key first; it may fold
+    rows of one key. A few keys that only one item
     emits may be among the result, for two hashes can be equal by chance.
     """
     total = max(1, items.count() * keys_per_item)
@@ -121,8 +122,7 @@ def meeting_keys(
         keys, rows, found = hashes(table)
         at = np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)
         chosen = np.flatnonzero(wanted[at] == found)
-        columns = [pa.array(keys[chosen].view(np.int64))] + rows_of(table, rows[chosen])
-        return pa.table(dict(zip(names, columns)), schema=schema)
+        return pa.table(dict(zip(names, rows_of(table, keys[chosen], rows[chosen]))), schema=schema)
 
     width_of = min(parts, MOST_PARTITIONS)
     dealt = items.withColumn("part", F.expr(f"pmod(part_hash, {parts}L)")).drop("part_hash").repartition(width_of, "part")

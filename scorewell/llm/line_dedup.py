@@ -172,9 +172,9 @@ def line_classes(lines: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS)
         rows = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
         return np.fromiter((k for ks in keys for k in ks), np.uint64, len(rows)), rows
 
-    def rows_of(table, rows):
+    def rows_of(table, keys, rows):
         at = pa.array(rows)
-        columns = [table.column("line_id").take(at), table.column("line").take(at)]
+        columns = [pa.array(keys.view(np.int64)), table.column("line_id").take(at), table.column("line").take(at)]
         return [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in columns]
 
     met = meeting_keys(items, per_line, LINES_PER_PART, keys_of, "line_id long, line string", rows_of)

@@ -13,6 +13,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,6 +77,25 @@ def ball_masks(radius: int) -> np.ndarray:
     return np.array([sum(x) for r in range(radius + 1) for x in combinations(one, r)], np.uint64)
 
 
+def _forest(pairs: np.ndarray) -> list[tuple[int, int]]:
+    """As many of the pairs as join all that the pairs join."""
+    root: dict[int, int] = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for u, v in pairs.tolist():
+        a, b = find(u), find(v)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((u, v))
+    return out
+
+
 def fingerprint_links(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(u, v): links that join all of ``fp`` (distinct longs) within ``radius`` bits, as stars over shared variants."""
     masks = ball_masks(radius // 2) if radius % 2 == 0 else ball_masks(radius // 2 + 1)
@@ -84,14 +104,27 @@ def fingerprint_links(fingerprints: DataFrame, radius: int = RADIUS) -> DataFram
         fps = table.column("fp").to_numpy().view(np.uint64)
         return (fps[:, None] ^ masks[None, :]).reshape(-1), np.repeat(np.arange(len(fps)), len(masks))
 
-    def rows_of(table, rows):
-        return [pa.array(table.column("fp").to_numpy()[rows])]
+    def rows_of(table, keys, rows):
+        """One row per key for all that emit it here, the least of them, and a forest that joins those."""
+        fps = table.column("fp").to_numpy()[rows]
+        order = np.lexsort((fps, keys))
+        keys, fps = keys[order], fps[order]
+        same = keys[1:] == keys[:-1]
+        lead = np.concatenate([[True], ~same]) if len(keys) else np.zeros(0, bool)
+        forest = _forest(np.unique(np.stack([fps[:-1][same], fps[1:][same]], axis=1), axis=0)) if len(keys) else []
+        u, v = [x[0] for x in forest], [x[1] for x in forest]
+        columns = [keys[lead].view(np.int64), fps[lead], np.zeros(int(lead.sum()), np.int64)], [np.zeros(len(u), np.int64), u, v]
+        linked = pa.array(np.concatenate([np.zeros(int(lead.sum()), bool), np.ones(len(u), bool)]))
+        out = [pa.array(np.concatenate([np.asarray(a, np.int64), np.asarray(b, np.int64)])) for a, b in zip(*columns)]
+        return [*out[:2], pc.if_else(linked, out[2], None)]
 
     items = fingerprints.select("fp", F.xxhash64("fp").alias("part_hash"))
-    met = meeting_keys(items, len(masks), FINGERPRINTS_PER_PART, keys_of, "fp long", rows_of)
+    met = meeting_keys(items, len(masks), FINGERPRINTS_PER_PART, keys_of, "fp long, near long", rows_of)
+    met = materialize(met, "met")
     # One variant has at most as many sources as the ball has points, so the list below is bounded.
-    groups = met.groupBy("key").agg(F.min("fp").alias("v"), F.collect_list("fp").alias("all")).where("size(all) > 1")
+    groups = met.where("near IS NULL").groupBy("key").agg(F.min("fp").alias("v"), F.collect_list("fp").alias("all")).where("size(all) > 1")
     links = groups.select(F.explode("all").alias("u"), "v").where("u <> v")
+    links = links.union(met.where("near IS NOT NULL").select(F.col("fp").alias("u"), F.col("near").alias("v")))
     return links.where(f"bit_count(u ^ v) <= {radius}").distinct()
 
 
