@@ -264,7 +264,7 @@ def ks_two_sample(reference: DriftReference, batch: DataFrame, exact_below: int
     if not exact_below:
         return enough.withColumn("pvalue", ks_pvalue(*size))
     both = enough.withColumns({"exact": _exact_where_small(exact_below)(*size), "series": ks_pvalue(*size)})
-    return both.select("feature", "n_ref", "n_cur", "d", F.nanvl("exact", "series").alias("pvalue"))
+    return both.select("feature", "n_ref", "n_cur", "d", F.coalesce(F.when(~F.isnan("exact"), F.col("exact")), "series").alias("pvalue"))
 
 
 def _joint_cuts(reference: DriftReference, batch: DataFrame, present: Sequence[str]) -> list[list[float]]:
