@@ -33,7 +33,7 @@ from scorewell.session import materialize
 
 IDS_PER_SHARD = 1 << 24
 KEYS_PER_BUCKET = 50_000
-PIECES_KEPT, LONGEST_KEPT = 350_000, 64
+PIECES_KEPT, LONGEST_KEPT = 160_000, 64
 SPARE = 2  # bits per key at each level of the hash function
 MOST_LEVELS = 64
 
@@ -45,27 +45,32 @@ _kept: dict[tuple[str, str], Pieces] = {}
 
 
 class Pieces:
-    """Ids of pieces of text as bytes, kept from batch to batch; those not met before are encoded together."""
+    """Ids of pieces of text as bytes, kept from batch to batch; those not met before are encoded together.
+
+    Two generations of at most half of PIECES_KEPT: when the younger is full it becomes the older one, and what is met
+    again moves back to the younger. So pieces that recur stay, those met once go, and the memory is bounded.
+    """
 
     def __init__(self, tokenizer: str, dtype: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks in parallel
         from tokenizers import Tokenizer
 
-        self.made, self.dtype, self.kept = Tokenizer.from_file(tokenizer), dtype, {}
+        self.made, self.dtype, self.kept, self.older = Tokenizer.from_file(tokenizer), dtype, {}, {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         pieces = [[x] if UNUSUAL.search(x) else PIECE.findall(x) for x in texts]
         new = set().union(*pieces).difference(self.kept)
-        if len(new) + len(self.kept) > PIECES_KEPT:
-            self.kept.clear()
-            new = set().union(*pieces)
-        new = list(new)
+        again = new.intersection(self.older)
+        self.kept.update((x, self.older[x]) for x in again)
+        new = list(new.difference(again))
         made = self.made.encode_batch_fast(new, add_special_tokens=False)
         self.kept.update(zip(new, [np.array(x.ids, self.dtype).tobytes() for x in made]))
         out = [b"".join(map(self.kept.__getitem__, x)) for x in pieces]
         for x in new:
             if len(x) > LONGEST_KEPT:
                 del self.kept[x]
+        if len(self.kept) > PIECES_KEPT // 2:
+            self.kept, self.older = {}, self.kept
         return out
 
 
