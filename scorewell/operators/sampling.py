@@ -7,8 +7,10 @@ from two small aggregations; the rows themselves are only filtered, never sorted
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Callable, Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +19,8 @@ from scorewell.functions.exprs import HASH_BITS, c, count_if, key_hash
 
 SEED = 42
 MAX_CLASSES = 200
-BAND_HASHES = 100_000
+#: Groups that one step of the search for ranks makes at most, and so the rows it reads to the driver.
+MOST_GROUPS = 65_536
 HASH_END = 1 << HASH_BITS
 
 
@@ -34,74 +37,45 @@ def class_sizes(df: DataFrame, by: str | None) -> dict:
 def hash_at_ranks(
     df: DataFrame, keys: Sequence[str], ranks: dict[object, list[int]], sizes: dict, by: str | None, seed: int = SEED
 ) -> dict[object, list[int]]:
-    """Per class, the largest key hash among its first ``rank`` rows in hash order, for each rank.
+    """Per class and rank, a cut: the rows whose key hash is at most the cut are the first ``rank`` rows in hash order.
 
-    Hashes are uniform, so the one at a rank lies in a narrow known band. The rows below the band
-    are counted and the band's hashes gathered, at most about ``BAND_HASHES`` of them; where a band
-    would hold more, it is only counted and narrowed again. A band that misses its rank is widened.
-    Rows with equal keys are taken or left together, so with repeated keys a part can be smaller.
+    Rows are counted by the leading bits of their hash, and each next step looks only at the intervals that hold a
+    rank, with more bits, until whole hashes are counted. No step makes more than ``MOST_GROUPS`` groups, however
+    often a key is there. Rows with equal keys are taken or left together, so with repeated keys a part can be smaller.
     """
     cuts: dict[object, list[int]] = {k: [-1 if r <= 0 else HASH_END for r in rs] for k, rs in ranks.items()}
-    # (class, place in its list, rank) -> interval known to hold the rank, rows below it and inside it.
-    todo = {
-        (k, i, r): (0, HASH_END, 0, sizes[k]) for k, rs in ranks.items() for i, r in enumerate(rs) if 0 < r < sizes[k]
-    }
-    hashed = df.select(key_hash(keys, seed).alias("h"), *([c(by).alias("k")] if by else []))
-    width = 8.0
-    while todo:
-        bands = {}
-        for key, (low, high, below, count) in todo.items():
-            share = (key[2] - below) / count
-            spread = width * (math.sqrt(count * share * (1 - share)) + 4) / count
-            span = high - low
-            band = (
-                low + int(max(0.0, share - spread) * span) if share > spread else low,
-                low + int((share + spread) * span) if share + spread < 1 else high,
-            )
-            bands[key] = (band, 2 * spread * count <= BAND_HASHES or band == (low, high))
-
-        def hits(k: object, lo: int, hi: int) -> Column:
-            inside = (F.col("h") >= lo) & (F.col("h") <= hi)
-            return inside if by is None else inside & F.col("k").eqNullSafe(F.lit(k))
-
-        aggs = []
-        for j, (key, ((lo, hi), gather)) in enumerate(bands.items()):
-            aggs.append(count_if(hits(key[0], 0, lo - 1)).alias(f"b{j}"))
-            found = hits(key[0], lo, hi)
-            aggs.append(count_if(found).alias(f"n{j}"))
-            if gather:
-                aggs.append(F.sort_array(F.collect_set(F.when(found, F.col("h")))).alias(f"v{j}"))
-        row = hashed.agg(*aggs).first()
-        missed = False
-        for j, (key, ((lo, hi), gather)) in enumerate(bands.items()):
-            k, i, rank = key
-            below, size = row[f"b{j}"], row[f"n{j}"]
-            if not 0 <= rank - 1 - below < size:
-                missed = True
-            elif not gather:
-                todo[key] = (lo, hi, below, size)
-            else:
-                del todo[key]
-                if len(row[f"v{j}"]) == size:
-                    cuts[k][i] = row[f"v{j}"][rank - 1 - below]
-                else:
-                    counts = hashed.where(hits(k, lo, hi)).groupBy("h").agg(F.count("*").alias("n")).collect()
-                    cuts[k][i] = _last_whole(sorted((r["h"], r["n"]) for r in counts), rank - below, lo - 1)
-        width = width * 4 if missed else 8.0
+    classes = list(ranks)
+    # (number of the class, place in its list, rank) -> leading bits of the interval that holds the rank, rows before and inside it.
+    todo = {(j, i, r): (0, 0, sizes[k]) for j, (k, rs) in enumerate(ranks.items()) for i, r in enumerate(rs) if 0 < r < sizes[k]}
+    label = c(by) if by else F.lit(None).cast("string")
+    hashed = df.select(key_hash(keys, seed).alias("h"), label.alias("k"))
+    kind, shift = hashed.schema["k"].dataType.simpleString(), HASH_BITS
+    while todo and shift:
+        inside = {(j, prefix): n for (j, _, _), (prefix, _, n) in todo.items()}
+        # Few rows are counted by their whole hash at once.
+        whole = sum(inside.values()) <= MOST_GROUPS
+        finer = 0 if whole else max(0, shift - max(1, (MOST_GROUPS // len(inside)).bit_length() - 1))
+        known = df.sparkSession.createDataFrame([(classes[j], j, p) for j, p in inside], f"__k {kind}, j int, __prefix long")
+        here = F.col("k").eqNullSafe(F.col("__k")) & (F.shiftright("h", shift) == F.col("__prefix"))
+        rows = hashed.join(F.broadcast(known), here)  # one row per class and rank at most
+        counts: dict[tuple, list[tuple[int, int]]] = {}
+        for row in rows.groupBy("j", F.shiftright("h", finer).alias("p")).agg(F.count("*").alias("n")).collect():
+            counts.setdefault((row["j"], row["p"] >> (shift - finer)), []).append((row["p"], row["n"]))
+        ends = {}
+        for place, found in counts.items():
+            found.sort()
+            ends[place] = list(accumulate(n for _, n in found))
+        for key, (prefix, below, _) in todo.items():
+            found, until = counts[key[0], prefix], ends[key[0], prefix]
+            at = bisect.bisect_left(until, key[2] - below)
+            todo[key] = (found[at][0], below + until[at] - found[at][1], found[at][1])
+        shift = finer
+    for (j, i, rank), (h, below, count) in todo.items():
+        # A hash whose rows do not all fit stays out as a whole.
+        cuts[classes[j]][i] = h if below + count <= rank else h - 1
     return cuts
 
 
-def _last_whole(counts: list[tuple[int, int]], room: int, before: int) -> int:
-    """The last hash whose rows, with all smaller ones, fit into ``room``."""
-    cut = before
-    for h, n in counts:
-        room -= n
-        if room < 0:
-            break
-        cut = h
-    return cut
-
-
 def _per_class(by: str | None, values: dict[object, object], build: Callable[[object], Column]) -> Column:
     """``build(value of the row's class)``; a single expression when there is one class."""
     if by is None:

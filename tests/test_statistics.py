@@ -62,7 +62,7 @@ def test_correlation_skips_missing_pairs(spark):
 
 
 def test_hash_cuts_when_bands_are_narrowed(spark, monkeypatch):
-    monkeypatch.setattr(sampling, "BAND_HASHES", 300)
+    monkeypatch.setattr(sampling, "MOST_GROUPS", 300)
     df = spark.range(20_000).withColumn("k", F.when(F.col("id") % 3 == 0, "x").otherwise("y"))
     sizes = sampling.class_sizes(df, "k")
     taken = df.where(sampling.take_per_class(df, ["id"], {"x": 1_234, "y": 7}, sizes, "k"))
@@ -71,7 +71,7 @@ def test_hash_cuts_when_bands_are_narrowed(spark, monkeypatch):
 
 @pytest.mark.parametrize("quota", [1_000, 5_000, 9_000])
 def test_copies_of_a_third_of_the_rows_stay_together(spark, monkeypatch, quota):
-    monkeypatch.setattr(sampling, "BAND_HASHES", 300)
+    monkeypatch.setattr(sampling, "MOST_GROUPS", 300)
     df = spark.range(12_000).withColumn("key", F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")))
     taken = sampling.uniform_sample(df, quota, ["key"])
     n, copies = taken.count(), taken.where("key = -1").count()
