@@ -220,8 +220,11 @@ def impute_mean_mode(df: DataFrame, fill: FillValues | None = None) -> DataFrame
 
 
 def clean_basic(df: DataFrame, fit_on: DataFrame | None = None) -> DataFrame:
-    """Drop duplicates, then fill missing cells; ``fit_on`` gives the rows to take means from."""
-    unique = drop_duplicates(df)
+    """Drop duplicates, then fill missing cells; ``fit_on`` gives the rows to take means from.
+
+    The deduplicated table is written once: means, modes and the result read it back.
+    """
+    unique = materialize(drop_duplicates(df), "unique")
     return impute_mean_mode(unique, fit_mean_mode(fit_on if fit_on is not None else unique))
 
 

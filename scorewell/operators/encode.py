@@ -17,6 +17,8 @@ from scorewell.operators.stats import exact_modes, exact_quantiles, summarize, v
 
 MAX_CATEGORIES = 50
 LITERAL_CATEGORIES = 10_000
+#: Flags that one column may become; beyond, fitting refuses.
+MOST_FLAGS = 5_000
 POOLED = "infrequent"
 
 
@@ -131,6 +133,8 @@ def fit_one_hot(
         x: totals.get(x, 0) if max_categories is None or totals.get(x, 0) <= max_categories else max_categories - 1
         for x in cols
     }
+    if too_many := {x: n for x, n in keep.items() if n > MOST_FLAGS}:
+        raise ValueError(f"more than {MOST_FLAGS} flags from one column: {too_many}; set max_categories")
     # Only columns within the limit are gathered in full.
     limit = max(keep.values(), default=0)
     order = Window.partitionBy("feature").orderBy(F.col("n").desc(), F.col("value").desc())

@@ -166,6 +166,7 @@ def exact_quantiles(
     bounded number of them. Columns with few distinct values go to it whole. For the others each
     quantile is first enclosed in an interval from a sketch, the values below and inside are
     counted, and this repeats until few enough are inside; each step is a scan with no shuffle.
+    Where a value that is repeated a lot keeps an interval wide, the interval's ends are cut off.
     Columns with fewer than ``min_values`` values are left out.
     """
     cols, probs = list(cols), list(probs)
@@ -198,6 +199,40 @@ def exact_quantiles(
         v = values[name]
         return f"{v} IS NOT NULL" if band is None else f"{v} BETWEEN {lit_double(band[0])} AND {lit_double(band[1])}"
 
+    def peel(keys: list[tuple[str, float]]) -> None:
+        """Cut the least and the greatest value off intervals that a sketch does not narrow: often one is repeated a lot."""
+        facts = {}
+        for k, (name, p) in enumerate(keys):
+            band, v = bands[name, p][0], values[name]
+            within = inside(name, band)
+            if band is None:
+                low, high, facts[f"a{k}"], facts[f"b{k}"] = "true", "true", "0", "0"
+            else:
+                low, high = f"{v} > {lit_double(band[0])}", f"{v} < {lit_double(band[1])}"
+                facts[f"a{k}"], facts[f"b{k}"] = (count_sql(f"{v} = {lit_double(x)}") for x in band)
+            facts[f"l{k}"] = f"min(if({within} AND {low}, {v}, null))"
+            facts[f"h{k}"] = f"max(if({within} AND {high}, {v}, null))"
+        found = aggregate(df, facts)
+        for k, (name, p) in enumerate(keys):
+            band, below, count, _ = bands[name, p]
+            first, last, least, most = found[f"a{k}"], found[f"b{k}"], found[f"l{k}"], found[f"h{k}"]
+            at = rank(name, p)
+            low, high = math.floor(at) - below, math.ceil(at) - below
+            if band is None:
+                bands[name, p] = [(least, most), 0, count, least == most]
+            elif high < first:
+                bands[name, p] = [(band[0], band[0]), below, first, True]
+            elif low >= count - last:
+                bands[name, p] = [(band[1], band[1]), below + count - last, last, True]
+            elif low < first or high >= count - last:
+                # Between an end and its neighbour: both values are known.
+                a, b = (band[0], least) if low < first else (most, band[1])
+                settled[name, p] = a + (b - a) * (at - math.floor(at))
+                bands[name, p][3] = True
+            else:
+                bands[name, p] = [(least, most), below + first, count - first - last, least == most]
+
+    settled: dict[tuple, float] = {}
     while wide := [key for key, b in bands.items() if not b[3] and b[2] > share]:
         if not ends:
             cuts = {}
@@ -214,14 +249,18 @@ def exact_quantiles(
             {f"b{k}": count_sql(f"{values[x]} < {lit_double(ends[x, p][0])}") for k, (x, p) in enumerate(wide)}
             | {f"i{k}": count_sql(inside(x, ends[x, p])) for k, (x, p) in enumerate(wide)},
         )
+        slow = []
         for k, (name, p) in enumerate(wide):
             below, count = counted[f"b{k}"], counted[f"i{k}"]
             holds = below <= math.floor(rank(name, p)) and math.ceil(rank(name, p)) < below + count
-            if holds and count < bands[name, p][2]:
+            before = bands[name, p][2]
+            if holds and count < before:
                 # One repeated value is small whatever its count.
                 bands[name, p] = [ends[name, p], below, count, ends[name, p][0] == ends[name, p][1]]
-            else:
-                bands[name, p][3] = True
+            if not bands[name, p][3] and (not holds or 2 * count > before):
+                slow.append((name, p))
+        if slow:
+            peel(slow)
         ends = {}
 
     def place(name: str, p: float) -> float:
@@ -231,8 +270,9 @@ def exact_quantiles(
     # Quantiles read from the same interval share one buffer.
     shared: dict[tuple, list[float]] = {}
     for name, p in bands:
-        shared.setdefault((name, bands[name, p][0]), []).append(p)
-    row = aggregate(
+        if (name, p) not in settled:
+            shared.setdefault((name, bands[name, p][0]), []).append(p)
+    row = {} if not shared else aggregate(
         df,
         {
             f"q{k}": f"percentile(if({inside(name, band)}, {values[name]}, null), "
@@ -240,7 +280,7 @@ def exact_quantiles(
             for k, ((name, band), ps) in enumerate(shared.items())
         },
     )
-    flat: dict[tuple, float | None] = {}
+    flat: dict[tuple, float | None] = dict(settled)
     for k, ((name, _), ps) in enumerate(shared.items()):
         for p, value in zip(ps, row[f"q{k}"] or [None] * len(ps)):
             flat[name, p] = value

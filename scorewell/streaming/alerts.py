@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,15 +27,16 @@ def stream_cooldown(alerts: DataFrame, seconds: int = COOLDOWN_SECONDS) -> DataF
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, count = state.get if state.exists else (None, 0)
         rows = pd.concat(list(batches)).sort_values(["t", "id"])
-        sent, counts = [], []
-        for t in rows["t"]:
-            out = last is None or t - last >= cooldown
-            if out:
-                last, count = int(t), count + 1
-            sent.append(out)
-            counts.append(count)
-        state.update((last, count))
-        yield pd.DataFrame({"name": key[0], "id": rows["id"], "t": rows["t"], "sent": sent, "send_count": counts})
+        times = rows["t"].to_numpy()
+        sent = np.zeros(len(times), bool)
+        # From one send to the next: what lies between is never looked at one by one.
+        at = 0 if last is None else int(np.searchsorted(times, last + cooldown, side="left"))
+        while at < len(times):
+            sent[at], last = True, int(times[at])
+            at = int(np.searchsorted(times, last + cooldown, side="left"))
+        counts = count + np.cumsum(sent)
+        state.update((last, int(count + sent.sum())))
+        yield pd.DataFrame({"name": key[0], "id": rows["id"], "t": times, "sent": sent, "send_count": counts})
 
     timed = alerts.select("name", F.col("id").cast("long").alias("id"), micros(F.col("ts")).alias("t"))
     return timed.groupBy("name").applyInPandasWithState(

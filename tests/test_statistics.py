@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -34,6 +36,24 @@ def test_quantiles_of_nothing(spark):
     assert stats.exact_quantiles(df, ["a"], [0.5]) == {"a": [None]}
 
 
+def test_repeated_values_leave_small_buffers(spark, monkeypatch):
+    """Zero-inflated amounts: three quarters are zero, so quantiles fall beside a value of very many rows."""
+    n, probs = 400_000, [0.25, 0.5, 0.74989, 0.7499, 0.75, 0.75001, 0.9, 1.0]
+    heavy = F.when(F.col("id") % 10_000 < 7_499, 0.0).otherwise(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / 1024.0)
+    low = F.when(F.col("id") % 10_000 < 2_500, -F.col("id").cast("double")).when(F.col("id") % 10_000 < 7_500, 7.0).otherwise(F.col("id") / 8)
+    df = spark.range(n).select(heavy.alias("a"), low.alias("b")).cache()
+    asked, aggregate = [], stats.aggregate
+    monkeypatch.setattr(stats, "aggregate", lambda frame, exprs: asked.append(exprs) or aggregate(frame, exprs))
+    got = stats.exact_quantiles(df, ["a", "b"], probs, 1_000)
+    for name in ("a", "b"):
+        want = df.selectExpr(f"percentile({name}, array({', '.join(map(str, probs))}))").first()[0]
+        assert got[name] == pytest.approx(want, rel=1e-12)
+    buffers = [re.match(r"percentile\((.*), array\(", x)[1] for x in asked[-1].values()]
+    assert max(df.selectExpr(*[f"count(DISTINCT {b})" for b in buffers]).first()) <= 1_000
+    assert len(asked) < 30
+    df.unpersist()
+
+
 def test_mode_takes_the_smallest_of_equals(spark):
     df = spark.createDataFrame([("b", 2), ("a", 2), ("b", 1), ("a", 1), (None, None)], "s string, n int")
     assert stats.exact_modes(df, ["s", "n"]) == {"s": "a", "n": 1}
