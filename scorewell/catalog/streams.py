@@ -9,7 +9,7 @@ from scorewell.catalog.common import Catalog, rounded, table
 from scorewell.session import fresh_path
 from scorewell.streaming.alerts import stream_cooldown
 from scorewell.streaming.scoring import ScoringStream
-from scorewell.streaming.windows import read_stream, stream_windows, write_all_windows
+from scorewell.streaming.windows import read_stream, read_windows, stream_windows, write_all_windows, write_closed_windows
 
 catalog = Catalog()
 
@@ -30,8 +30,34 @@ def log_stream(spark, sf_dir):
 @catalog.add("windowed_fraud_rate_stream", m.catalog.sql["windowed_fraud_rate"])
 def windowed_fraud_rate_stream(spark, sf_dir):
     path, check = fresh_path(spark, "windows"), fresh_path(spark, "check")
-    write_all_windows(stream_windows(log_stream(spark, sf_dir), "1 hour"), path, check).awaitTermination()
-    return rounded(m.text_times(spark.read.parquet(path), "window_start", "window_end"))
+    windows = stream_windows(log_stream(spark, sf_dir), "1 hour")
+    write_all_windows(windows, path, check).awaitTermination()
+    return rounded(m.text_times(read_windows(spark, path, windows.schema), "window_start", "window_end"))
+
+
+def closed_sql(name):
+    """Of a query over windows, those that end an hour or more before the last event."""
+    return (
+        f"SELECT w.* FROM ({m.catalog.sql[name]}) w "
+        "WHERE CAST(w.window_end AS TIMESTAMP) <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"
+    )
+
+
+def closed_windows(spark, sf_dir, slide=None):
+    path, check = fresh_path(spark, "windows"), fresh_path(spark, "check")
+    windows = stream_windows(log_stream(spark, sf_dir), "1 hour", slide, "1 hour")
+    write_closed_windows(windows, path, check).awaitTermination()
+    return rounded(m.text_times(spark.read.schema(windows.schema).parquet(path), "window_start", "window_end"))
+
+
+@catalog.add("closed_windows_stream", closed_sql("windowed_fraud_rate"))
+def closed_windows_stream(spark, sf_dir):
+    return closed_windows(spark, sf_dir)
+
+
+@catalog.add("closed_windows_sliding_stream", closed_sql("windowed_fraud_rate_sliding"))
+def closed_windows_sliding_stream(spark, sf_dir):
+    return closed_windows(spark, sf_dir, "15 minutes")
 
 
 @catalog.add("alert_cooldown_stream", m.catalog.sql["alert_cooldown"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -41,15 +42,25 @@ def write_closed_windows(windows: DataFrame, path: str, checkpoint: str) -> Stre
 
 
 def write_all_windows(windows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep a table of all windows so far, closed or not, rewritten after each micro-batch."""
+    """Keep all windows so far, closed or not: each micro-batch adds the windows it changed, under its number.
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    A batch that runs again replaces its own folder. Windows the watermark has passed leave the state.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return (
-        windows.writeStream.outputMode("complete")
-        .foreachBatch(replace)
+        windows.writeStream.outputMode("update")
+        .foreachBatch(add)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def read_windows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The newest state of each window that ``write_all_windows`` has kept (``schema``: that of the windows)."""
+    kept = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
+    newest = kept.groupBy("window_start").agg(F.max_by(F.struct(*schema.names), "batch").alias("w"))
+    return newest.select("w.*")

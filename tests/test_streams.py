@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from scorewell import session
 from scorewell.streaming.alerts import stream_cooldown
 from scorewell.streaming.scoring import ScoringStream
-from scorewell.streaming.windows import read_stream, stream_windows, write_closed_windows
+from scorewell.streaming.windows import read_stream, read_windows, stream_windows, write_all_windows, write_closed_windows
 
 START = dt.datetime(2024, 1, 1)
 SCHEMA = "id long, ts timestamp, prediction int, probability double"
@@ -33,6 +33,18 @@ def test_windows_close_once_the_watermark_has_passed(spark, tmp_path):
     assert sorted(r.total_count for r in spark.read.parquet(sink).collect()) == [1, 2]
 
 
+def test_open_windows_show_their_newest_state(spark, tmp_path):
+    source, sink, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    put(spark, source, [(1, at(60), 1, 0.9), (2, at(3 * 3600), 0, 0.1)])
+    windows = stream_windows(read_stream(spark, source, spark.read.parquet(source).schema), "1 hour", watermark="1 hour")
+    write_all_windows(windows, sink, check).awaitTermination()
+    # One more row of an open window, and one of a window that the watermark has passed.
+    put(spark, source, [(3, at(3 * 3600 + 5), 1, 0.3), (4, at(90), 1, 0.9)])
+    write_all_windows(windows, sink, check).awaitTermination()
+    rows = read_windows(spark, sink, windows.schema).orderBy("window_start").collect()
+    assert [(r.total_count, r.fraud_count) for r in rows] == [(1, 1), (2, 1)]
+
+
 def test_cooldown_state_outlives_a_restart(spark, tmp_path):
     source, sink, check = (str(tmp_path / x) for x in ("in", "out", "check"))
     schema = "name string, id long, ts timestamp"
