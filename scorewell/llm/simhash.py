@@ -41,23 +41,32 @@ def shingle_spans(data: bytes, width: int) -> tuple[bytes, list[int], list[int]]
     return b" ".join(words), starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist()
 
 
-def fingerprint(data: bytes, width: int = 4) -> int:
-    """64-bit SimHash of the word shingles of a text given as UTF-8; zero without words.
-
-    Words are what ASCII white space separates, A-Z lower-cased; repeats count; a bit is set when
-    more than half of the hashes have it.
-    """
+def shingle_hashes(data: bytes, width: int = 4) -> np.ndarray:
+    """The 64-bit hash of each word shingle of a text given as UTF-8, as rows of eight bytes; no rows without words."""
     joined, starts, ends = shingle_spans(data, width)
-    if not starts:
-        return 0
     digest = xxhash.xxh64_digest
-    hashes = np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, ends)]), np.uint8).reshape(-1, 8)
+    return np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, ends)]), np.uint8).reshape(-1, 8)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have; zero without hashes."""
+    if not len(hashes):
+        return 0
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), ROWS_AT_ONCE):
         ones += np.unpackbits(hashes[i : i + ROWS_AT_ONCE], axis=1).sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes)).view(">u8")[0])
 
 
+def fingerprint(data: bytes, width: int = 4) -> int:
+    """64-bit SimHash of the word shingles of a text given as UTF-8; zero without words.
+
+    Words are what ASCII white space separates, A-Z lower-cased; repeats count; a bit is set when
+    more than half of the hashes have it.
+    """
+    return majority(shingle_hashes(data, width))
+
+
 def with_fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, fp long) for every row; a null text counts as empty."""
 
