@@ -5,8 +5,9 @@ have a path, two entropies say how much it differs from page to page: that of th
 and that of the text directly in it (content), as shares of the most they could be; copies of a page
 count once. A branch none of whose paths is important is noise of the site's template and goes. What
 names alone tell (navigation, forms, scripts, adverts, comments) goes on every page, also
-where a host has too few pages to compare. Inside an article only what names tell goes, so that a
-host of near copies keeps its articles.
+where a host has too few pages to compare. Where to look is a prior: text inside an article stays unless its branch is
+noise, text beside one goes unless its path is clearly important. An article of which nothing would be left is kept,
+so a host of near copies keeps its articles.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from scorewell.session import materialize
 #: Importance below which a branch is noise, and pages (other than copies) a host needs for that.
 LEAST_IMPORTANCE = 0.3
 LEAST_PAGES = 8
+#: Importance of its own from which a path beside an article is content.
+BESIDE_IMPORTANCE = 0.9
 #: The table of noise branches is sent to every task up to so many rows; beyond, pages are joined with it.
 BROADCAST_ROWS = 100_000
 
@@ -55,6 +58,7 @@ NOISE_WORDS = set(
 #: Only outside an article: there these may hold its title or its notes.
 NOISE_OUTSIDE = {"header", "masthead", "topbar"}
 ARTICLE = {"article", "main"}
+WITHIN = r"/(article|main)([./]|$)"
 
 
 class Node:
@@ -145,16 +149,16 @@ def parse(page: str):
     return blocks, children
 
 
-def main_text(page: str | None, noise: set[str]) -> str:
-    """Blocks of the article, or of the page where it has none, without noise; joined by newlines."""
+def main_text(page: str | None, noise: set[str], beside: set[str] = frozenset()) -> str:
+    """Blocks of the article and of the paths ``beside`` it, or of the page where it has none, without noise; joined by newlines."""
     blocks, _ = parse(page or "")
     named = [b for b in blocks if not b[1]]
-    inside = [b[3] for b in named if b[2]]
-    if inside:
-        return "\n".join(inside)
     cut = tuple(f"{x}/" for x in noise)
-    rest = [b[3] for b in named if not (f"{b[0]}/").startswith(cut)] if cut else [b[3] for b in named]
-    return "\n".join(rest)
+    rest = [b for b in named if not (f"{b[0]}/").startswith(cut)] if cut else named
+    if any(b[2] for b in named):
+        inside = rest if any(b[2] for b in rest) else named
+        return "\n".join(b[3] for b in inside if b[2] or b[0] in beside)
+    return "\n".join(b[3] for b in rest)
 
 
 def host_of(url: str | None) -> str:
@@ -165,7 +169,7 @@ def host_of(url: str | None) -> str:
 def style_facts(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, path, kind, value, page): per page and path, hashes of its child sequence and of its direct text.
 
-    ``page`` is a hash of all the page's text, so that copies are one. Only paths that names do not settle.
+    ``page`` is a hash of all the text that names do not settle, so that copies are one. Only paths that names do not settle.
     """
 
     def run(batches):
@@ -173,10 +177,8 @@ def style_facts(pages: DataFrame, url_col: str = "url", html_col: str = "html")
             out: list[tuple] = []
             for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 blocks, children = parse(page or "")
-                if any(inside and not noise for _, noise, inside, _ in blocks):
-                    continue  # an article is taken whole, there is nothing to decide
                 host = host_of(url)
-                own = xxhash.xxh64_intdigest("\n".join(b[3] for b in blocks)) >> 1
+                own = xxhash.xxh64_intdigest("\n".join(b[3] for b in blocks if not b[1])) >> 1
                 direct: dict[str, list[str]] = {}
                 for path, noise, _, text in blocks:
                     if not noise:
@@ -196,7 +198,7 @@ def style_facts(pages: DataFrame, url_col: str = "url", html_col: str = "html")
 
 
 def branch_importance(facts: DataFrame) -> DataFrame:
-    """(host, path, pages, importance): the greatest importance of a path and all paths below it."""
+    """(host, path, pages, importance, own): the greatest importance of a path and all paths below it, and its own."""
     values = facts.where("path <> ''").distinct().groupBy("host", "path", "kind", "value").agg(F.count("*").alias("n"))
     spread = F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")
     own = values.groupBy("host", "path", "kind").agg(F.sum("n").alias("pages"), F.try_divide(spread, F.log(F.sum("n"))).alias("e"))
@@ -206,8 +208,9 @@ def branch_importance(facts: DataFrame) -> DataFrame:
         F.max("pages").alias("pages"), F.coalesce(F.max(F.when(F.col("kind") == "content", F.col("e"))), F.lit(0.0)).alias("e")
     )
     above = "transform(sequence(2, size(parts)), i -> array_join(slice(parts, 1, i), '/'))"
-    lifted = per_path.withColumn("parts", F.split("path", "/")).select("host", "pages", "e", F.explode(F.expr(above)).alias("path"))
-    return lifted.groupBy("host", "path").agg(F.max("pages").alias("pages"), F.max("e").alias("importance"))
+    lifted = per_path.withColumn("parts", F.split("path", "/")).select("host", "pages", "e", F.col("path").alias("of"), F.explode(F.expr(above)).alias("path"))
+    own = F.coalesce(F.max(F.when(F.col("of") == F.col("path"), F.col("e"))), F.lit(0.0)).alias("own")
+    return lifted.groupBy("host", "path").agg(F.max("pages").alias("pages"), F.max("e").alias("importance"), own)
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -216,21 +219,23 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
     Repeated rows give repeated results; a column of the input named ``main_text`` is replaced.
     """
     importance = branch_importance(style_facts(pages, url_col, html_col))
-    low = importance.where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE))
-    noise = materialize(low.groupBy("host").agg(F.collect_list("path").alias("__noise")), "noise")
+    low = F.when(F.col("importance") < LEAST_IMPORTANCE, F.col("path"))
+    high = F.when((F.col("own") >= BESIDE_IMPORTANCE) & ~F.col("path").rlike(WITHIN), F.col("path"))
+    told = importance.where(F.col("pages") >= LEAST_PAGES).withColumn("low", low).withColumn("high", high).where("low IS NOT NULL OR high IS NOT NULL")
+    noise = materialize(told.groupBy("host").agg(F.collect_list("low").alias("__noise"), F.collect_list("high").alias("__beside")), "noise")
     noise = noise.withColumnRenamed("host", "__host")
-    if (noise.agg(F.sum(F.size("__noise"))).first()[0] or 0) <= BROADCAST_ROWS:
+    if (noise.agg(F.sum(F.size("__noise") + F.size("__beside"))).first()[0] or 0) <= BROADCAST_ROWS:
         noise = F.broadcast(noise)
-    own = [x for x in pages.columns if x not in ("main_text", "__noise", "__host")]
+    own = [x for x in pages.columns if x not in ("main_text", "__noise", "__beside", "__host")]
     rows = pages.select(*[F.col(f"`{x}`") for x in own])
     host = F.lower(F.regexp_extract(F.coalesce(F.col(f"`{url_col}`"), F.lit("")), HOST.pattern, 1))
-    joined = rows.withColumn("__host", host).join(noise, "__host", "left").select(*[F.col(f"`{x}`") for x in own], "__noise")
+    joined = rows.withColumn("__host", host).join(noise, "__host", "left").select(*[F.col(f"`{x}`") for x in own], "__noise", "__beside")
     at = own.index(html_col)
 
     def run(batches):
         for batch in slices(batches):
-            lists = batch.column(len(own)).to_pylist()
-            texts = [main_text(h, set(n or ())) for h, n in zip(batch.column(at).to_pylist(), lists)]
+            lists = zip(*[batch.column(i).to_pylist() for i in (at, len(own), len(own) + 1)])
+            texts = [main_text(h, set(n or ()), set(b or ())) for h, n, b in lists]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], pa.array(texts, pa.string())], [*own, "main_text"])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", main_text string"

@@ -40,5 +40,32 @@ def test_copies_keep_their_article(spark):
     assert {r.main_text for r in style_tree.extract(pages).collect()} == {style_tree.main_text(ARTICLE, set())}
 
 
+def framed(i, n=0):
+    return (
+        f"<html><body><div class='lead'>Lead of {i}</div><div class='strap'>Our strap line</div><article><h1>Title {i}</h1><p>Story {i} tells {i * 7 + n} things</p>"
+        "<div class='x9f'><p>Lesen Sie auch</p><p>Abonnieren</p></div></article></body></html>"
+    )
+
+
+def test_entropy_decides_inside_and_beside_an_article(spark):
+    rows = [(i, f"http://d.org/{i}", framed(i)) for i in range(30)] + [(100, "http://e.org/1", framed(3))]
+    rows += [(200 + i, f"http://f.org/{i}", framed(1)) for i in range(30)]
+    rows += [(300 + i, f"http://g.org/{i}", ARTICLE.replace("Buy", f"Buy {i}").replace("See also", f"See {i}")) for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    facts = style_tree.style_facts(pages).where("path LIKE '%article%'")
+    assert facts.select("host").distinct().count() == 4
+    got = {r.page_id: r.main_text for r in style_tree.extract(pages).collect()}
+    assert all(got[i] == f"Lead of {i}\nTitle {i}\nStory {i} tells {i * 7} things" for i in range(30))
+    # Too few pages, and copies whose adverts alone differ: names decide.
+    assert got[100] == style_tree.main_text(framed(3), set()) and "Lesen" in got[100]
+    assert all(got[200 + i] == style_tree.main_text(framed(1), set()) for i in range(30))
+    assert all(got[300 + i] == style_tree.main_text(ARTICLE, set()) for i in range(30))
+
+
+def test_an_article_is_not_emptied():
+    page = framed(1)
+    assert style_tree.main_text(page, {"/html/body/article"}) == style_tree.main_text(page, set()) != ""
+
+
 def test_empty_table(spark):
     assert style_tree.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
