@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from scorewell.catalog.common import Catalog, table
-from scorewell.llm import disclosure, kneser_ney, line_dedup, markov_secrets, mixture, simhash, spotsigs, style_tree, token_shards, wand
+from scorewell.llm import (
+    disclosure, kneser_ney, line_dedup, markov_secrets, mixture, packing, periodic, shared_search, simhash, spotsigs, style_tree, token_shards, wand,
+)
 from scorewell.llm.ship import ship
 from scorewell.llm.spans import count_of, listed
 from scorewell.session import fresh_path, materialize
@@ -112,3 +114,19 @@ def op4_style_tree(spark, sf_dir):
 def op6_line_dedup(spark, sf_dir):
     found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return found.withColumn("dropped", F.array_join("dropped", ","))
+
+
+@catalog.add("op12_periodic_runs")
+def op12_periodic_runs(spark, sf_dir):
+    return periodic.run_digests(periodic.with_runs(periodic.with_echoes(table(spark, sf_dir, "documents"))))
+
+
+@catalog.add("op13_shared_search")
+def op13_shared_search(spark, sf_dir):
+    return shared_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 20)
+
+
+@catalog.add("op11_packing")
+def op11_packing(spark, sf_dir):
+    found = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
