@@ -14,9 +14,6 @@ its own block of rows plus what earlier blocks hold: no document is shuffled.
 
 from __future__ import annotations
 
-import json
-import os
-import re
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
@@ -28,73 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scorewell.llm.batches import slices
+from scorewell.llm.batches import sized, slices
+from scorewell.llm.word_ids import encoder
 from scorewell.session import materialize
 
 CAPACITY = 4096
 CLASS_WIDTH, CLASS_IDS = 1.04, 8  # the lengths of a class differ by 4 %, or by less than 8
 GAP = 1e-3  # sequences beyond the linear program's bound, as a share, at which no more patterns are made
-KEPT = 200_000
-ROWS_AT_ONCE = 128
-
-# ---------------------------------------------------------------- ids
-
-#: The settings under which white space parts a text into pieces that are encoded by themselves.
-WORD_WISE = ["NFC", "Replace", "Lowercase"], r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: The same cut for printable ASCII in small letters.
-CORE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-#: White space to Python, but not to the tokenizer.
-ODD = re.compile("[\x1c-\x1f]")
-_encoders: dict[str, Encoder] = {}
-
-
-class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit integers, by the tokenizers library.
-
-    Where the tokenizer's settings allow it, words are looked up among those encoded before; new words are put together
-    from their parts, and new parts are encoded in one call. Of either at most KEPT are remembered: then all are forgotten.
-    """
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks in parallel
-        from tokenizers import Tokenizer
-
-        with open(path, encoding="utf-8") as f:
-            settings = json.load(f)
-        normalizers = [n["type"] for n in (settings.get("normalizer") or {}).get("normalizers", [])]
-        first = (settings.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
-        self.word_wise = (normalizers, first.get("pattern", {}).get("Regex")) == WORD_WISE and first["behavior"] == "Removed"
-        self.made, self.words, self.parts = Tokenizer.from_file(path), {}, {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.made.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.word_wise:
-            return self._library(texts)
-        pieces = [[x] if ODD.search(x) else x.split() for x in texts]
-        new = [*set().union(*pieces).difference(self.words)]
-        # Special tokens are looked for in the text as it stands, so what may hold one is encoded as it stands.
-        cores = [CORE.findall(x.lower()) if x.isascii() and x.isprintable() and "<|" not in x else [x] for x in new]
-        parts = [*set().union(*cores).difference(self.parts)]
-        self.parts.update(zip(parts, self._library(parts)))
-        self.words.update(zip(new, [b"".join(map(self.parts.__getitem__, x)) for x in cores]))
-        out = [b"".join(map(self.words.__getitem__, x)) for x in pieces]
-        for kept in (self.words, self.parts):
-            if len(kept) > KEPT:
-                kept.clear()
-            elif new:
-                for x in new:
-                    if len(x) > 64:  # texts without white space are not worth the room
-                        kept.pop(x, None)
-        return out
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
 
 # ---------------------------------------------------------------- patterns
 
@@ -330,9 +267,9 @@ def _rests(docs: DataFrame, kind: str, tokenizer: str, end_id: int, capacity: in
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, seen, end = TaskContext.get().partitionId(), {}, np.array([end_id], "<u4").tobytes()
         encode = encoder(tokenizer).encode
-        for batch in slices(batches, ROWS_AT_ONCE):
+        for batch in sized(batches, 1):
             row, start, total, nth, ids = [], [], [], [], []
-            for i, data in enumerate(encode(pc.fill_null(batch.column(1), "").to_pylist())):
+            for i, data in enumerate(encode(pc.fill_null(batch.column(1), ""))):
                 data += end
                 for at in range(0, len(data), 4 * capacity):
                     part = data[at : at + 4 * capacity]

@@ -2,11 +2,12 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from scorewell.llm import packing
+from scorewell.llm import packing, word_ids
 
 from .conftest import prose
 
@@ -84,8 +85,8 @@ def test_knapsack_and_columns_equal_brute_force():
 
 @pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_encoder_equals_the_library(file, rows, monkeypatch):
-    monkeypatch.setattr(packing, "KEPT", 50)
-    made = packing.Encoder(public_tokenizers.path(file))
+    monkeypatch.setattr(word_ids, "KEPT", 50)
+    made = word_ids.WordIds(public_tokenizers.path(file))
     whole = Tokenizer.from_file(public_tokenizers.path(file))
     odd = [
         "don't DON'T 'start we'll 'S 's's x'y", "a<|endoftext|>b <|startoftext|> <|ENDOFTEXT|>", "Á e ́x ÅΩ", "one\x1ctwo\x1d three",
@@ -93,7 +94,7 @@ def test_encoder_equals_the_library(file, rows, monkeypatch):
     ]
     texts = odd + [r[1] or "" for r in rows[:130]]
     for _ in range(2):
-        assert made.encode(texts) == [np.array(x.ids, "<u4").tobytes() for x in whole.encode_batch(texts, add_special_tokens=False)]
+        assert made.encode(pa.array(texts)) == [np.array(x.ids, "<u4").tobytes() for x in whole.encode_batch(texts, add_special_tokens=False)]
     assert made.word_wise == file.startswith("word")
 
 
