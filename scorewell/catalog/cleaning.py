@@ -57,6 +57,16 @@ def drop_duplicates(spark, sf_dir):
     return cleaning.drop_duplicates(table(spark, sf_dir, "lineitem").select(*REPEATED))
 
 
+TWICE = "SELECT *, NULL::INTEGER AS l_note FROM lineitem"
+
+
+@catalog.add("drop_duplicates_wide", f"SELECT DISTINCT * FROM ({TWICE} UNION ALL SELECT * FROM ({TWICE}) WHERE l_quantity = 7)")
+def drop_duplicates_wide(spark, sf_dir):
+    """Whole rows of line items, a fiftieth of which is there twice."""
+    items = table(spark, sf_dir, "lineitem").withColumn("l_note", F.lit(None).cast("int"))
+    return cleaning.drop_duplicates(items.union(items.where("l_quantity = 7")))
+
+
 @catalog.add(
     "duplicates_removed",
     f"SELECT (SELECT count(*) FROM lineitem) AS rows_before, (SELECT count(*) FROM lineitem) - count(*) AS duplicates, "

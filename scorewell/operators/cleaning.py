@@ -21,7 +21,6 @@ from scorewell.functions.exprs import (
     double_sql,
     is_numeric,
     lit_double,
-    nan_to_null,
     numeric_columns,
     parse_boolean,
     parse_number,
@@ -29,6 +28,7 @@ from scorewell.functions.exprs import (
     string_columns,
     strip_text,
 )
+from scorewell.operators.duplicates import without_duplicates
 from scorewell.operators.stats import aggregate, duplicate_count, exact_modes, exact_quantiles, summarize
 from scorewell.session import materialize
 
@@ -62,8 +62,8 @@ def strip_column_names(df: DataFrame) -> DataFrame:
 
 
 def drop_duplicates(df: DataFrame) -> DataFrame:
-    """Equal rows once; NaN counts as missing."""
-    return nan_to_null(df).dropDuplicates()
+    """Equal rows once; NaN counts as missing. Rows that have no equal are not shuffled."""
+    return without_duplicates(df)[0]
 
 
 def drop_null_target(df: DataFrame, target: str) -> DataFrame:
@@ -244,10 +244,11 @@ def clean_smart(
     """
     report = CleaningReport()
     named = strip_column_names(df)
-    unique = materialize(drop_duplicates(named), "unique")
+    rows, n_before = without_duplicates(named)
+    unique = materialize(rows, "unique")
     cols = [name for name in unique.columns if name != target and name not in protect]
     n, stats = summarize(unique, ["missing", "constant", "numeric_like", "boolean_like", "padded"], cols)
-    report.add("rows_before", None, n_before := named.count())
+    report.add("rows_before", None, n_before)
     report.add("duplicates_removed", None, n_before - n)
 
     sparse = [name for name in cols if n and stats[name]["missing"] / n > missing_limit]
