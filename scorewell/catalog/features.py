@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from scorewell.catalog.common import SCORED, Catalog, rounded, scored_events, table
 from scorewell.catalog.profiles import hash_sql
 from scorewell.functions.bands import class_label, score_percent
-from scorewell.operators import balance, encode, features, scoring
+from scorewell.operators import balance, encode, features, neighbours, scoring
 from scorewell.plans.flagship import cheapest_threshold_report
 
 catalog = Catalog()
@@ -190,6 +190,20 @@ def smote(spark, sf_dir):
     return made.selectExpr("vec_id", "label", "synthetic", *[f"round(e{i}, 6) AS e{i}" for i in range(DIMS)])
 
 
+NEAREST = """WITH p AS (SELECT p_partkey AS key, [p_size, p_retailprice / 25, length(p_name)]::DOUBLE[] AS vec FROM part),
+d AS (SELECT a.key, b.key AS neighbour, row_number() OVER (PARTITION BY a.key ORDER BY
+  (a.vec[1] - b.vec[1]) ** 2 + (a.vec[2] - b.vec[2]) ** 2 + (a.vec[3] - b.vec[3]) ** 2, b.key) AS rank FROM p a JOIN p b ON a.key <> b.key)
+SELECT key, rank, neighbour FROM d WHERE rank <= 5"""
+
+
+@catalog.add("nearest_neighbours", NEAREST)
+def nearest_neighbours(spark, sf_dir):
+    """The five parts most like each part in size, price and length of name."""
+    vec = F.array(F.col("p_size").cast("double"), F.col("p_retailprice") / 25, F.length("p_name").cast("double"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), vec.alias("vec"))
+    return neighbours.nearest_neighbours(parts, "key", "vec", 5, cell_rows=128)
+
+
 T = 0.3
 
 

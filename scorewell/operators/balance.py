@@ -4,19 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from scorewell.functions.exprs import HASH_SPACE, c, key_hash
+from scorewell.operators.neighbours import BLOCK_ROWS, CELL_ROWS, nearest_neighbours
 from scorewell.operators.sampling import class_sizes, hash_at_ranks
 
 NEIGHBOURS = 5
-BLOCK_ROWS = 4_096
-MAX_BLOCK_ROWS = 16_384
-CELLS_PER_STEP = 4_000_000
 COPIES_PER_ROW = 1_000
 
 
@@ -44,61 +39,6 @@ def scale_pos_weight(df: DataFrame, label: str) -> DataFrame:
     return df.agg(F.try_divide(neg.cast("double"), pos.cast("double")).alias("scale_pos_weight"))
 
 
-def _best_in_block(x: np.ndarray, xk: np.ndarray, y: np.ndarray, yk: np.ndarray, k: int) -> pd.DataFrame:
-    """The k nearest rows of ``y`` for each row of ``x``, a row itself left out.
-
-    A matrix product gives the distances up to rounding. All rows within that rounding of the
-    k-th are kept, and only their distances are worked out from the differences.
-    """
-    square_x, square_y = (x * x).sum(axis=1), (y * y).sum(axis=1)
-    rough = square_x[:, None] + square_y[None, :] - 2.0 * (x @ y.T)
-    rough[xk[:, None] == yk[None, :]] = np.inf
-    limit = np.partition(rough, k - 1, axis=1)[:, k - 1] if k < len(y) else np.full(len(x), np.finfo(float).max)
-    slack = 1e-9 * (square_x + square_y.max())
-    rows, cols = np.nonzero((rough <= (limit + slack)[:, None]) & np.isfinite(rough))
-    exact = ((x[rows] - y[cols]) ** 2).sum(axis=1)
-    order = np.lexsort((yk[cols], exact, rows))
-    rows, cols, exact = rows[order], cols[order], exact[order]
-    place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
-    best = place < k
-    return pd.DataFrame({"key": xk[rows[best]], "neighbour": yk[cols[best]], "dist": exact[best]})
-
-
-def nearest_neighbours(rows: DataFrame, key: str, vector: str, k: int, n: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(key, rank, neighbour): the k nearest other rows of each row, exactly.
-
-    Rows are dealt to blocks of bounded size. Each pair of blocks meets in one task, which hands
-    on only the k best per row; a last ranking per row takes the best of those. No task holds more
-    than two blocks and no pair of rows is ever written out.
-    """
-    blocks = max(1, -(-n // block_rows))
-    base = rows.select(
-        c(key).alias("key"),
-        c(vector).alias("vec"),
-        F.pmod(F.xxhash64(c(key)), F.lit(blocks)).cast("int").alias("home"),
-    )
-    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    asking = base.select("key", "vec", F.col("home").alias("a"), others.alias("b"))
-    asked = base.select("key", "vec", F.col("home").alias("b"), others.alias("a"))
-
-    def best_of_pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"key": [], "neighbour": [], "dist": []})
-        x, y = np.stack(left["vec"].to_numpy()), np.stack(right["vec"].to_numpy())
-        xk, yk = left["key"].to_numpy(), right["key"].to_numpy()
-        step = max(1, CELLS_PER_STEP // len(y))
-        parts = [_best_in_block(x[i : i + step], xk[i : i + step], y, yk, k) for i in range(0, len(x), step)]
-        return pd.concat(parts)
-
-    found = (
-        asking.groupBy("a", "b")
-        .cogroup(asked.groupBy("a", "b"))
-        .applyInPandas(best_of_pair, "key long, neighbour long, dist double")
-    )
-    order = Window.partitionBy("key").orderBy("dist", "neighbour")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("key", "rank", "neighbour")
-
-
 def smote(
     df: DataFrame,
     key: str,
@@ -107,6 +47,7 @@ def smote(
     minority: object = None,
     k: int = NEIGHBOURS,
     seed: int = 42,
+    cell_rows: int = CELL_ROWS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Training rows plus synthetic minority rows until the two classes are equal.
@@ -134,9 +75,7 @@ def smote(
     vectors = original.where(c(label) == F.lit(minority)).select(
         c(key).alias("key"), F.array(*[c(f) for f in features]).alias("vec")
     )
-    # Larger blocks for more rows: rows are copied once per block they meet.
-    size = max(block_rows, min(MAX_BLOCK_ROWS, n_min // 64))
-    pairs = nearest_neighbours(vectors, "key", "vec", k, n_min, size)
+    pairs = nearest_neighbours(vectors, "key", "vec", k, cell_rows, block_rows)
     made = _between(vectors, pairs, needed, n_min, k, seed)
     dtype = df.schema[label].dataType
     synthetic = made.select(

@@ -60,7 +60,7 @@ def test_smote_counts_convexity_and_blocks(spark):
     rows = [(i, int(i < 30), *map(float, rng.randn(3) + 3 * (i < 30))) for i in range(400)]
     df = spark.createDataFrame(rows, "id long, label int, a double, b double, c double")
     feats = ["a", "b", "c"]
-    small = balance.smote(df, "id", "label", feats, block_rows=7)
+    small = balance.smote(df, "id", "label", feats, cell_rows=3, block_rows=7)
     large = balance.smote(df, "id", "label", feats)
     key = lambda r: tuple(round(r[f], 9) for f in feats)
     made = [r for r in small.collect() if r.synthetic]
