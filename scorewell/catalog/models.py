@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scorewell.catalog.common import Catalog, rounded, table
 from scorewell.catalog.features import transactions
-from scorewell.operators import explain, features
+from scorewell.operators import boosting, explain, features
 from scorewell.operators.sampling import stratified_split
 from scorewell.plans import models
 from scorewell.session import fresh_path
@@ -15,8 +15,8 @@ catalog = Catalog()
 
 # The candidates that the registered queries fit, with few trees: named here, for the library's own plans take the numbers of
 # the product (hundreds of trees, hours on one machine).
-QUICK = {"LogisticRegression": 30, "RandomForest": 5, "GBT_Balanced": 5, "GBT_HighRecall": 3}
-QUICK_AUTO = {"LogisticRegression": 30, "RandomForest": 3, "GBT_Deep": 3, "GBT": 2}
+QUICK = {"LogisticRegression": 30, "RandomForest": 5, "GBT_Balanced": 5, "GBT_HighRecall": 3, "Newton_HighRecall": 3}
+QUICK_AUTO = {"LogisticRegression": 30, "RandomForest": 3, "GBT_Deep": 3, "GBT": 2, "Newton": 2}
 COLUMNS = ["Time", "Amount", "Hour", "Night_txn", "Amount_log", "Amount_zscore", "High_amount"]
 
 
@@ -58,6 +58,47 @@ def leaderboard(spark, sf_dir):
     return models.leaderboard(spark, scores)
 
 
+STUMPS = boosting.Settings(trees=2, leaves=2, rate=1.0, delta=1.0)
+
+
+def _stump_sql(k: int) -> str:
+    """CTEs of one round over ``rows{k}`` (x array, y, raw): the best split and the rows with their next score."""
+    value = "greatest(-1, least(1, -g{0} / (h{0} + 1)))"
+    values = ", ".join(f"{value.format(p)} AS v{p}" for p in ("l", "r", "t"))
+    worth = " - ".join(["0"] + [f"(g{p} * v{p} + 0.5 * (h{p} + 1) * v{p} * v{p})" for p in ("l", "r")])
+    return f"""
+grad{k} AS (SELECT x, y, 1 / (1 + exp(-raw)) - y AS g, (1 / (1 + exp(-raw))) * (1 - 1 / (1 + exp(-raw))) AS h FROM rows{k}),
+cell{k} AS (SELECT f, x[f + 1] AS v, sum(g) AS g, sum(h) AS h, count(*) AS n FROM grad{k}, range(3) r(f) GROUP BY ALL),
+part{k} AS (SELECT f, v, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(n) OVER w AS nl, sum(g) OVER (PARTITION BY f) AS gt,
+  sum(h) OVER (PARTITION BY f) AS ht, sum(n) OVER (PARTITION BY f) AS nt FROM cell{k} WINDOW w AS (PARTITION BY f ORDER BY v)),
+both{k} AS (SELECT *, gt - gl AS gr, ht - hl AS hr FROM part{k} WHERE nl >= 20 AND nt - nl >= 20),
+step{k} AS (SELECT *, {values} FROM both{k}),
+best{k} AS (SELECT {k} AS tree, f AS feature, v AS threshold, vl AS left_value, vr AS right_value,
+  {worth} + (gt * vt + 0.5 * (ht + 1) * vt * vt) AS gain FROM step{k} ORDER BY gain DESC, f, v LIMIT 1),
+rows{k + 1} AS (SELECT x, y, raw + CASE WHEN x[b.feature + 1] <= b.threshold THEN b.left_value ELSE b.right_value END AS raw FROM rows{k}, best{k} b)"""
+
+
+BOOSTED = f"""WITH rows0 AS (SELECT [floor(value / 20), length(event_type), day(ts)]::DOUBLE[] AS x,
+  CAST(value > 60 AND event_type <> 'error' AS INTEGER) AS y, 0::DOUBLE AS raw FROM events),{_stump_sql(0)},{_stump_sql(1)}
+SELECT tree, feature::INTEGER AS feature, threshold, round(gain, 6) AS gain, round(left_value, 6) AS left_value, round(right_value, 6) AS right_value
+FROM (SELECT * FROM best0 UNION ALL SELECT * FROM best1)"""
+
+
+@catalog.add("boosted_stumps", BOOSTED)
+def boosted_stumps(spark, sf_dir):
+    """Split, gain and leaf values of the first two trees of two leaves, from gradients and hessians of all events."""
+    e = table(spark, sf_dir, "events")
+    x = F.array(F.floor(F.col("value") / 20).cast("double"), F.length("event_type").cast("double"), F.dayofmonth("ts").cast("double"))
+    label = ((F.col("value") > 60) & (F.col("event_type") != "error")).cast("double")
+    trees, cuts = boosting.fit_trees(e.select(x.alias("x"), label.alias("y"), F.lit(1.0).alias("w")), STUMPS)
+    rows = []
+    for t, tree in enumerate(trees):
+        f = int(tree.feature[0])
+        left, right = (float(tree.value[i]) for i in (tree.left[0], tree.right[0]))
+        rows.append((t, f, float(cuts[f][tree.cut[0]]), round(float(tree.gain[0]), 6), round(left, 6), round(right, 6)))
+    return spark.createDataFrame(rows, "tree int, feature int, threshold double, gain double, left_value double, right_value double")
+
+
 @catalog.add("complexity_probe")
 def complexity_probe(spark, sf_dir):
     found = models.complexity_probe(labelled(spark, sf_dir), ["event_id"], COLUMNS, [])

@@ -20,6 +20,7 @@ from pyspark.util import inheritable_thread_target
 
 from scorewell.functions.exprs import c, double_sql, lit_double, lit_text, q
 from scorewell.operators.balance import balanced_weight, smote
+from scorewell.operators.boosting import SecondOrderBoosting, Settings
 from scorewell.operators.cleaning import alignment, clean_smart, drop_null_target
 from scorewell.operators.curves import roc_auc, score_curve
 from scorewell.operators.encode import MAX_CATEGORIES, POOLED, feature_kinds, fit_medians, fit_one_hot, fit_standard_scale, fit_target
@@ -32,8 +33,13 @@ from scorewell.operators.thresholds import FALSE_ALARM_COST, MISS_COST, best_thr
 log = logging.getLogger(__name__)
 
 # The models and their trees or iterations, and the limits of the complexity probe.
-AUTO_MODELS = {"LogisticRegression": 3000, "RandomForest": 300, "GBT_Deep": 300, "GBT": 200}
-FRAUD_MODELS = {"LogisticRegression": 3000, "RandomForest": 500, "GBT_Balanced": 500, "GBT_HighRecall": 300}
+AUTO_MODELS = {"LogisticRegression": 3000, "RandomForest": 300, "GBT_Deep": 300, "GBT": 200, "Newton": 200}
+FRAUD_MODELS = {"LogisticRegression": 3000, "RandomForest": 500, "GBT_Balanced": 500, "GBT_HighRecall": 500, "Newton_HighRecall": 300}
+#: Second-order boosting: a bounded step for rare classes, and one with samples of columns.
+NEWTON = {
+    "Newton_HighRecall": {"leaves": 64, "rate": 0.3, "least_hessian": 1.0, "least_rows": 1, "delta": 1.0},
+    "Newton": {"leaves": 63, "rate": 0.1, "least_rows": 20, "columns": 0.8},
+}
 #: Cross-validation folds, and the most labelled rows that candidates are fitted and ranked on: the same at every size.
 FOLDS = 3
 FIT_ROWS = 2_000_000
@@ -103,6 +109,8 @@ def candidates(plan: dict[str, int], seed: int = 42, weight: str | None = None)
             made[name] = LogisticRegression(maxIter=n, **common)
         elif name == "RandomForest":
             made[name] = RandomForestClassifier(numTrees=n, maxDepth=10, subsamplingRate=1.0, seed=seed, **common)
+        elif name in NEWTON:
+            made[name] = SecondOrderBoosting.of(Settings(trees=n, seed=seed, **NEWTON[name]), **common)
         else:
             deep = name in ("GBT_Deep", "GBT_HighRecall")
             made[name] = GBTClassifier(
