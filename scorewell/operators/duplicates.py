@@ -69,8 +69,8 @@ def repeated_numbers(df: DataFrame, parts: int) -> DataFrame:
     return folded.groupBy("part").applyInArrow(_repeated, "number long")
 
 
-def split_by_filter(df: DataFrame, numbers: DataFrame, parts: int, n_numbers: int) -> tuple[DataFrame, DataFrame]:
-    """``df`` in two: rows that are surely not among ``numbers``, and the others."""
+def split_by_filter(df: DataFrame, number: Column, numbers: DataFrame, n_numbers: int) -> tuple[DataFrame, DataFrame]:
+    """``df`` in two: rows whose ``number`` (a long, not null) is surely not among ``numbers``, and the others."""
     bits = min(FILTER_WORDS * 64, max(64, 1 << math.ceil(math.log2(BITS_PER_KEY * n_numbers))))
 
     def place(number: Column) -> Column:
@@ -81,7 +81,7 @@ def split_by_filter(df: DataFrame, numbers: DataFrame, parts: int, n_numbers: in
     words = marked.groupBy(F.shiftright("at", 6).alias("__word")).agg(mask.alias("__mask"))
     # The filter has FILTER_WORDS rows at most, however many numbers there are.
     words = F.broadcast(materialize(words, "repeat_filter"))
-    rows = df.withColumn("__at", place(_numbers(df, parts))).withColumn("__word", F.shiftright("__at", 6))
+    rows = df.withColumn("__at", place(number)).withColumn("__word", F.shiftright("__at", 6))
     hit = F.expr("__mask IS NOT NULL AND shiftright(__mask, cast(__at & 63 AS int)) & 1 = 1")
     rows = rows.join(words, "__word", "left")
     return tuple(rows.where(test).select(*[c(name) for name in df.columns]) for test in (~hit, hit))
@@ -99,5 +99,5 @@ def without_duplicates(df: DataFrame) -> tuple[DataFrame, int]:
     found = numbers.count()
     if not found:
         return clean, n
-    passed, rest = split_by_filter(clean, numbers, parts, found)
+    passed, rest = split_by_filter(clean, _numbers(clean, parts), numbers, found)
     return passed.union(rest.dropDuplicates()), n

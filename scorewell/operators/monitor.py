@@ -6,7 +6,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from scorewell.operators.features import epoch_seconds
 from scorewell.session import materialize
@@ -139,58 +138,105 @@ def route_alerts(alerts: DataFrame, min_severity: str = "INFO") -> DataFrame:
     return alerts.withColumns({"routed": passes, "skipped_reason": reason})
 
 
-STEP_SCHEMA = T.StructType(
-    [
-        T.StructField("name", T.StringType()),
-        T.StructField("slot", T.LongType()),
-        T.StructField("upto", T.LongType()),
-        T.StructField("free_at", T.LongType()),
-    ]
-)
-ENTRY_SCHEMA = T.StructType(
-    [T.StructField("name", T.StringType()), T.StructField("slot", T.LongType()), T.StructField("free_from", T.LongType())]
-)
+STEPS = "name string, slot long, upto array<long>, free_at array<long>"
+ENTRIES = "name string, slot long, free_from long"
 NEVER = -(1 << 62)
+#: Step functions that one task composes at a time.
+FAN = 256
 
 
 def _free_after(times: np.ndarray, cooldown: int) -> np.ndarray:
     """For a chain of sends that starts at each time: when the name is free again after the last."""
     following = np.searchsorted(times, times + cooldown, side="left")
-    free = times + cooldown
-    for i in range(len(times) - 1, -1, -1):
-        if following[i] < len(times):
-            free[i] = free[following[i]]
-    return free
+    last = np.where(following < len(times), following, np.arange(len(times)))
+    # Every jump doubles the sends passed over.
+    while True:
+        further = last[last]
+        if (further == last).all():
+            return times[last] + cooldown
+        last = further
+
+
+def _apply(upto: np.ndarray, free_at: np.ndarray, free: np.ndarray) -> np.ndarray:
+    """A step function at each time: entering free from at most ``upto[i]`` it leaves ``free_at[i]``; beyond the last, nothing is sent."""
+    i = np.searchsorted(upto, free, side="left")
+    return np.where(i < len(upto), np.append(free_at, 0)[i], free)
+
+
+def _trimmed(upto: np.ndarray, free_at: np.ndarray, latest: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same function for entries up to ``latest``, equal neighbours as one step."""
+    reach = int(np.searchsorted(upto, latest, side="left")) + 1
+    upto, free_at = upto[:reach], free_at[:reach]
+    last = np.append(free_at[1:] != free_at[:-1], True)[: len(upto)]
+    return upto[last], free_at[last]
 
 
-def _slot_steps(cooldown: int, width: int):
-    """A slot's effect as a step function: entering free from at most ``upto``, it leaves ``free_at``."""
+def _composed(first: tuple, then: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """One step function after the other. Composition is associative, so any grouping of neighbours gives the same."""
+    beyond = then[0] > first[0][-1] if len(first[0]) else np.ones(len(then[0]), bool)
+    return np.append(first[0], then[0][beyond]), np.append(_apply(*then, first[1]), then[1][beyond])
+
+
+def _slot_steps(cooldown: int, width: int, origin: int):
+    """A slot's effect as a step function."""
 
     def steps(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         times = np.sort(pdf["t"].to_numpy())
-        free = _free_after(times, cooldown)
         # No name enters later than a cooldown after the slot's start.
-        reach = int(np.searchsorted(times, key[1] * width + cooldown, side="left")) + 1
-        times, free = times[:reach], free[:reach]
-        # Equal neighbours are one step; keep the last time of each.
-        last = np.append(free[1:] != free[:-1], True)
-        return pd.DataFrame({"name": key[0], "slot": key[1], "upto": times[last], "free_at": free[last]})
+        upto, free_at = _trimmed(times, _free_after(times, cooldown), (origin + key[1]) * width + cooldown)
+        return pd.DataFrame({"name": [key[0]], "slot": [key[1]], "upto": [upto], "free_at": [free_at]})
 
     return steps
 
 
-def _enter_slots(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Carry the free time of one name through its slots in order."""
-    rows, free = [], NEVER
-    for slot, part in pdf.sort_values(["slot", "upto"]).groupby("slot", sort=True):
-        rows.append((key[0], slot, free))
-        upto, free_at = part["upto"].to_numpy(), part["free_at"].to_numpy()
-        i = int(np.searchsorted(upto, free, side="left"))
-        if i < len(upto):
-            free = int(free_at[i])
+def _in_order(pdf: pd.DataFrame) -> list[tuple]:
+    pdf = pdf.sort_values("slot")
+    return [(s, np.asarray(u), np.asarray(f)) for s, u, f in zip(pdf["slot"], pdf["upto"], pdf["free_at"])]
+
+
+def _group_steps(cooldown: int, width: int, origin: int, span: int):
+    """The effect of up to FAN neighbouring slots (of ``span`` first slots each, together) as one step function."""
+
+    def steps(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        whole = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        latest = (origin + key[1] * span) * width + cooldown
+        for _, upto, free_at in _in_order(pdf):
+            whole = _trimmed(*_composed(whole, (upto, free_at)), latest)
+        return pd.DataFrame({"name": [key[0]], "slot": [key[1]], "upto": [whole[0]], "free_at": [whole[1]]})
+
+    return steps
+
+
+def _enter_slots(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Hand a group's entry time down to its slots, in order."""
+    rows, free = [], np.array([right["free_from"].iloc[0]])
+    for slot, upto, free_at in _in_order(left):
+        rows.append((key[0], slot, int(free[0])))
+        free = _apply(upto, free_at, free)
     return pd.DataFrame(rows, columns=["name", "slot", "free_from"])
 
 
+def _levels(times: DataFrame, cooldown: int, width: int, origin: int, slots: int) -> list[DataFrame]:
+    """Step functions of single slots, of FAN slots, of FAN * FAN slots and so on, until one holds all ``slots``."""
+    levels = [materialize(times.groupBy("name", "slot").applyInPandas(_slot_steps(cooldown, width, origin), STEPS), "steps")]
+    span = 1
+    while span < slots:
+        span *= FAN
+        grouped = levels[-1].groupBy("name", F.floor(F.col("slot") / FAN).alias("group"))
+        levels.append(materialize(grouped.applyInPandas(_group_steps(cooldown, width, origin, span), STEPS), "steps"))
+    return levels
+
+
+def _entries(levels: list[DataFrame]) -> DataFrame:
+    """(name, slot, free_from): what is known from before on entry to each slot of the first level."""
+    entries = levels[-1].select("name", "slot", F.lit(NEVER).alias("free_from"))  # one group per name
+    for level in reversed(levels[:-1]):
+        child = level.withColumn("parent", F.floor(F.col("slot") / FAN))
+        above = entries.select(F.col("name").alias("n"), F.col("slot").alias("p"), "free_from")
+        entries = child.groupBy("name", "parent").cogroup(above.groupBy("n", "p")).applyInPandas(_enter_slots, ENTRIES)
+    return entries
+
+
 def _mark_sends(cooldown: int):
     def mark(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         times = np.sort(pdf["t"].to_numpy())
@@ -217,7 +263,8 @@ def cooldown_filter(
 
     Which alerts go out depends on the one sent before, so time is cut into slots per name. Each
     slot is reduced, on its own, to a step function from "free from" on entry to "free from" on
-    exit; those few steps are chained per name; then each slot marks its sends. A name with most
+    exit. Neighbouring functions are composed, FAN at a time, until one is left per name; entry times are handed
+    down the same way; then each slot marks its sends. A name with most
     of the alerts is thereby spread over its slots. Alerts at one instant are folded beforehand.
     """
     cooldown = seconds * 1_000_000
@@ -230,9 +277,10 @@ def cooldown_filter(
     )
     # Read three times below.
     instants = materialize(instants, "instants")
-    times = instants.select("name", "slot", "t")
-    steps = times.groupBy("name", "slot").applyInPandas(_slot_steps(cooldown, width), STEP_SCHEMA)
-    entries = steps.groupBy("name").applyInPandas(_enter_slots, ENTRY_SCHEMA)
+    found = instants.agg(F.min("slot").alias("a"), F.max("slot").alias("b")).first()
+    origin, slots = found["a"] or 0, (found["b"] or 0) - (found["a"] or 0) + 1
+    times = instants.select("name", (F.col("slot") - origin).alias("slot"), "t")
+    entries = _entries(_levels(times, cooldown, width, origin, slots))
     sends = (
         times.join(entries, ["name", "slot"])
         .groupBy("name", "slot")

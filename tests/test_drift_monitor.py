@@ -166,8 +166,9 @@ def brute_cooldown(alerts, seconds):
     return out
 
 
-@pytest.mark.parametrize("slot", [40, 300, 3_600, 10**6])
-def test_cooldown_matches_brute_force_whatever_the_slots(spark, slot):
+@pytest.mark.parametrize("slot,fan", [(40, 2), (300, 2), (300, 256), (3_600, 3), (10**6, 256)])
+def test_cooldown_matches_brute_force_whatever_the_slots(spark, slot, fan, monkeypatch):
+    monkeypatch.setattr(monitor, "FAN", fan)
     rng = np.random.RandomState(slot)
     start = dt.datetime(2024, 1, 1)
     gaps = np.cumsum(rng.choice([0.0, 0.5, 30.0, 299.999999, 300.0, 900.0], 400, p=[0.1, 0.4, 0.3, 0.05, 0.05, 0.1]))
@@ -178,6 +179,34 @@ def test_cooldown_matches_brute_force_whatever_the_slots(spark, slot):
     assert got == brute_cooldown(alerts, 300)
 
 
+def test_step_functions_compose_in_any_grouping():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        parts, at = [], 0
+        for _ in range(3):
+            times = at + np.sort(rng.choice(1000, rng.integers(0, 30), replace=False))
+            parts.append((times, monitor._free_after(times, 90)))
+            at += 1000
+        a, b, c = parts
+        entries = np.arange(-100, 3200, 7)
+        left, right = monitor._composed(monitor._composed(a, b), c), monitor._composed(a, monitor._composed(b, c))
+        one_by_one = entries
+        for p in parts:
+            one_by_one = monitor._apply(*p, one_by_one)
+        assert monitor._apply(*left, entries).tolist() == monitor._apply(*right, entries).tolist() == one_by_one.tolist()
+
+
+def test_a_name_with_all_alerts_spreads_over_tasks(spark, monkeypatch):
+    """No group holds more than a slot's instants, or FAN step functions of few steps."""
+    monkeypatch.setattr(monitor, "FAN", 8)
+    df = spark.range(20_000).selectExpr("id", "timestampadd(SECOND, cast(id * 7 AS int), timestamp_ntz'2024-01-01 00:00:00') AS ts", "'hot' AS name")
+    assert sorted(r.id for r in monitor.cooldown_filter(df, 300).where("sent").collect()) == list(range(0, 20_000, 43))
+    times = spark.range(20_000).selectExpr("'hot' AS name", "id * 7000000 div 3600000000 AS slot", "id * 7000000 AS t")
+    levels = monitor._levels(times, 300_000_000, 3_600_000_000, 0, 39)
+    assert [x.count() for x in levels] == [39, 5, 1]
+    assert all(x.selectExpr("max(size(upto)) AS n").first()["n"] <= 45 for x in levels)
+
+
 def test_send_counts(spark):
     df = spark.createDataFrame(
         [(i, dt.datetime(2024, 1, 1, 0, m), "a") for i, m in enumerate([0, 2, 5, 6])], "id long, ts timestamp_ntz, name string"

@@ -39,7 +39,7 @@ def test_a_full_filter_costs_rows_and_loses_none(spark, words, monkeypatch):
     df = spark.range(4000).selectExpr("id % 3000 AS id", "'some text' AS t").repartition(5)
     numbers = duplicates.repeated_numbers(df, 1)
     assert numbers.count() == 1000
-    passed, rest = duplicates.split_by_filter(df, numbers, 1, 1000)
+    passed, rest = duplicates.split_by_filter(df, duplicates._numbers(df, 1), numbers, 1000)
     assert passed.count() + rest.count() == 4000 and rest.where("id < 1000").count() == 2000
     assert rest.dropDuplicates().count() + passed.count() == 3000
     # Only the rows that may be repeated are shuffled: the 2,000 that are, and few others while the filter has room.
