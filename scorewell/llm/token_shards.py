@@ -15,71 +15,27 @@ from __future__ import annotations
 
 import io
 import math
-import os
-import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as arrow_fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scorewell.llm.batches import slices
+from scorewell.llm.batches import sized
 from scorewell.llm.collide import mix
+from scorewell.llm.word_ids import encoder
 from scorewell.session import materialize
 
 IDS_PER_SHARD = 1 << 24
 KEYS_PER_BUCKET = 50_000
-PIECES_KEPT, LONGEST_KEPT = 160_000, 64
 SPARE = 2  # bits per key at each level of the hash function
 MOST_LEVELS = 64
 
-#: Cuts before a run of white space: the tokenizer never joins what stands on either side of such a place.
-PIECE = re.compile(r"[ \n\r\t]*[^ \n\r\t]+|[ \n\r\t]+")
-#: White space of other kinds next to such a run could be joined with it; texts that have any are not cut.
-UNUSUAL = re.compile(r"[^\S \n\r\t]")
-_kept: dict[tuple[str, str], Pieces] = {}
-
-
-class Pieces:
-    """Ids of pieces of text as bytes, kept from batch to batch; those not met before are encoded together.
-
-    Two generations of at most half of PIECES_KEPT: when the younger is full it becomes the older one, and what is met
-    again moves back to the younger. So pieces that recur stay, those met once go, and the memory is bounded.
-    """
-
-    def __init__(self, tokenizer: str, dtype: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks in parallel
-        from tokenizers import Tokenizer
-
-        self.made, self.dtype, self.kept, self.older = Tokenizer.from_file(tokenizer), dtype, {}, {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [[x] if UNUSUAL.search(x) else PIECE.findall(x) for x in texts]
-        new = set().union(*pieces).difference(self.kept)
-        again = new.intersection(self.older)
-        self.kept.update((x, self.older[x]) for x in again)
-        new = list(new.difference(again))
-        made = self.made.encode_batch_fast(new, add_special_tokens=False)
-        self.kept.update(zip(new, [np.array(x.ids, self.dtype).tobytes() for x in made]))
-        out = [b"".join(map(self.kept.__getitem__, x)) for x in pieces]
-        for x in new:
-            if len(x) > LONGEST_KEPT:
-                del self.kept[x]
-        if len(self.kept) > PIECES_KEPT // 2:
-            self.kept, self.older = {}, self.kept
-        return out
-
-
-def encoder(tokenizer: str, dtype: str) -> Callable[[list[str]], list[bytes]]:
-    """Texts to ids as bytes, by the tokenizers library."""
-    if (tokenizer, dtype) not in _kept:
-        _kept[tokenizer, dtype] = Pieces(tokenizer, dtype)
-    return _kept[tokenizer, dtype].encode
-
 
 def _save(path: str, data: bytes) -> None:
     """Write under another name, then move: readers never see half a file."""
@@ -166,24 +122,25 @@ def write_shards(
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(f"`{id_col}`").alias("key"), F.col(f"`{text_col}`").alias("text"))
+    # Ranges are found from keys and hashes; no text goes to the driver for them.
+    ranges = [F.col("key").asc_nulls_first(), F.xxhash64("text")]
     kind = docs.schema[id_col].dataType.simpleString()
-    order = [F.col("key").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
+    order = [*ranges, F.col("text")]
     end = np.array([end_id], dtype).tobytes()
     width = np.dtype(dtype).itemsize
 
     def write(batches: Iterator[pa.RecordBatch]):
         shard, data, lens, size = TaskContext.get().partitionId() << 16, [], [], 0
-        encode = encoder(tokenizer, dtype)
+        encode = encoder(tokenizer).encode
 
         def close():
             _save(f"{folder}/{shard_name(shard)}.ids", b"".join(data))
             _save(f"{folder}/{shard_name(shard)}.lens", np.array(lens, "<i8").tobytes())
 
-        for batch in slices(batches):
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
-            places = []
-            for ids in encode([x or "" for x in texts]):
-                ids += end
+        for batch in sized(batches, 1):
+            keys, places = batch.column(0), []
+            for ids in encode(pc.fill_null(batch.column(1), "")):
+                ids = np.frombuffer(ids, "<u4").astype(dtype).tobytes() + end
                 if size >= IDS_PER_SHARD:
                     close()
                     shard, data, lens, size = shard + 1, [], [], 0
@@ -196,7 +153,7 @@ def write_shards(
         if lens:
             close()
 
-    placed = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(
+    placed = rows.repartitionByRange(n, *ranges).sortWithinPartitions(*order).mapInArrow(
         write, f"key {kind}, shard long, at long, nth long, n long"
     )
     entries = materialize(placed, "entries")  # this is the one job that writes shards

@@ -90,12 +90,12 @@ def test_encoder_equals_the_library(file, rows, monkeypatch):
     whole = Tokenizer.from_file(public_tokenizers.path(file))
     odd = [
         "don't DON'T 'start we'll 'S 's's x'y", "a<|endoftext|>b <|startoftext|> <|ENDOFTEXT|>", "Á e ́x ÅΩ", "one\x1ctwo\x1d three",
-        "12345 a1b2 3.14,x---y...'s", " wide　space\x85\xa0end\x0b\x0cff", "İstanbul ΣΑΣ straße ﬁ", "x" * 300, "tab\tnl\r\n", "", "日本語 テキスト 😀😀", "~`!@#$%^&*()",
+        "12345 a1b2 3.14,x---y...'s", " wide　space\x85\xa0end\x0b\x0cff", "İstanbul ΣΑΣ straße ﬁ", "x" * 300, "tab\tnl\r\n", "", "a\x00b", "two  spaces  \n\n and\n line\t\tx ", " lead", "trail  ", "9x 99 's 're don't-'ve", "ÀÖ×÷ºª µ ßÿ", "日本語 テキスト 😀😀", "~`!@#$%^&*()",
     ]
     texts = odd + [r[1] or "" for r in rows[:130]]
     for _ in range(2):
         assert made.encode(pa.array(texts)) == [np.array(x.ids, "<u4").tobytes() for x in whole.encode_batch(texts, add_special_tokens=False)]
-    assert made.word_wise == file.startswith("word")
+    assert made.rules and made.rules.spaced == file.startswith("byte")
 
 
 @pytest.mark.parametrize("capacity", [4096, 64])

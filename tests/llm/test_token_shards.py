@@ -2,10 +2,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from scorewell.llm import token_shards
+from scorewell.llm import token_shards, word_ids
 from scorewell.llm.queries import token_digests
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,7 +27,7 @@ def test_round_trip(spark, docs, rows):
 @pytest.mark.parametrize("text", ["a  b", "a   b\n\n c", "x<|endoftext|> y  <|endoftext|>", " \t lead", "it's 'll\r\n\r\n end  ", "é😀 q"])
 def test_pieces_equal_whole_text(text):
     whole = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(token_shards.encoder(PATH, "<u2")([text])[0], "<u2").tolist() == whole
+    assert np.frombuffer(word_ids.encoder(PATH).encode(pa.array([text]))[0], "<u4").tolist() == whole
 
 
 def test_unknown_keys_give_no_row(spark, docs, tmp_path):
