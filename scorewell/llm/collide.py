@@ -60,7 +60,8 @@ def meeting_keys(
 ) -> DataFrame:
     """Rows (``key`` long, then the columns of ``payload``) for each key that more than one item emits.
 
-    ``items`` has a column ``part_hash`` (long) and no repeated items. ``keys_of`` maps a table of
+    ``items`` has a column ``part_hash`` (long) and no repeated items. With a column ``owner`` (long), items that are in one part and
+    have one owner count as one: what only they emit is no meeting. ``keys_of`` maps a table of
     items to all their keys and, for each key, the item's row number; an item emits a key once.
     ``rows_of`` maps the table, the keys and their row numbers to the columns of the result, key first; it may fold
     rows of one key. A few keys that only one item
@@ -80,7 +81,17 @@ def meeting_keys(
         return keys, rows, mix(keys) >> shift
 
     def send(key, table):
-        sent = np.sort(hashes(table)[2])
+        _, rows, sent = hashes(table)
+        if "owner" in table.column_names:
+            _, owner, size = np.unique(table.column("owner").to_numpy(), return_inverse=True, return_counts=True)
+            shared = size[owner][rows] > 1
+            owners, values = owner[rows[shared]], sent[shared]
+            order = np.lexsort((values, owners))
+            owners, values = owners[order], values[order]
+            first = np.ones(len(values), bool)
+            first[1:] = (owners[1:] != owners[:-1]) | (values[1:] != values[:-1])
+            sent = np.concatenate([sent[~shared], values[first]])
+        sent = np.sort(sent)
         ends = np.searchsorted(sent, np.arange(1, buckets + 1, dtype=np.uint64) << np.uint64(width))
         out, start = [], 0
         for b, end in enumerate(ends.tolist()):

@@ -27,6 +27,7 @@ SEED = 42
 BITS = 64
 RADIUS = 4
 FINGERPRINTS_PER_PART = 2048
+MEMBERS_PER_SHARE = 1024
 ROWS_AT_ONCE = 1 << 16
 
 
@@ -106,7 +107,25 @@ def _forest(pairs: np.ndarray) -> list[tuple[int, int]]:
 
 
 def fingerprint_links(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(u, v): links that join all of ``fp`` (distinct longs) within ``radius`` bits, as stars over shared variants."""
+    """(u, v): links that join all of ``fp`` (distinct longs) within ``radius`` bits, as stars over shared variants.
+
+    In a dense group nearly every variant is shared by many. So links of half the radius come first, by the few variants they take;
+    what these join is dealt to one part (large groups to several), and only variants that different ones share meet in the second step.
+    """
+    if radius < 4:
+        return _links(fingerprints.select("fp", F.xxhash64("fp").alias("part_hash")), radius)
+    near = materialize(_links(fingerprints.select("fp", F.xxhash64("fp").alias("part_hash")), radius // 2), "near_links")
+    roots = materialize(components(near), "near_roots")
+    size = roots.groupBy("root").agg(F.ceil(F.count("*") / MEMBERS_PER_SHARE).alias("shares"))
+    shared = roots.join(size, "root").select("node", "root", F.pmod(F.xxhash64("node"), F.col("shares")).alias("share"))
+    named = fingerprints.select("fp").join(shared, F.col("fp") == F.col("node"), "left")
+    owner = F.coalesce("root", "fp")
+    items = named.select("fp", owner.alias("owner"), F.xxhash64(owner, F.coalesce("share", F.lit(0))).alias("part_hash"))
+    return near.union(_links(materialize(items, "dealt"), radius)).distinct()
+
+
+def _links(items: DataFrame, radius: int) -> DataFrame:
+    """The same in one step; ``items``: (fp, part_hash) and perhaps owner, fingerprints of one owner being joined already."""
     masks = ball_masks(radius // 2) if radius % 2 == 0 else ball_masks(radius // 2 + 1)
 
     def keys_of(table):
@@ -127,7 +146,6 @@ def fingerprint_links(fingerprints: DataFrame, radius: int = RADIUS) -> DataFram
         out = [pa.array(np.concatenate([np.asarray(a, np.int64), np.asarray(b, np.int64)])) for a, b in zip(*columns)]
         return [*out[:2], pc.if_else(linked, out[2], None)]
 
-    items = fingerprints.select("fp", F.xxhash64("fp").alias("part_hash"))
     met = meeting_keys(items, len(masks), FINGERPRINTS_PER_PART, keys_of, "fp long, near long", rows_of)
     met = materialize(met, "met")
     # One variant has at most as many sources as the ball has points, so the list below is bounded.

@@ -25,4 +25,4 @@ def test_one_document_of_each_group_stays(spark, docs, rows):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in catalog.queries) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in catalog.queries) == list(range(1, 14))
