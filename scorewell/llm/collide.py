@@ -57,10 +57,12 @@ def meeting_keys(
     keys_of: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]],
     payload: str,
     rows_of: Callable[[pa.Table, np.ndarray, np.ndarray], list],
+    dealt_parts: int | None = None,
 ) -> DataFrame:
     """Rows (``key`` long, then the columns of ``payload``) for each key that more than one item emits.
 
-    ``items`` has a column ``part_hash`` (long) and no repeated items. With a column ``owner`` (long), items that are in one part and
+    ``items`` has a column ``part_hash`` (long) and no repeated items. Where it lies dealt already, it has a column ``part`` instead,
+    of ``dealt_parts`` values; a table with a bucket for each is not shuffled again. With a column ``owner`` (long), items that are in one part and
     have one owner count as one: what only they emit is no meeting. ``keys_of`` maps a table of
     items to all their keys and, for each key, the item's row number; an item emits a key once.
     ``rows_of`` maps the table, the keys and their row numbers to the columns of the result, key first; it may fold
@@ -68,7 +70,7 @@ def meeting_keys(
     emits may be among the result, for two hashes can be equal by chance.
     """
     total = max(1, items.count() * keys_per_item)
-    parts = max(1, math.ceil(total / keys_per_item / items_per_part))
+    parts = dealt_parts or max(1, math.ceil(total / keys_per_item / items_per_part))
     low_bytes = 2 if total <= 1 << 33 else 3 if total <= 1 << 41 else 4
     bits = 8 * low_bytes + HIGH_BITS
     bucket_bits = max(0, min(HIGH_BITS, math.ceil(math.log2(total / KEYS_PER_BUCKET))))
@@ -136,7 +138,9 @@ def meeting_keys(
         return pa.table(dict(zip(names, rows_of(table, keys[chosen], rows[chosen]))), schema=schema)
 
     width_of = min(parts, MOST_PARTITIONS)
-    dealt = items.withColumn("part", F.expr(f"pmod(part_hash, {parts}L)")).drop("part_hash").repartition(width_of, "part")
+    dealt = items
+    if dealt_parts is None:
+        dealt = items.withColumn("part", F.expr(f"pmod(part_hash, {parts}L)")).drop("part_hash").repartition(width_of, "part")
     sent = dealt.groupBy("part").applyInArrow(send, "bucket long, part long, n long, data binary")
     met = (
         sent.repartition(min(buckets, MOST_PARTITIONS), "bucket")

@@ -8,7 +8,9 @@ verified with a banded bit-parallel edit distance. Equal lines are one line from
 
 from __future__ import annotations
 
+import math
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -16,15 +18,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorewell.llm.collide import meeting_keys
+from scorewell.llm.collide import MOST_PARTITIONS, meeting_keys
 from scorewell.llm.graph import components
-from scorewell.session import materialize
+from scorewell.session import fresh_path, materialize
 
 EDITS = 2
 #: Shorter lines are compared for equality only: two edits could turn them into anything.
 LEAST_CHARS = 24
 LINES_PER_PART = 60_000
 SKETCH_BINS = 32
+#: Letters that differ between the common ends of two lines beyond which columns are not worked through one by one.
+LONG = 4_096
 
 
 def cuts(length: int, edits: int = EDITS) -> list[tuple[int, int]]:
@@ -65,6 +69,15 @@ def keys_of_line(line: str, edits: int = EDITS) -> set[int]:
     return {digest(line[a:b], seed) for seed, a, b in wanted}
 
 
+def shared_length(a: int, b: int, equal: Callable[[int], bool]) -> int:
+    """The greatest n for which ``equal(n)`` holds, by halving: strings of lengths a and b have an end of n letters in common."""
+    low, high = 0, min(a, b)
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if equal(middle) else (low, middle - 1)
+    return low
+
+
 def edit_distance(a: str, b: str, most: int = EDITS) -> int:
     """Levenshtein distance, or ``most + 1`` when it is above ``most``.
 
@@ -73,18 +86,17 @@ def edit_distance(a: str, b: str, most: int = EDITS) -> int:
     """
     if abs(len(a) - len(b)) > most:
         return most + 1
-    start, end = 0, min(len(a), len(b))
-    while start < end:  # longest common prefix by halving
-        middle = (start + end + 1) // 2
-        if a[start:middle] == b[start:middle]:
-            start = middle
-        else:
-            end = middle - 1
+    start = shared_length(len(a), len(b), lambda n: a[:n] == b[:n])
     a, b = a[start:], b[start:]
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
+    end = shared_length(len(a), len(b), lambda n: a[len(a) - n :] == b[len(b) - n :])
+    a, b = a[: len(a) - end], b[: len(b) - end]
     if not a or not b:
         return min(len(a) + len(b), most + 1)
+    if most == 0:
+        return 1
+    if len(a) > LONG:
+        # Far too many columns: the first letters differ, so an edit stands here; try each kind with one edit fewer.
+        return 1 + min(edit_distance(x, y, most - 1) for x, y in ((a[1:], b[1:]), (a[1:], b), (a, b[1:])))
     m = len(a)
     at: dict[str, int] = {}
     for i, ch in enumerate(a):
@@ -156,15 +168,30 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.withColumn("line_id", F.xxhash64("line"))
 
 
-def line_classes(lines: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
-    """(line_id, class_id, copies, first_doc, n_links) of every distinct line (``line``, ``line_id``, ``doc_id``).
+def distinct_lines(lines: DataFrame, n_lines: int) -> tuple[DataFrame, int]:
+    """(line_id, check, line, copies, first_doc, part) of every distinct line, and the number of parts.
 
-    ``class_id`` is the least line_id reachable over links of at most ``edits`` edits between lines of ``least``
-    or more characters; ``n_links`` counts a line's links to other lines.
+    The one table that holds texts, and the one shuffle of them. Parts follow the hash that the grouping is
+    shuffled by, so each of its partitions writes whole parts; buckets let later steps read them with no further shuffle.
     """
+    spark = lines.sparkSession
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = width * max(1, min(math.ceil(n_lines / (width * LINES_PER_PART)), MOST_PARTITIONS // width))
     grouped = lines.groupBy("line_id", "line").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"))
-    distinct = materialize(grouped, "lines")
-    items = distinct.where(F.length("line") >= least).select("line_id", "line", F.col("line_id").alias("part_hash"))
+    dealt = grouped.select("*", F.hash("line").alias("check"), F.expr(f"bigint(pmod(hash(line_id, line), {parts}))").alias("part"))
+    path = fresh_path(spark, "lines")
+    name = "lines_" + path.rsplit("-", 1)[1]
+    dealt.write.option("path", path).option("compression", "zstd").bucketBy(parts, "part").saveAsTable(name)
+    return spark.table(name), parts
+
+
+def line_classes(distinct: DataFrame, parts: int, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
+    """(line_id, check, class_id, copies, first_doc, n_links) of every distinct line, from ``distinct_lines``.
+
+    ``class_id`` is the least line_id reachable over links of at most ``edits`` edits between lines of ``least``
+    or more characters; ``n_links`` counts a line's links to other lines. Links name lines by ``line_id`` (64 bits).
+    """
+    items = distinct.where(F.length("line") >= least).select("part", "line_id", "line")
     per_line = len(probes(10 * (edits + 1), edits))
 
     def keys_of(table):
@@ -177,7 +204,7 @@ def line_classes(lines: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS)
         columns = [pa.array(keys.view(np.int64)), table.column("line_id").take(at), table.column("line").take(at)]
         return [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in columns]
 
-    met = meeting_keys(items, per_line, LINES_PER_PART, keys_of, "line_id long, line string", rows_of)
+    met = meeting_keys(items, per_line, LINES_PER_PART, keys_of, "line_id long, line string", rows_of, parts)
 
     def verify(key, table):
         ids, texts = table.column("line_id").to_pylist(), table.column("line").to_pylist()
@@ -194,7 +221,7 @@ def line_classes(lines: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS)
         "linked",
     )
     return distinct.join(linked, distinct["line_id"] == linked["node"], "left").select(
-        "line_id", F.coalesce("root", "line_id").alias("class_id"), "copies", "first_doc", F.coalesce("n_links", F.lit(0)).alias("n_links")
+        "line_id", "check", F.coalesce("root", "line_id").alias("class_id"), "copies", "first_doc", F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
 
 
@@ -203,28 +230,28 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Of each class of near-equal lines the first stays: that of the least doc_id, then of the least place. ``dropped``
     lists the places of lines that go. ``n_links`` sums the links of the lines to lines that differ from them. Null
-    and blank texts have no lines; rows of one id count as one document; ids that are null share a row.
+    and blank texts have no lines; ids that are null share a row. Rows of one id count as one document: of lines that stand at one place of
+    several such rows one can stay, and the place is listed once for each that goes. Very long lines are compared whole.
     """
-    rows = materialize(lines_of(docs, id_col, text_col), "occurrences")
-    classes = materialize(line_classes(rows, edits, least), "classes")
-    # Only lines that are not alone can be dropped; the others need no lookup.
-    least_doc = classes.groupBy("class_id").agg(F.min("first_doc").alias("keeper"), F.sum("copies").alias("size"))
-    shared = classes.join(least_doc.where("size > 1"), "class_id").select("line_id", "class_id", "keeper", "n_links")
-    here = rows.select("doc_id", "nth", "line_id").join(materialize(shared, "shared"), "line_id", "left")
-    here = materialize(here.select("doc_id", "nth", "class_id", "keeper", "n_links"), "here")
-    # Within the keeper's own text the first place stays; a class has few lines in one document, so this is no hot key.
-    kept = here.where("doc_id <=> keeper AND class_id IS NOT NULL").groupBy("doc_id", "class_id").agg(F.min("nth").alias("first"))
-    kept = kept.withColumnRenamed("doc_id", "__doc").withColumnRenamed("class_id", "__class")
-    same = here["doc_id"].eqNullSafe(kept["__doc"]) & (here["class_id"] == kept["__class"])
-    judged = here.join(kept, same, "left").withColumn("goes", F.col("class_id").isNotNull() & ~F.col("nth").eqNullSafe(F.col("first")))
-    per_doc = judged.groupBy("doc_id").agg(
-        F.count("*").alias("n_lines"), F.count_if("goes").alias("n_repeated"), F.sum(F.coalesce("n_links", F.lit(0))).alias("n_links"),
-        F.array_sort(F.collect_list(F.when(F.col("goes"), F.col("nth")))).alias("dropped"),
+    lines = lines_of(docs, id_col, text_col)
+    rows = materialize(lines.select("doc_id", "nth", "line_id", F.hash("line").alias("check")), "occurrences")
+    classes = materialize(line_classes(*distinct_lines(lines, rows.count()), edits, least), "classes")
+    # Only lines that are not alone can be dropped or have links; the others are counted and need no lookup.
+    whole = classes.groupBy("class_id").agg(F.min("first_doc").alias("keeper"), F.sum("copies").alias("size")).where("size > 1")
+    shared = classes.join(whole, "class_id").select("line_id", "check", "class_id", "keeper", "n_links")
+    met = rows.join(shared, ["line_id", "check"])
+    # A class whose documents all lack an id is kept by the row of null ids.
+    places = met.groupBy("doc_id", "class_id", F.expr("doc_id <=> keeper").alias("keeps")).agg(
+        F.sum("n_links").alias("n_links"), F.array_sort(F.collect_list("nth")).alias("places")
     )
+    goes = places.withColumn("places", F.expr("if(keeps, slice(places, 2, size(places)), places)"))
+    per_doc = goes.groupBy("doc_id").agg(F.sum("n_links").alias("n_links"), F.array_sort(F.flatten(F.collect_list("places"))).alias("dropped"))
+    n_lines = rows.groupBy("doc_id").agg(F.count("*").alias("n_lines")).withColumnRenamed("doc_id", "__doc")
     ids = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id")).distinct()
-    joined = ids.join(per_doc, ids["__id"].eqNullSafe(per_doc["doc_id"]), "left")
-    zero = F.lit(0).cast("long")
+    joined = ids.join(n_lines, F.col("__id").eqNullSafe(F.col("__doc")), "left").join(per_doc, F.col("__id").eqNullSafe(F.col("doc_id")), "left")
+    zero, none = F.lit(0).cast("long"), F.expr("cast(array() AS array<int>)")
     return joined.select(
-        F.col("__id").alias("doc_id"), *[F.coalesce(x, zero).alias(x) for x in ("n_lines", "n_repeated", "n_links")],
-        F.coalesce("dropped", F.expr("cast(array() AS array<int>)")).alias("dropped"),
+        F.col("__id").alias("doc_id"), F.coalesce("n_lines", zero).alias("n_lines"),
+        F.size(F.coalesce("dropped", none)).cast("long").alias("n_repeated"), F.coalesce("n_links", zero).alias("n_links"),
+        F.coalesce("dropped", none).alias("dropped"),
     )

@@ -28,6 +28,16 @@ def test_distance_and_shared_keys(a, b):
         assert ld.keys_of_line(a) & ld.keys_of_line(b)
 
 
+@given(st.text("ab", max_size=20), st.text("ab", max_size=20))
+@settings(max_examples=200, deadline=None)
+def test_distance_of_long_lines(a, b):
+    usual, ld.LONG = ld.LONG, 2
+    try:
+        assert ld.edit_distance(a, b) == min(plain_distance(a, b), 3)
+    finally:
+        ld.LONG = usual
+
+
 def texts():
     rng = random.Random(12)
     pool = [prose(rng, 8) for _ in range(40)]
@@ -66,19 +76,33 @@ def test_dedup_equals_brute_force(spark):
     dropped, n, n_links = defaultdict(list), defaultdict(int), defaultdict(int)
     for places in classes.values():
         keeper = min((p for p in places if p[0] is not None), default=places[0])
+        places.remove(keeper)  # one of several at the same place
         for p in places:
-            if p != keeper:
-                dropped[p[0]].append(p[1])
+            dropped[p[0]].append(p[1])
     for x in lines:
         for i, _ in where[x]:
             n[i] += 1
             n_links[i] += links[x]
     assert len(got) == len({i for i, _ in rows})
     for i in got:
-        if i == 3:
-            continue  # two rows of one id: places stand for either
         assert (got[i].n_lines, got[i].n_links, sorted(got[i].dropped)) == (n[i], n_links[i], sorted(dropped[i])), i
 
 
+def test_repeated_rows_and_long_lines(spark):
+    long = "x" * 30 + "abcdefghij" * 100_000
+    rows = [(5, "alpha\nbeta")] * 2 + [(7, long), (8, "!" + long[:50] + long[51:])]
+    got = {r.doc_id: r for r in ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[5].n_lines, got[5].n_repeated, got[5].dropped) == (4, 2, [0, 1])
+    assert [(got[i].n_links, got[i].dropped) for i in (7, 8)] == [(1, []), (1, [0])]
+
+
+def test_texts_are_shuffled_once(spark):
+    lines = ld.lines_of(spark.createDataFrame(texts(), "doc_id long, text string"))
+    distinct, parts = ld.distinct_lines(lines, 500)
+    assert distinct.count() == lines.select("line").distinct().count()
+    plan = distinct.groupBy("part").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and parts % int(spark.conf.get("spark.sql.shuffle.partitions")) == 0
+
+
 def test_empty_table(empty):
     assert ld.dedup_lines(empty).collect() == []
