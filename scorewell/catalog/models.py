@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scorewell.catalog.common import Catalog, rounded, table
 from scorewell.catalog.features import transactions
-from scorewell.operators import boosting, explain, features
+from scorewell.operators import boosting, explain, features, folds
 from scorewell.operators.sampling import stratified_split
 from scorewell.plans import models
 from scorewell.session import fresh_path
@@ -50,6 +50,35 @@ def build_preprocessor(spark, sf_dir):
     return pre.transform(docs).select("doc_id", F.size(models.vector_to_array("features")).alias("width"))
 
 
+FOLD_SQL = """WITH e AS (
+  SELECT event_id % 3 AS f, CASE WHEN user_id % 7 <> 0 THEN value END AS value, user_id,
+    CASE WHEN event_id % 11 <> 0 THEN event_type END AS event_type FROM events),
+r AS (SELECT CAST(fold AS INTEGER) AS fold, e.* FROM e, range(3) k(fold) WHERE f <> fold),
+middle AS (SELECT fold, median(value) AS v, median(user_id) AS u FROM r GROUP BY fold),
+filled AS (SELECT fold, coalesce(value, v) AS v, user_id AS u FROM r JOIN middle USING (fold)),
+moved AS (SELECT fold, avg(v) AS mv, stddev_pop(v) AS sv, avg(u) AS mu, stddev_pop(u) AS su FROM filled GROUP BY fold),
+kinds AS (SELECT fold, event_type AS t, count(*) AS n FROM r WHERE event_type IS NOT NULL GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY n DESC, t DESC) AS k,
+  row_number() OVER (PARTITION BY fold ORDER BY n DESC, t) AS top FROM kinds)
+SELECT fold, "column", statistic, round(value, 6) AS value, text FROM (
+  SELECT fold, 'value' AS "column", 'median' AS statistic, CAST(v AS DOUBLE) AS value, CAST(NULL AS VARCHAR) AS text FROM middle
+  UNION ALL SELECT fold, 'user_id', 'median', CAST(u AS DOUBLE), NULL FROM middle
+  UNION ALL SELECT fold, 'value', 'mean', mv, NULL FROM moved UNION ALL SELECT fold, 'value', 'std', sv, NULL FROM moved
+  UNION ALL SELECT fold, 'user_id', 'mean', mu, NULL FROM moved UNION ALL SELECT fold, 'user_id', 'std', su, NULL FROM moved
+  UNION ALL SELECT fold, 'event_type', 'mode', NULL, t FROM ranked WHERE top = 1
+  UNION ALL SELECT fold, 'event_type', 'kept', NULL, '["' || string_agg(t, '", "' ORDER BY t) || '"]' FROM ranked WHERE k <= 2 GROUP BY fold)"""
+
+
+@catalog.add("fold_statistics", FOLD_SQL)
+def fold_statistics(spark, sf_dir):
+    """What three folds' preprocessors learn, with missing cells and pooled categories."""
+    events = table(spark, sf_dir, "events").selectExpr(
+        "event_id % 3 AS fold", "if(user_id % 7 <> 0, value, null) AS value", "user_id", "if(event_id % 11 <> 0, event_type, null) AS event_type"
+    )
+    found = folds.fold_statistics(events, "fold", range(3), ["value", "user_id"], ["event_type"], max_categories=3)
+    return rounded(folds.statistics_frame(spark, found))
+
+
 @catalog.add("leaderboard")
 def leaderboard(spark, sf_dir):
     rows = models.with_weight(labelled(spark, sf_dir), True)

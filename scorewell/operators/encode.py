@@ -124,7 +124,17 @@ def fit_one_hot(
 ) -> OneHot:
     """Categories in sorted order. Beyond ``max_categories`` the most frequent stay (the later
     value among equals) and one more column takes the rest."""
-    counts = value_counts(df, cols).persist(StorageLevel.MEMORY_AND_DISK)
+    return one_hot_of(value_counts(df, cols), cols, max_categories, literal_categories)
+
+
+def one_hot_of(
+    counts: DataFrame,
+    cols: Sequence[str],
+    max_categories: int | None = MAX_CATEGORIES,
+    literal_categories: int = LITERAL_CATEGORIES,
+) -> OneHot:
+    """``fit_one_hot`` from the (feature, value, n) rows of the columns."""
+    counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
     facts = counts.groupBy("feature").agg(
         F.count("*").alias("n"), F.expr("min_by(value, struct(-n, value)) AS mode")
     ).collect()

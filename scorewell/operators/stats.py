@@ -6,7 +6,7 @@ import math
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,17 +120,20 @@ def adjusted_skew(skew_pop: float | None, n: int) -> float | None:
     return skew_pop * math.sqrt(n * (n - 1)) / (n - 2)
 
 
-def long_cells(df: DataFrame, cols: Sequence[str], as_type: str) -> DataFrame:
-    """(feature, value) rows of the given columns; missing cells are left out."""
+def long_cells(df: DataFrame, cols: Sequence[str], as_type: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(feature, value) rows of the given columns, after those to ``keep``; missing cells are left out."""
     cells = [
         f"struct({lit_text(x)} AS feature, cast({present_sql(x, df.schema[x].dataType)} AS {as_type}) AS value)" for x in cols
     ]
-    return df.selectExpr(inline_sql(cells)).where("value IS NOT NULL")
+    return df.selectExpr(*map(q, keep), inline_sql(cells)).where("value IS NOT NULL")
 
 
-def value_counts(df: DataFrame, cols: Sequence[str], as_type: str = "string") -> DataFrame:
-    """(feature, value, n): each column's values counted, folded per task before the shuffle."""
-    return long_cells(df, cols, as_type).groupBy("feature", "value").agg(F.count("*").alias("n"))
+def value_counts(
+    df: DataFrame, cols: Sequence[str], as_type: str = "string", extra: dict[str, Column] | None = None, keep: Sequence[str] = ()
+) -> DataFrame:
+    """(feature, value, n): each column's values counted, folded per task before the shuffle; ``extra`` aggregates read the columns to ``keep``."""
+    more = [column.alias(name) for name, column in (extra or {}).items()]
+    return long_cells(df, cols, as_type, keep).groupBy("feature", "value").agg(F.count("*").alias("n"), *more)
 
 
 def exact_distinct(df: DataFrame, cols: Sequence[str]) -> dict[str, int]:

@@ -25,6 +25,7 @@ from scorewell.operators.cleaning import alignment, clean_smart, drop_null_targe
 from scorewell.operators.curves import roc_auc, score_curve
 from scorewell.operators.encode import MAX_CATEGORIES, POOLED, feature_kinds, fit_medians, fit_one_hot, fit_standard_scale, fit_target
 from scorewell.operators.evaluate import classification_summary
+from scorewell.operators.folds import ColumnStatistics, fold_statistics
 from scorewell.operators.quality import dataset_profile
 from scorewell.operators.sampling import stratified_folds, stratified_sample, stratified_split, uniform_sample
 from scorewell.operators.scoring import add_risk_band, decide
@@ -48,22 +49,26 @@ NONLINEAR_GAP, LINEAR_GAP = 0.05, -0.03
 
 
 def build_preprocessor(
-    train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], max_categories: int | None = MAX_CATEGORIES
+    train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], max_categories: int | None = MAX_CATEGORIES,
+    known: ColumnStatistics | None = None,
 ) -> tuple[PipelineModel, list[str]]:
     """Fitted stages that end in a ``features`` vector, and the name of each of its places.
 
     Numeric columns: median for missing cells, then centred and scaled by the population
     deviation. Others: most frequent value for missing cells, then sparse one-hot columns with
-    the rarest categories pooled; unseen values get zeros.
+    the rarest categories pooled; unseen values get zeros. Statistics of the training rows that are ``known`` are not measured again.
     """
     numeric, categorical = list(numeric), list(categorical)
     if not numeric and not categorical:
         raise ValueError("no usable columns")
     exprs, names, stages = [], [], []
-    medians = fit_medians(train, numeric).values
+    medians = known.medians if known else fit_medians(train, numeric).values
     usable = [x for x in numeric if medians.get(x) is not None]
-    filled = train.selectExpr(*[f"coalesce({double_sql(train, x)}, {lit_double(medians[x])}) AS {q(x)}" for x in usable])
-    scale = fit_standard_scale(filled, usable).stats if usable else {}
+    if known:
+        scale = known.scale
+    else:
+        filled = train.selectExpr(*[f"coalesce({double_sql(train, x)}, {lit_double(medians[x])}) AS {q(x)}" for x in usable])
+        scale = fit_standard_scale(filled, usable).stats if usable else {}
     for x in usable:
         mean, std = scale[x]
         value = f"coalesce({double_sql(train, x)}, {lit_double(medians[x])})"
@@ -72,7 +77,7 @@ def build_preprocessor(
     labels = []
     if categorical:
         texts = train.selectExpr(*[f"cast({q(x)} AS string) AS {q(x)}" for x in categorical])
-        fitted = fit_one_hot(texts, categorical, max_categories)
+        fitted = known.categories if known else fit_one_hot(texts, categorical, max_categories)
         for x in list(categorical):
             kept, rest = fitted.kept[x], fitted.pooled[x]
             if not kept:
@@ -148,14 +153,15 @@ def cross_validate(
 ) -> dict[str, float]:
     """Mean ROC AUC per model over stratified folds; a model that fails scores 0.
 
-    The preprocessor is fitted once per fold, on the fold's training rows, and its output is shared
+    The preprocessors of all folds are fitted together, each from its fold's training rows, and a fold's output is shared
     by all models, which are fitted side by side.
     """
     dealt = stratified_folds(train, keys, "label", folds)
+    known = fold_statistics(dealt, "fold", range(folds), numeric, categorical, max_categories)
     totals: dict[str, list[float]] = {name: [] for name in estimators}
     for fold in range(folds):
         inside = dealt.where(F.col("fold") != fold)
-        pre, _ = build_preprocessor(inside, numeric, categorical, max_categories)
+        pre, _ = build_preprocessor(inside, numeric, categorical, max_categories, known[fold])
         fit_rows = pre.transform(inside).select("features", "label", "weight").persist(StorageLevel.MEMORY_AND_DISK)
         test_rows = pre.transform(dealt.where(F.col("fold") == fold)).select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
 
