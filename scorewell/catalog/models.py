@@ -241,6 +241,80 @@ def explain_tree_boosted(spark, sf_dir):
     return tree_output_matches(spark, sf_dir, "GBT_Balanced", True)
 
 
+# A tree over events: (test, left, right) or the value of a leaf; the value is asked twice on one way.
+RULE_NAMES = ["value", "user_id", "hour"]
+RULES = (("value", 40.0), (("user_id", 7.0), (("value", 10.0), 0.05, 0.2), 0.4), (("hour", 11.0), 0.6, 0.95))
+RULE_ROWS = "SELECT event_id, value, user_id, hour(ts) AS hour FROM events"
+
+
+def rule_leaves(rule=RULES, tests=()):
+    """(value, tests) of every leaf; a test is (feature, bound, goes left)."""
+    if not isinstance(rule, tuple):
+        return [(rule, tests)]
+    (feature, bound), left, right = rule
+    return rule_leaves(left, (*tests, (feature, bound, True))) + rule_leaves(right, (*tests, (feature, bound, False)))
+
+
+def passes_sql(tests):
+    return " AND ".join(f"{f} {'<=' if left else '>'} {bound}" for f, bound, left in tests) or "true"
+
+
+def rules_sql():
+    """Shapley values over all sets of known features, with the shares of every leaf's way counted in SQL."""
+    shares, leaves = [], rule_leaves()
+    for k, (_, tests) in enumerate(leaves):
+        for f in RULE_NAMES:
+            kept = [
+                f"(SELECT count(*) FILTER ({passes_sql(tests[: i + 1])}) / count(*) FILTER ({passes_sql(tests[:i])}) FROM r)"
+                for i in range(len(tests))
+                if tests[i][0] == f
+            ]
+            shares.append(f"{' * '.join(kept) or '1'} AS s{k}_{f}")
+
+    def worth(known):
+        parts = []
+        for k, (value, tests) in enumerate(leaves):
+            passed = [f"CAST({passes_sql([t for t in tests if t[0] == f])} AS INTEGER)" if f in known else f"s{k}_{f}" for f in RULE_NAMES]
+            parts.append(f"{value}::DOUBLE * {' * '.join(passed)}")
+        return f"({' + '.join(parts)})"
+
+    out = []
+    for f in RULE_NAMES:
+        others, terms = [x for x in RULE_NAMES if x != f], []
+        for known in ([], [others[0]], [others[1]], others):
+            terms.append(f"({worth([*known, f])} - {worth(known)}) / {6 if len(known) == 1 else 3}.0::DOUBLE")
+        out.append(f"SELECT event_id, '{f}' AS feature, round({' + '.join(terms)}, 6) AS impact FROM r, shares")
+    return f"WITH r AS ({RULE_ROWS}), shares AS (SELECT {', '.join(shares)}) " + " UNION ALL ".join(out)
+
+
+@catalog.add("explain_tree_rules", rules_sql())
+def explain_tree_rules(spark, sf_dir):
+    """Impacts of a given tree, its node sizes counted in one scan."""
+    rows = table(spark, sf_dir, "events").selectExpr("event_id", "value", "user_id", "hour(ts) AS hour")
+    nodes, reach = {}, {}
+
+    def place(rule, tests):
+        at = len(reach)
+        reach[at] = tests
+        if not isinstance(rule, tuple):
+            nodes[at] = (rule, None, -1, -1)
+            return at
+        (feature, bound), left, right = rule
+        ends = [place(r, (*tests, (feature, bound, side))) for r, side in ((left, True), (right, False))]
+        nodes[at] = (0.0, (feature, bound), *ends)
+        return at
+
+    place(RULES, ())
+    covers = rows.selectExpr(*[f"count_if({passes_sql(tests)}) AS n{at}" for at, tests in reach.items()]).first()
+    tree = {}
+    for at, (value, test, left, right) in nodes.items():
+        feature, bound = (RULE_NAMES.index(test[0]), test[1]) if test else (-1, None)
+        tree[at] = explain.TreeNode(covers[f"n{at}"], value, feature, "le", bound, left, right)
+    wide = rows.selectExpr("event_id", "array(double(value), double(user_id), double(hour)) AS x")
+    found = explain.explain_paths(wide, "event_id", RULE_NAMES, explain.tree_paths(tree))
+    return rounded(found.select("event_id", F.explode("impacts").alias("i")).select("event_id", "i.feature", "i.impact"))
+
+
 RUNS = """runs AS (SELECT event_type AS model_name, user_id AS version, max(value) / 500 AS test_roc_auc, count(*) AS n FROM events GROUP BY 1, 2)"""
 
 

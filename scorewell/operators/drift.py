@@ -109,14 +109,15 @@ def load_reference(spark: SparkSession, path: str) -> DriftReference:
     return DriftReference(facts, spark.read.parquet(f"{path}/values"), settings["psi_threshold"], settings["ks_alpha"])
 
 
-def _bin_counts(df: DataFrame, facts: dict[str, dict]) -> DataFrame:
-    """(feature, bin, n) over the reference's bins; the null bin counts values outside all of them.
+def with_bins(df: DataFrame, facts: dict[str, dict], keep: Sequence[str] = ()) -> DataFrame:
+    """The columns of ``keep``, and per feature, in the order of ``facts``, its value ``v0``, ``v1``, ... and the reference's bin that
+    holds it ``b0``, ``b1``, ...: 1 to 10, null for missing values and those outside all bins.
 
     A value's bin is first guessed from the width of the bins, then moved by one where the exact
     edges say so: a few operations however many bins there are.
     """
-    clean = df.selectExpr(*[f"{double_sql(df, f)} AS v{i}" for i, f in enumerate(facts)])
-    guesses, bins, cells = [], [], []
+    clean = df.selectExpr(*[q(k) for k in keep], *[f"{double_sql(df, f)} AS v{i}" for i, f in enumerate(facts)])
+    guesses, bins = [], []
     for i, (f, fact) in enumerate(facts.items()):
         low, high = lit_double(fact["lo"]), lit_double(fact["hi"])
         step = (fact["hi"] - fact["lo"]) / PSI_BINS
@@ -126,9 +127,14 @@ def _bin_counts(df: DataFrame, facts: dict[str, dict]) -> DataFrame:
         below = f"g{i} > 0 AND v{i} < {edge.format(f'g{i}')}"
         above = f"g{i} < {PSI_BINS - 1} AND v{i} >= {edge.format(f'(g{i} + 1)')}"
         bins.append(f"g{i} + 1 + int({above}) - int({below}) AS b{i}")
-        cells.append(f"struct({lit_text(f)} AS feature, b{i} AS bin, v{i} IS NOT NULL AS known)")
-    binned = clean.selectExpr("*", *guesses).selectExpr("*", *bins)
-    found = binned.selectExpr(inline_sql(cells)).where("known")
+    kept = [*[q(k) for k in keep], *[f"v{i}" for i in range(len(facts))]]
+    return clean.selectExpr("*", *guesses).selectExpr(*kept, *bins)
+
+
+def _bin_counts(df: DataFrame, facts: dict[str, dict]) -> DataFrame:
+    """(feature, bin, n) over the reference's bins; the null bin counts values outside all of them."""
+    cells = [f"struct({lit_text(f)} AS feature, b{i} AS bin, v{i} IS NOT NULL AS known)" for i, f in enumerate(facts)]
+    found = with_bins(df, facts).selectExpr(inline_sql(cells)).where("known")
     return found.groupBy("feature", "bin").agg(F.count("*").alias("n"))
 
 
@@ -180,6 +186,20 @@ def psi(reference: DriftReference, batch: DataFrame) -> DataFrame:
     return enough.selectExpr("feature", f"{value} AS psi")
 
 
+def psi_sql(counts: str, n: str, fact: dict) -> str:
+    """PSI of one feature as SQL, from the array of its counts in the reference's bins and the number of its values."""
+    if not fact["std_pop"]:
+        return "0D"
+    epsilon = lit_double(PSI_EPSILON)
+    shares = ", ".join(lit_double((b + PSI_EPSILON) / fact["n"]) for b in fact["bins"])
+    both = f"zip_with(array({shares}), {counts}, (r, k) -> named_struct('r', r, 'q', (k + {epsilon}) / {n}))"
+    return f"abs(aggregate({both}, 0D, (acc, s) -> acc + (s.q - s.r) * ln(s.q / s.r)))"
+
+
+def drift_status(ratio: Column) -> Column:
+    return F.when(ratio >= RATIO_HIGH, "HIGH DRIFT").when(ratio >= RATIO_MODERATE, "MODERATE DRIFT").otherwise("NO DRIFT")
+
+
 def ks_pvalue(d: Column, n1: Column, n2: Column) -> Column:
     """Two-sided p-value of the two-sample statistic by the Kolmogorov series with the usual
     finite-size correction of its argument; 1 where the series does not settle."""
@@ -312,11 +332,8 @@ def drift_summary(report: DataFrame, listed: int | None = None) -> DataFrame:
         F.count("*").alias("total_features"),
         F.array_sort(F.collect_list(F.when(F.col("drifted"), F.col("feature")))).alias("names"),
     )
-    status = (
-        F.when(ratio >= RATIO_HIGH, "HIGH DRIFT").when(ratio >= RATIO_MODERATE, "MODERATE DRIFT").otherwise("NO DRIFT")
-    )
     return counted.select(
-        status.alias("status"),
+        drift_status(ratio).alias("status"),
         F.round(ratio, 3).alias("drift_ratio"),
         "drifted_count",
         "total_features",

@@ -22,6 +22,12 @@ from scorewell.session import fresh_path
 ROW_TOP = 5
 TABLE_TOP = 20
 
+#: Leaves whose paths test up to so many features keep a table of all patterns: 3 kB a leaf at most.
+TABLE_BITS = 6
+MOST_BITS = 62
+LEAVES_AT_ONCE = 2_000
+TESTS_KEPT = 1_000
+
 
 def explain_linear(
     df: DataFrame, keys: Sequence[str], coefficients: dict[str, float], means: dict[str, float]
@@ -63,6 +69,44 @@ class Path:
     tests: tuple[tuple[tuple[str, object, bool], ...], ...]
 
 
+@dataclass(frozen=True)
+class TreeNode:
+    """A node of a tree: training rows (by weight) that reached it, and either a leaf's value or a test that sends rows to the left.
+
+    ``kind`` is ``le`` (the feature is at most ``bound``) or ``in`` (it is one of ``bound``); ``left`` and ``right`` are node numbers.
+    """
+
+    cover: float
+    value: float = 0.0
+    feature: int = -1
+    kind: str = "le"
+    bound: object = None
+    left: int = -1
+    right: int = -1
+
+
+def tree_paths(nodes: dict[int, TreeNode], root: int = 0) -> list[Path]:
+    """The leaves of one tree."""
+    paths, stack = [], [(root, {})]
+    while stack:
+        at, seen = stack.pop()
+        n = nodes[at]
+        if n.left < 0:
+            order = sorted(seen)
+            paths.append(Path(n.value, tuple(order), tuple(seen[f][0] for f in order), tuple(tuple(seen[f][1]) for f in order)))
+            continue
+        share, tests = seen.get(n.feature, (1.0, ()))
+        for child, goes_left in ((n.left, True), (n.right, False)):
+            kept = share * nodes[child].cover / n.cover
+            stack.append((child, {**seen, n.feature: (kept, (*tests, (n.kind, n.bound, goes_left)))}))
+    return paths
+
+
+def mean_output(paths: Sequence[Path]) -> float:
+    """What the trees say when no feature is known."""
+    return sum(p.value * float(np.prod(p.shares)) for p in paths)
+
+
 def read_paths(model, spark, doubled_margin: bool) -> tuple[list[Path], float]:
     """All leaves of a fitted forest or boosted model from its saved node table, and the mean output.
 
@@ -70,99 +114,140 @@ def read_paths(model, spark, doubled_margin: bool) -> tuple[list[Path], float]:
     """
     location = fresh_path(spark, "trees")
     model.write().overwrite().save(location)
-    nodes: dict[int, dict[int, object]] = {}
+    saved: dict[int, dict[int, object]] = {}
     for r in spark.read.parquet(f"{location}/data").select("treeID", "nodeData.*").collect():
-        nodes.setdefault(r["treeID"], {})[r["id"]] = r
+        saved.setdefault(r["treeID"], {})[r["id"]] = r
     weights = list(model.treeWeights)
     paths: list[Path] = []
-    for tree, table in nodes.items():
+    for tree, table in saved.items():
         scale = 2.0 * weights[tree] if doubled_margin else weights[tree] / sum(weights)
+        nodes = {}
+        for i, n in table.items():
+            stats, split = n["impurityStats"], n["split"]
+            cover = stats[0] if doubled_margin else sum(stats)
+            if n["leftChild"] < 0:
+                nodes[i] = TreeNode(cover, scale * (n["prediction"] if doubled_margin else stats[1] / cover))
+                continue
+            kind = "in" if split["numCategories"] >= 0 else "le"
+            bound = tuple(split["leftCategoriesOrThreshold"]) if kind == "in" else split["leftCategoriesOrThreshold"][0]
+            nodes[i] = TreeNode(cover, 0.0, split["featureIndex"], kind, bound, n["leftChild"], n["rightChild"])
+        paths += tree_paths(nodes)
+    return paths, mean_output(paths)
 
-        def cover(n) -> float:
-            return n["impurityStats"][0] if doubled_margin else sum(n["impurityStats"])
 
-        def leaf_value(n) -> float:
-            return scale * (n["prediction"] if doubled_margin else n["impurityStats"][1] / cover(n))
+def pattern_impacts(values: np.ndarray, shares: np.ndarray, passes: np.ndarray) -> np.ndarray:
+    """Shapley values (leaf, feature on its path, pattern) of leaves whose paths test equally many features.
 
-        stack = [(table[0], {})]
-        while stack:
-            n, seen = stack.pop()
-            if n["leftChild"] < 0:
-                order = sorted(seen)
-                paths.append(
-                    Path(leaf_value(n), tuple(order), tuple(seen[f][0] for f in order), tuple(tuple(seen[f][1]) for f in order))
-                )
-                continue
-            split = n["split"]
-            f, categorical = split["featureIndex"], split["numCategories"] >= 0
-            bound = tuple(split["leftCategoriesOrThreshold"]) if categorical else split["leftCategoriesOrThreshold"][0]
-            for child, goes_left in ((table[n["leftChild"]], True), (table[n["rightChild"]], False)):
-                share, tests = seen.get(f, (1.0, ()))
-                kept = share * cover(child) / cover(n)
-                step = (("in" if categorical else "le", bound, goes_left),)
-                stack.append((child, {**seen, f: (kept, tests + step)}))
-    base = sum(p.value * float(np.prod(p.shares)) for p in paths)
-    return paths, base
-
-
-def path_impacts(x: np.ndarray, paths: Sequence[Path]) -> np.ndarray:
-    """Shapley values of a sum of trees, where an unknown feature follows the training shares.
-
-    Along one leaf's path every feature either lets a row through or not. The value of a set of
-    known features is then a product, and the weighted sum over all sets comes from the
-    coefficients of a product of linear terms, one per other feature of the path.
+    Along one leaf's path every feature either lets a row through or not; an unknown one counts with its share of the training rows. The
+    value of a set of known features is then a product, and the weighted sum over all sets comes from the coefficients
+    of a product of linear terms, one per other feature of the path.
+    ``shares`` is (leaf, feature), ``passes`` (pattern, feature) of zeros and ones.
     """
-    out = np.zeros(x.shape)
-    for path in paths:
-        d = len(path.features)
-        if d == 0:
-            continue
-        passes = np.ones((d, len(x)))
-        for i, (f, tests) in enumerate(zip(path.features, path.tests)):
-            for kind, bound, left in tests:
-                hit = np.isin(x[:, f], bound) if kind == "in" else x[:, f] <= bound
-                passes[i] *= hit if left else ~hit
-        weights = [factorial(s) * factorial(d - s - 1) / factorial(d) for s in range(d)]
-        for i in range(d):
-            poly = np.zeros((d, len(x)))
-            poly[0] = 1.0
-            for j in range(d):
-                if j != i:
-                    shifted = np.zeros_like(poly)
-                    shifted[1:] = poly[:-1] * passes[j]
-                    poly = poly * path.shares[j] + shifted
-            total = sum(w * poly[s] for s, w in enumerate(weights))
-            out[:, path.features[i]] += path.value * (passes[i] - path.shares[i]) * total
+    leaves, d = shares.shape
+    weights = [factorial(s) * factorial(d - s - 1) / factorial(d) for s in range(d)]
+    out = np.empty((leaves, d, len(passes)))
+    for i in range(d):
+        poly = [np.ones((leaves, len(passes)))]
+        for j in range(d):
+            if j == i:
+                continue
+            unknown = [p * shares[:, j, None] for p in poly]
+            known = [p * passes[None, :, j] for p in poly]
+            poly = [unknown[0], *[u + k for u, k in zip(unknown[1:], known[:-1])], known[-1]]
+        total = sum(w * p for w, p in zip(weights, poly))
+        out[:, i] = values[:, None] * (passes[None, :, i] - shares[:, i, None]) * total
     return out
 
 
+def _patterns(numbers: np.ndarray, d: int) -> np.ndarray:
+    return ((numbers[:, None] >> np.arange(d)) & 1).astype(float)
+
+
+class TreeImpacts:
+    """Impacts of a sum of trees, row by row, from tables over the patterns of passed tests.
+
+    A row is, to a leaf, a number of as many bits as its path tests features. What each feature then adds is looked up: leaves of up to
+    ``TABLE_BITS`` features have a table of all patterns, made once per process; of longer paths only the
+    patterns that a batch has are worked out. Paths of more than 62 features are refused.
+    """
+
+    def __init__(self, paths: Sequence[Path]) -> None:
+        self.paths = [p for p in paths if p.features]
+        if any(len(p.features) > MOST_BITS for p in self.paths):
+            raise ValueError(f"a path tests more than {MOST_BITS} features")
+        self._tables: dict[int, np.ndarray] | None = None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_tables": None}
+
+    @property
+    def tables(self) -> dict[int, np.ndarray]:
+        if self._tables is None:
+            by_size: dict[int, list[int]] = {}
+            for k, p in enumerate(self.paths):
+                by_size.setdefault(len(p.features), []).append(k)
+            self._tables = {}
+            for d in range(1, TABLE_BITS + 1):
+                every = _patterns(np.arange(1 << d), d)
+                for start in range(0, len(by_size.get(d, ())), LEAVES_AT_ONCE):
+                    some = by_size[d][start : start + LEAVES_AT_ONCE]
+                    values = np.array([self.paths[k].value for k in some])
+                    found = pattern_impacts(values, np.array([self.paths[k].shares for k in some]), every)
+                    self._tables |= zip(some, found)
+        return self._tables
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """(row, feature) impacts of a batch of feature vectors."""
+        out = np.zeros(x.shape[::-1])
+        columns = np.ascontiguousarray(x.T)
+        hits: dict[tuple, np.ndarray] = {}  # leaves of one tree share their tests
+        for k, path in enumerate(self.paths):
+            pattern = np.zeros(len(x), np.int64)
+            for i, (f, tests) in enumerate(zip(path.features, path.tests)):
+                passed = True
+                for kind, bound, left in tests:
+                    hit = hits.get((f, kind, bound))
+                    if hit is None:
+                        if len(hits) >= TESTS_KEPT:
+                            hits.clear()
+                        hit = hits[f, kind, bound] = np.isin(columns[f], bound) if kind == "in" else columns[f] <= bound
+                    passed = passed & (hit if left else ~hit)
+                pattern |= passed.astype(np.int64) << i
+            table = self.tables.get(k)
+            if table is None:
+                seen, pattern = np.unique(pattern, return_inverse=True)
+                d = len(path.features)
+                table = pattern_impacts(np.array([path.value]), np.array([path.shares]), _patterns(seen, d))[0]
+            for f, row in zip(path.features, table):
+                out[f] += row[pattern]
+        return out.T
+
+
 def explain_tree(
     df: DataFrame, key: str, names: Sequence[str], model, boosted: bool, features: str = "features"
 ) -> tuple[DataFrame, float]:
-    """(key, impacts) for a forest (in probability) or a boosted model (in log-odds), and the base.
+    """(key, impacts) for a forest (in probability) or a boosted model (in log-odds), and the base."""
+    paths, base = read_paths(model, df.sparkSession, boosted)
+    return explain_paths(df.select(c(key), vector_to_array(c(features)).alias("x")), key, names, paths), base
+
+
+def explain_paths(df: DataFrame, key: str, names: Sequence[str], paths: Sequence[Path]) -> DataFrame:
+    """(key, impacts) of the sum of trees with these leaves, for rows with an array ``x`` of features.
 
-    Rows stay where they are; each task works through its own batches with the node table of the
-    model, which is broadcast.
+    Rows stay where they are; each task works through its own batches with the leaves of the model, which are broadcast.
     """
-    spark = df.sparkSession
-    paths, base = read_paths(model, spark, boosted)
-    shared = spark.sparkContext.broadcast(paths)
+    shared = df.sparkSession.sparkContext.broadcast(TreeImpacts(paths))
     key_type = df.schema[key].dataType.simpleString()
 
     def impacts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                found = path_impacts(np.stack(pdf["x"].to_numpy()), shared.value)
-                yield pd.DataFrame({"key": pdf["key"], "v": list(found)})
+                yield pd.DataFrame({"key": pdf["key"], "v": list(shared.value.of(np.stack(pdf["x"].to_numpy())))})
 
-    rows = df.select(c(key).alias("key"), vector_to_array(c(features)).alias("x"))
     labels = ", ".join(lit_text(n) for n in names)
-    return (
-        rows.mapInPandas(impacts, f"key {key_type}, v array<double>").select(
-            F.col("key").alias(key),
-            F.expr(f"zip_with(array({labels}), v, (n, i) -> struct(n AS feature, i AS impact))").alias("impacts"),
-        ),
-        base,
+    return df.select(c(key).alias("key"), "x").mapInPandas(impacts, f"key {key_type}, v array<double>").select(
+        F.col("key").alias(key),
+        F.expr(f"zip_with(array({labels}), v, (n, i) -> struct(n AS feature, i AS impact))").alias("impacts"),
     )
 
 

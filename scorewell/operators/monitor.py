@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,7 +22,7 @@ SEVERITY = {"INFO": 0, "WARNING": 1, "CRITICAL": 2}
 COOLDOWN_SECONDS = 300
 
 
-def _summary_aggregates() -> list[Column]:
+def summary_aggregates() -> list[Column]:
     zero = F.lit(0.0)
     return [
         F.count("*").alias("total_count"),
@@ -37,7 +39,7 @@ def _summary_aggregates() -> list[Column]:
 def rolling_summary(log: DataFrame, last_n: int = LAST_PREDICTIONS) -> DataFrame:
     """Statistics over the newest ``last_n`` predictions by id: a top-k, then one row."""
     newest = log.select("id", "ts", "prediction", "probability").orderBy(F.col("id").desc()).limit(last_n)
-    return newest.agg(*_summary_aggregates())
+    return newest.agg(*summary_aggregates())
 
 
 def log_totals(log: DataFrame) -> DataFrame:
@@ -48,7 +50,7 @@ def log_totals(log: DataFrame) -> DataFrame:
 def windowed_summary(log: DataFrame, width: str = "1 hour", slide: str | None = None) -> DataFrame:
     """The rolling statistics per event-time window, tumbling or sliding; for tables and streams."""
     window = F.window("ts", width, slide) if slide else F.window("ts", width)
-    kept = [m for m in _summary_aggregates()][:6]
+    kept = [m for m in summary_aggregates()][:6]
     return log.groupBy(window.alias("w")).agg(*kept).select(
         F.col("w.start").alias("window_start"),
         F.col("w.end").alias("window_end"),
@@ -56,6 +58,9 @@ def windowed_summary(log: DataFrame, width: str = "1 hour", slide: str | None =
     )
 
 
+DRIFT_FIELDS = ["drift_ratio", "drifted_count", "total_features", "drifted_features", "status"]
+
+
 def alert_rules(
     summary: DataFrame,
     drift: DataFrame | None = None,
@@ -65,16 +70,27 @@ def alert_rules(
     min_predictions: int = MIN_PREDICTIONS,
     last_n: int = LAST_PREDICTIONS,
 ) -> DataFrame:
-    """Fired rules as (name, severity, message, extra) rows, from the one-row summaries.
-
-    Mean confidence is the mean probability of the positive class, so quiet traffic also counts
-    as low confidence.
-    """
+    """Fired rules as (name, severity, message, extra) rows, from the one-row summaries."""
     facts = summary
-    drift_fields = ["drift_ratio", "drifted_count", "total_features", "drifted_features", "status"]
     if drift is not None:
-        one = drift.select(F.struct(*drift_fields).alias("d")).scalar()
-        facts = summary.withColumn("d", one)
+        facts = summary.withColumn("d", drift.select(F.struct(*DRIFT_FIELDS).alias("d")).scalar())
+    return fired_rules(facts, last_n, (), fraud_rate_limit, low_confidence_limit, drift_ratio_limit, min_predictions)
+
+
+def fired_rules(
+    facts: DataFrame,
+    window: object,
+    keys: Sequence[str] = (),
+    fraud_rate_limit: float = FRAUD_RATE_LIMIT,
+    low_confidence_limit: float = LOW_CONFIDENCE_LIMIT,
+    drift_ratio_limit: float = DRIFT_RATIO_LIMIT,
+    min_predictions: int = MIN_PREDICTIONS,
+) -> DataFrame:
+    """(keys, name, severity, message, extra): the rules that fire on each row of statistics.
+
+    The drift rule is there where the rows have a struct ``d`` with the fields of a drift summary. Mean confidence is the mean probability
+    of the positive class, so quiet traffic also counts as low confidence. ``window`` is what the statistics cover, for the report.
+    """
 
     def fact(value: Column | float) -> Column:
         return (F.lit(value) if not isinstance(value, Column) else value).cast("string")
@@ -95,7 +111,7 @@ def alert_rules(
             "CRITICAL",
             F.format_string(f"Fraud rate %.1f%% is above {100 * fraud_rate_limit:.1f}%% (%d of %d).", rate * 100, F.col("fraud_count"), F.col("total_count")),
             {"fraud_rate": rate, "fraud_count": F.col("fraud_count"), "total_count": F.col("total_count"),
-             "threshold": fraud_rate_limit, "window": last_n},
+             "threshold": fraud_rate_limit, "window": window},
         ),
         rule(
             confidence < low_confidence_limit,
@@ -105,18 +121,19 @@ def alert_rules(
             {"avg_probability": confidence, "threshold": low_confidence_limit},
         ),
     ]
-    if drift is not None:
+    if "d" in facts.columns:
         rules.append(
             rule(
                 F.col("d.drift_ratio") >= drift_ratio_limit,
                 "drift_detected",
                 "WARNING",
                 F.format_string("%d of %d features drifted.", F.col("d.drifted_count"), F.col("d.total_features")),
-                {**{k: F.col(f"d.{k}") for k in drift_fields}, "threshold": drift_ratio_limit},
+                {**{k: F.col(f"d.{k}") for k in DRIFT_FIELDS}, "threshold": drift_ratio_limit},
             )
         )
-    fired = facts.where(F.col("total_count") >= min_predictions).select(F.explode(F.array_compact(F.array(*rules))).alias("r"))
-    return fired.select("r.name", "r.severity", "r.message", "r.extra")
+    fires = F.explode(F.array_compact(F.array(*rules))).alias("r")
+    fired = facts.where(F.col("total_count") >= min_predictions).select(*keys, fires)
+    return fired.select(*keys, "r.name", "r.severity", "r.message", "r.extra")
 
 
 def alert_history(alerts: DataFrame, last_n: int = LAST_ALERTS) -> DataFrame:

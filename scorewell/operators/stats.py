@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +33,7 @@ from scorewell.functions.exprs import (
     q,
     row_fingerprint,
 )
+from scorewell.session import materialize
 
 COLUMNS_PER_PASS = 200
 # A sketch of 2**12 registers has a relative error of about 1.04 / sqrt(2**12).
@@ -38,6 +41,10 @@ DISTINCT_SKETCH_BITS = 12
 DISTINCT_ERROR = 0.0163
 BUFFER_VALUES = 500_000
 PAIRS_PER_PASS = 400
+# A task holds five square blocks of so many columns (10 MB), and so many rows as doubles.
+DENSE_COLUMNS, DENSE_ROWS = 512, 8_192
+# Below this share of the sum of squares a spread has lost too many digits.
+DIGITS_LEFT = 1e-7
 SKETCH_ACCURACY = 5_000
 
 
@@ -337,25 +344,113 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
     )
 
 
+def co_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(i, j, n, si, sj, qi, qj, p, endless) for places i < j of ``cols``, over the rows where both are present.
+
+    Sums, sums of squares and of products of the distances from each column's mean over the table; ``endless`` counts rows
+    with an infinite value. Each task multiplies its batches as dense blocks, missing cells as zeros beside a mask, and gives one
+    row per pair; those are added up by pair. Two scans (one for the means) for 200 columns; the scans grow with the columns
+    for the means, and beyond ``DENSE_COLUMNS`` with pairs of blocks of columns. A table without partitions gives no rows.
+    """
+    cols = list(cols)
+    values = df.selectExpr(*[f"{double_sql(df, x)} AS v{i}" for i, x in enumerate(cols)])
+    finite = "if(abs(v{0}) < double('infinity'), v{0}, null)"
+    facts: dict = {}
+    for start in range(0, len(cols), COLUMNS_PER_PASS):
+        some = range(start, min(start + COLUMNS_PER_PASS, len(cols)))
+        row = values.selectExpr(*[f"{agg}({finite.format(i)}) AS {agg}{i}" for i in some for agg in ("avg", "min", "max")])
+        facts |= row.first().asDict()
+    # A constant's mean may be off in its last digit; its distances must be exactly zero.
+    center = [facts[f"min{i}"] if facts[f"min{i}"] == facts[f"max{i}"] else facts[f"avg{i}"] for i in range(len(cols))]
+    center = [x if x is not None and math.isfinite(x) else 0.0 for x in center]
+    parts = [_block_moments(values, at, front, center) for at, front in _column_blocks(len(cols))]
+    sums = ("n", "si", "sj", "qi", "qj", "p", "endless")
+    return reduce(DataFrame.unionByName, parts).groupBy("i", "j").agg(*[F.sum(x).alias(x) for x in sums])
+
+
+def _column_blocks(n: int) -> list[tuple[list[int], int]]:
+    """Lists of columns that hold each pair once: of a list with a front, the pairs between the front (of that length) and the others."""
+    if n <= DENSE_COLUMNS:
+        return [(list(range(n)), 0)]
+    half = DENSE_COLUMNS // 2
+    blocks = [list(range(a, min(a + half, n))) for a in range(0, n, half)]
+    out = [(block, 0) for block in blocks]
+    return out + [(x + y, len(x)) for k, x in enumerate(blocks) for y in blocks[k + 1 :]]
+
+
+def _block_moments(values: DataFrame, at: list[int], front: int, center: list[float]) -> DataFrame:
+    """The task's own sums for pairs of the columns ``at``: all of them, or, with a ``front``, one of it and one after it."""
+    k, shift = len(at), np.array([center[i] for i in at])
+    left, right = np.triu_indices(k, 1)
+    if front:
+        across = (left < front) & (right >= front)
+        left, right = left[across], right[across]
+    place = np.array(at)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both, first, square, cross, endless = np.zeros((5, k, k))
+        for batch in batches:
+            for start in range(0, batch.num_rows, DENSE_ROWS):
+                part = batch.slice(start, DENSE_ROWS)
+                x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in part.columns]).astype(float)
+                known, wild = ~np.isnan(x), np.isinf(x)
+                x = np.where(known & ~wild, x - shift, 0.0)
+                mask = known.astype(float)
+                both += mask.T @ mask
+                first += x.T @ mask
+                square += (x * x).T @ mask
+                cross += x.T @ x
+                if wild.any():
+                    endless += wild.astype(float).T @ mask
+        facts = {
+            "i": place[left], "j": place[right], "n": both[left, right].astype(np.int64), "si": first[left, right], "sj": first[right, left],
+            "qi": square[left, right], "qj": square[right, left], "p": cross[left, right],
+            "endless": (endless[left, right] + endless[right, left]).astype(np.int64),
+        }
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in facts.values()], list(facts))
+
+    schema = "i long, j long, n long, si double, sj double, qi double, qj double, p double, endless long"
+    return values.select(*[f"v{i}" for i in at]).mapInArrow(work, schema)
+
+
 def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(a, b, corr) for every pair of columns over the rows where both are present.
 
-    All pairs come from one aggregation up to a bound on its expressions, then from several.
+    From the co-moments of all pairs. Where a pair's rows lie so far from the mean of the whole column that the sums lose digits, the pair
+    is measured by an aggregation of its own; no scan more is needed where there is no such pair. Null where a column has fewer
+    than two values there, no spread, or an infinite value.
     """
     cols = list(cols)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
+    if len(cols) < 2:
+        return df.sparkSession.createDataFrame([], "a string, b string, corr double")
+    spread = "least((qi - si * si / n) / qi, (qj - sj * sj / n) / qj)"
+    found = co_moments(df, cols).selectExpr("*", f"if(n > 1 AND endless = 0 AND qi > 0 AND qj > 0, {spread}, null) AS left_over")
+    found = materialize(found, "moments")
+    if found.isEmpty():
+        return reduce(DataFrame.unionByName, _measured_pairs(df, [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]))
+    corr = "(p - si * sj / n) / sqrt((qi - si * si / n) * (qj - sj * sj / n))"
+    names = f"array({', '.join(map(lit_text, cols))})"
+    doubtful = [(cols[r["i"]], cols[r["j"]]) for r in found.where(F.col("left_over") < DIGITS_LEFT).select("i", "j").collect()]
+    certain = found.where(f"left_over IS NULL OR left_over >= {lit_double(DIGITS_LEFT)}")
+    sure = certain.selectExpr(f"{names}[i] AS a", f"{names}[j] AS b", f"if(left_over IS NULL OR isnan({corr}), null, {corr}) AS corr")
+    return reduce(DataFrame.unionByName, [sure, *_measured_pairs(df, doubtful)])
+
+
+def _measured_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> list[DataFrame]:
+    """Correlations by one aggregation per ``PAIRS_PER_PASS`` pairs."""
     parts = []
     for start in range(0, len(pairs), PAIRS_PER_PASS):
         batch = pairs[start : start + PAIRS_PER_PASS]
-        row = df.selectExpr(*[f"corr({double_sql(df, a)}, {double_sql(df, b)}) AS r{i}" for i, (a, b) in enumerate(batch)])
+        sides = [(double_sql(df, a), double_sql(df, b)) for a, b in batch]
+        # A column without spread has no correlation; corr() would divide by zero.
+        spread = [f"sqrt(var_pop(if({y} IS NULL, null, {x})) * var_pop(if({x} IS NULL, null, {y})))" for x, y in sides]
+        row = df.selectExpr(*[f"try_divide(covar_pop({x}, {y}), {s}) AS r{i}" for i, ((x, y), s) in enumerate(zip(sides, spread))])
         rows = [
             f"struct({lit_text(a)} AS a, {lit_text(b)} AS b, if(isnan(r{i}), null, r{i}) AS corr)"
             for i, (a, b) in enumerate(batch)
         ]
         parts.append(row.selectExpr(inline_sql(rows)))
-    if not parts:
-        return df.sparkSession.createDataFrame([], "a string, b string, corr double")
-    return reduce(DataFrame.unionByName, parts)
+    return parts
 
 
 def missing_counts(df: DataFrame) -> DataFrame:

@@ -15,6 +15,17 @@ from scorewell.operators.monitor import COOLDOWN_SECONDS, micros
 OUTPUT = "name string, id long, t long, sent boolean, send_count long"
 
 
+def sends(times: np.ndarray, last: int | None, cooldown: int) -> tuple[np.ndarray, int | None]:
+    """Which of the sorted times go out after the send at ``last`` (None: there was none), and the newest send."""
+    sent = np.zeros(len(times), bool)
+    # From one send to the next: what lies between is never looked at one by one.
+    at = 0 if last is None else int(np.searchsorted(times, last + cooldown, side="left"))
+    while at < len(times):
+        sent[at], last = True, int(times[at])
+        at = int(np.searchsorted(times, last + cooldown, side="left"))
+    return sent, last
+
+
 def stream_cooldown(alerts: DataFrame, seconds: int = COOLDOWN_SECONDS) -> DataFrame:
     """(name, id, t, sent, send_count) for a stream with (name, id, ts).
 
@@ -28,12 +39,7 @@ def stream_cooldown(alerts: DataFrame, seconds: int = COOLDOWN_SECONDS) -> DataF
         last, count = state.get if state.exists else (None, 0)
         rows = pd.concat(list(batches)).sort_values(["t", "id"])
         times = rows["t"].to_numpy()
-        sent = np.zeros(len(times), bool)
-        # From one send to the next: what lies between is never looked at one by one.
-        at = 0 if last is None else int(np.searchsorted(times, last + cooldown, side="left"))
-        while at < len(times):
-            sent[at], last = True, int(times[at])
-            at = int(np.searchsorted(times, last + cooldown, side="left"))
+        sent, last = sends(times, last, cooldown)
         counts = count + np.cumsum(sent)
         state.update((last, int(count + sent.sum())))
         yield pd.DataFrame({"name": key[0], "id": rows["id"], "t": times, "sent": sent, "send_count": counts})

@@ -193,6 +193,29 @@ def test_tree_impacts_match_every_order_of_features(spark):
         assert got[i] == pytest.approx(list(brute_shapley(np.array(rows[i][1:]), paths)))
 
 
+def test_long_paths_and_tables_give_the_same(monkeypatch):
+    """Leaves beyond the tables' size, features asked twice, categories, and a batch met pattern by pattern."""
+    rng = np.random.RandomState(7)
+    nodes, at = {}, 0
+    for depth in range(9):
+        f = depth % 7
+        kind, bound = ("in", (0.0, 2.0)) if f == 3 else ("le", float(rng.rand()))
+        nodes[at] = explain.TreeNode(1000 - 100 * depth, 0.0, f, kind, bound, at + 1, at + 2)
+        nodes[at + 1] = explain.TreeNode(100, float(rng.randn()))
+        at += 2
+    nodes[at] = explain.TreeNode(100, 1.5)
+    paths = explain.tree_paths(nodes)
+    x = rng.rand(40, 7)
+    x[:, 3] = rng.randint(0, 4, 40)
+    want = [brute_shapley(r, paths) for r in x]
+    assert np.allclose(explain.TreeImpacts(paths).of(x), want)
+    monkeypatch.setattr(explain, "TABLE_BITS", 2)
+    monkeypatch.setattr(explain, "TESTS_KEPT", 3)
+    assert np.allclose(explain.TreeImpacts(paths).of(x), want)
+    total = sum(p.value * all((r in b if k == "in" else r <= b) == l for f, ts in zip(p.features, p.tests) for k, b, l in ts for r in [x[0][f]]) for p in paths)
+    assert np.isclose(explain.mean_output(paths) + want[0].sum(), total)
+
+
 def test_top_impacts_by_hand(spark):
     df = spark.createDataFrame([(1, 2.0, 0.0, -1.0)], "id long, x double, y double, z double")
     explained = explain.explain_linear(df, ["id"], {"x": 1.0, "y": 5.0, "z": 3.0}, {"x": 0.0, "y": 1.0, "z": 0.0})

@@ -81,6 +81,43 @@ def test_correlation_skips_missing_pairs(spark):
     assert stats.correlation_pairs(df, ["a", "b"]).first()["corr"] == pytest.approx(1.0)
 
 
+def test_correlations_by_blocks_equal_one_aggregation_per_pair(spark, monkeypatch):
+    """Missing and infinite cells, a constant, a column without values, columns that lose digits in sums, and several blocks of columns."""
+    rng = np.random.RandomState(3)
+    rows = []
+    for i in range(400):
+        a, b = map(float, rng.randn(2))
+        far = 1e3 + a
+        rows.append((a, b, a + 0.1 * b, None if i % 3 else b, 7.1, None, far if i >= 300 else -1e12, float("inf") if i == 5 else a, None if i < 300 else a))
+    names = list("abcdefghi")
+    df = spark.createDataFrame(rows, ", ".join(f"{x} double" for x in names)).repartition(5)
+    pairs = [(x, y) for i, x in enumerate(names) for y in names[i + 1 :]]
+    cells = np.array(rows, float)
+
+    def brute(i, j):
+        both = cells[~np.isnan(cells[:, [i, j]]).any(axis=1)][:, [i, j]]
+        if len(both) < 2 or np.isinf(both).any() or (both.min(axis=0) == both.max(axis=0)).any():
+            return None
+        return np.corrcoef(both.T)[0, 1]
+
+    want = {(x, y): brute(names.index(x), names.index(y)) for x, y in pairs}
+    for most in (512, 4):
+        monkeypatch.setattr(stats, "DENSE_COLUMNS", most)
+        got = {(r.a, r.b): r["corr"] for r in stats.correlation_pairs(df, names).collect()}
+        assert set(got) == set(pairs)
+        for pair, value in got.items():
+            assert value is None if want[pair] is None else value == pytest.approx(want[pair], abs=1e-9), pair
+    none = stats.correlation_pairs(df.where("a > 1e9"), ["a", "b", "c"]).collect()
+    assert len(none) == 3 and all(r["corr"] is None for r in none)
+
+
+def test_scans_do_not_grow_with_pairs(spark):
+    df = spark.range(50).selectExpr(*[f"double(id * {i} % 17) AS c{i}" for i in range(40)])
+    plans = lambda n: stats.co_moments(df, [f"c{i}" for i in range(n)])._jdf.queryExecution().executedPlan().toString()
+    assert plans(40).count("Range (") == plans(3).count("Range (") == 1
+    assert len(stats.correlation_pairs(df, df.columns).collect()) == 780
+
+
 def test_hash_cuts_when_bands_are_narrowed(spark, monkeypatch):
     monkeypatch.setattr(sampling, "MOST_GROUPS", 300)
     df = spark.range(20_000).withColumn("k", F.when(F.col("id") % 3 == 0, "x").otherwise("y"))

@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from scorewell import session
+from scorewell.operators.drift import drift_fit
 from scorewell.streaming.alerts import stream_cooldown
+from scorewell.streaming.monitored import keyed_windows, monitored_alerts, write_alerts
 from scorewell.streaming.scoring import ScoringStream
 from scorewell.streaming.windows import read_stream, read_windows, stream_windows, write_all_windows, write_closed_windows
 
@@ -117,3 +119,40 @@ def test_only_local_sessions_may_go_without_a_shared_folder():
         session.shared_dir(FakeSession("yarn", None))
     local = FakeSession("local[2]", None)
     assert session.shared_dir(local) == session.shared_dir(local)
+
+
+def test_monitored_alerts_late_rows_cooldown_and_forgotten_state(spark, tmp_path):
+    source, sink, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    schema = "key string, ts timestamp, prediction int, probability double, x double"
+
+    def run():
+        stream = read_stream(spark, source, spark.read.parquet(source).schema)
+        alerts = monitored_alerts(stream, "key", {}, "1 hour", "30 minutes", cooldown_seconds=5400, min_predictions=2)
+        write_alerts(alerts, sink, check).awaitTermination()
+        return sorted((r.key, r.name, r.window_end.hour, r.sent) for r in spark.read.parquet(sink).collect())
+
+    def hour(h, key="a", p=0.9):
+        return [(key, at(3600 * h + 60 * i), 1, p, 1.0) for i in (1, 2)]
+
+    put(spark, source, [*hour(0), *hour(1), *hour(2), *hour(3, "b", 0.5), (None, at(60), 1, 0.9, 1.0)], schema)
+    # Hour 3 is open: the watermark stands half an hour before 03:02. One hour after a send is within its cooldown, two are not.
+    first = [("a", "high_fraud_rate", 1, True), ("a", "high_fraud_rate", 2, False)]
+    assert run() == first
+    # Rows of closed windows come too late; those of hour 2 are in time, and make it quiet.
+    put(spark, source, [*hour(0, "b"), *[("a", at(7200 + i), 0, 0.9, 1.0) for i in range(9)], *hour(9)], schema)
+    second = [*first, ("b", "high_fraud_rate", 4, True), ("b", "low_confidence", 4, True)]
+    assert run() == sorted(second)
+    put(spark, source, [*hour(12, "c")], schema)
+    assert run() == sorted([*second, ("a", "high_fraud_rate", 10, True)])
+    # Cooldowns of 01:00 and 04:00 are over and forgotten; that of 10:00 ends at 11:30, when the watermark is at 11:32.
+    state = spark.read.format("statestore").option("operatorId", 0).option("stateVarName", "last").load(check)
+    assert state.count() == 0
+
+
+def test_windows_with_drift_by_key(spark):
+    rows = [("a", at(i), 0, 0.7, float(i % 50)) for i in range(200)] + [("b", at(i), 0, 0.7, float(i % 50) / 4) for i in range(200)]
+    log = spark.createDataFrame([*rows, ("b", None, 0, 0.7, 1.0)], "key string, ts timestamp, prediction int, probability double, x double")
+    facts = drift_fit(spark.range(1000).selectExpr("double(id % 50) AS x", "1.0D AS flat"), ["x", "flat"]).facts
+    found = {r.key: r.d for r in keyed_windows(log.withColumn("flat", F.lit(1.0)), "key", facts, "1 hour").collect()}
+    assert (found["a"].drifted_count, found["a"].total_features, found["a"].status) == (0, 2, "NO DRIFT")
+    assert (found["b"].drifted_features, found["b"].drift_ratio, found["b"].status) == ("x", 0.5, "HIGH DRIFT")
