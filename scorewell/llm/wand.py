@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorewell.llm.batches import slices
+from scorewell.session import materialize
 
 K1, B = 1.2, 0.75
 #: An item is retrieved at this share of the score that its own text would get. An item four fifths of whose shingles
@@ -58,8 +59,14 @@ class Index:
     most: np.ndarray  # greatest weight per word and block
 
 
-def build_index(rows: list[tuple[int, str | None]], threshold: float = THRESHOLD) -> Index | None:
-    """Index of (item id, text); items without words are left out. None when none has any."""
+def build_index(
+    rows: list[tuple[int, str | None]], threshold: float = THRESHOLD, totals: tuple[int, int] | None = None, holders: dict[str, int] | None = None
+) -> Index | None:
+    """Index of (item id, text); items without words are left out. None when none has any.
+
+    ``totals`` are the items with words and their words with repeats, ``holders`` the items that have a word, of the whole benchmark where
+    ``rows`` are only a part of it.
+    """
     kept = [(i, t, words_of(t)) for i, t in rows if words_of(t)]
     if not kept:
         return None
@@ -70,18 +77,17 @@ def build_index(rows: list[tuple[int, str | None]], threshold: float = THRESHOLD
     # Items with the same everyday words (one language) and of like length share blocks: that keeps bounds low.
     kept.sort(key=lambda r: (max((spread[w], w) for w in r[2]), len(r[2]), r[2], r[0]))
     counts = []
-    holders: dict[str, int] = {}
     for _, _, words in kept:
         tf: dict[str, int] = {}
         for w in words:
             tf[w] = tf.get(w, 0) + 1
         counts.append(tf)
-        for w in tf:
-            holders[w] = holders.get(w, 0) + 1
-    vocabulary = {w: i for i, w in enumerate(holders)}
-    n, mean = len(kept), sum(len(r[2]) for r in kept) / len(kept)
-    idf = {w: math.log(1 + (n - df + 0.5) / (df + 0.5)) for w, df in holders.items()}
-    weights = np.zeros((len(vocabulary), math.ceil(n / BLOCK) * BLOCK), np.float32)
+    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for tf in counts for w in tf))}
+    holders = holders or spread
+    n, length = totals or (len(kept), sum(len(r[2]) for r in kept))
+    mean = length / n
+    idf = {w: math.log(1 + (n - holders[w] + 0.5) / (holders[w] + 0.5)) for w in vocabulary}
+    weights = np.zeros((len(vocabulary), math.ceil(len(kept) / BLOCK) * BLOCK), np.float32)
     for item, ((_, _, words), tf) in enumerate(zip(kept, counts)):
         norm = K1 * (1 - B + B * len(words) / mean)
         weight = {w: idf[w] * c * (K1 + 1) / (c + norm) for w, c in tf.items()}
@@ -152,6 +158,23 @@ def leaks_of(index: Index, text: str | None, threshold: float, overlap: float) -
     return out
 
 
+def word_facts(items: DataFrame) -> tuple[tuple[int, int], DataFrame]:
+    """Of items (part, text): the number with words and of all words, and (part, word, n): the items of all parts that hold a word of the part."""
+
+    def split(batches):
+        for batch in slices(batches):
+            words = [words_of(t) for t in batch.column(1).to_pylist()]
+            distinct = pa.array([sorted(set(w)) for w in words], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, words)), pa.int64()), distinct], ["part", "length", "words"])
+
+    listed = items.select("part", "text").mapInArrow(split, "part long, length long, words array<string>")
+    listed = materialize(listed.where("length > 0"), "items")
+    n, length = listed.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    places = listed.select("part", F.explode("words").alias("word"))
+    spread = places.groupBy("word").agg(F.count("*").alias("n"))
+    return (n, length), materialize(places.distinct().join(spread, "word").select("part", "word", "n"), "words")
+
+
 def with_leaks(
     docs: DataFrame,
     items: DataFrame,
@@ -169,12 +192,15 @@ def with_leaks(
     own = docs.select(*[F.col(f"`{x}`") for x in docs.columns if x != "leaks"])
     rows = items.select(F.col(f"`{item_col}`").cast("long").alias("id"), F.col(f"`{item_text}`").alias("text"))
     groups = max(1, math.ceil(rows.count() / ITEMS_PER_INDEX))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id", "text"), F.lit(groups)))
+    totals, facts = word_facts(rows)
     schema = ", ".join(f"`{n}` {t}" for n, t in own.dtypes)
     leak = "array<struct<item_id: bigint, score: double, question: double, answer: double>>"
     out, added = own, []
     for g in range(groups):
-        part = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(groups)) == g).toArrow()
-        index = build_index(list(zip(part.column("id").to_pylist(), part.column("text").to_pylist())), threshold)
+        part, words = rows.where(F.col("part") == g).toArrow(), facts.where(F.col("part") == g).toArrow()
+        holders = dict(zip(words.column("word").to_pylist(), words.column("n").to_pylist()))
+        index = build_index(list(zip(part.column("id").to_pylist(), part.column("text").to_pylist())), threshold, totals, holders)
         shared = docs.sparkSession.sparkContext.broadcast(index)  # at most about ITEMS_PER_INDEX items
         name, at = f"__leaks{g}", own.columns.index(text_col)
 

@@ -1,6 +1,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from scorewell.llm import wand
@@ -53,8 +54,14 @@ def test_empty_tables(docs, empty, spark):
 
 
 def test_many_indexes_give_the_same(spark, monkeypatch):
+    """Retrieved items and their scores, which rest on statistics of all items."""
     items, texts = items_and_texts()
-    monkeypatch.setattr(wand, "ITEMS_PER_INDEX", 20)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: {x.item_id for x in r.leaks} for r in wand.with_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
-    assert all(got[i] == ({i} if i % 3 == 0 else set()) for i in range(60))
+    held = spark.createDataFrame(items + [(70, None), (72, items[0][1])], "item_id long, text string")
+    leaks = lambda: {r.doc_id: [x.asDict() for x in r.leaks] for r in wand.with_leaks(docs, held).collect()}
+    one = leaks()
+    monkeypatch.setattr(wand, "ITEMS_PER_INDEX", 20)
+    many = leaks()
+    for i in range(60):
+        assert {x["item_id"] for x in many[i]} == ({0, 72} if i == 0 else {i} if i % 3 == 0 else set())
+        assert [x["score"] for x in sorted(many[i], key=lambda x: x["item_id"])] == pytest.approx([x["score"] for x in one[i]], rel=1e-5)
