@@ -1,5 +1,7 @@
+import math
 import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -67,6 +69,48 @@ def test_revealing_terms(spark):
     assert "Zaphodius" not in clean[1000] and "[EMAIL]" in clean[1000] and clean[5] == rows[5][1]
 
 
+def brute_terms(texts):
+    """Term spans by plain counting: leave-one-out chance of an entity given a term, Wilson's lower end, as a share of its information."""
+    parts = {}
+    for t in set(texts):
+        spans, rest = brute(t, PERSONAL), list(t)
+        for _, s, e in spans:
+            rest[s:e] = " " * (e - s)
+        rest = "".join(rest)
+        words = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W\d_](?:[^\W_]|['-]){2,}", rest)]
+        parts[t] = ({(k, t[s:e].lower()) for k, s, e in spans}, words)
+    z, total, n, df, both = disclosure.DOUBT, len(parts), Counter(), Counter(), Counter()
+    for found, words in parts.values():
+        terms = {w for *_, w in words}
+        n.update(found)
+        df.update(terms)
+        both.update((e, w) for e in found for w in terms)
+    risky = set()
+    for (e, w), k in both.items():
+        k, m = k - 1, df[w] - 1
+        if k and n[e] < total:
+            low = (k / m + z * z / (2 * m) - z * math.sqrt(k / m * (1 - k / m) / m + z * z / (4 * m * m))) / (1 + z * z / m)
+            if 1 + math.log(low) / math.log(total / n[e]) >= disclosure.GENERALISE:
+                risky.add(w)
+    return {t: [(s, e) for s, e, w in words if w in risky] for t, (_, words) in parts.items()}
+
+
+def test_revealing_terms_equal_plain_counting(spark):
+    """Terms far from a mention, in texts without one, of two texts alone, and of texts that are there many times."""
+    rng = random.Random(17)
+    texts = [prose(rng, 40) for _ in range(400)]
+    texts += [f"mail q@far.org {prose(rng, 60)} Trillian {prose(rng, 20)}" for _ in range(8)] + [f"{prose(rng, 10)} trillian {prose(rng, 10)}"]
+    texts += [f"{prose(rng, 30)} call +49 30 123456 or x@two.org {prose(rng, 30)} Onlytwo" for _ in range(2)]
+    texts += [f"ip 10.0.0.1 Manycopies {prose(rng, 5)}"] * 30 + ["", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, texts[405])], "doc_id long, text string")
+    want = brute_terms([t or "" for t in texts])
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "term"] for r in disclosure.personal_data(docs).collect()}
+    assert got[None] == want[texts[405]]
+    assert [got[i] for i in range(len(texts))] == [want[t or ""] for t in texts]
+    named = {(i, texts[i][s:e].lower()) for i in range(len(texts)) for s, e in got[i]}
+    assert {(400 + i, "trillian") for i in range(9)} <= named and not any(w == "manycopies" for _, w in named)
+
+
 def test_random_strings_are_told_from_words(spark, docs):
     ratios = markov_secrets.fit(docs)
     rng = random.Random(8)
