@@ -13,6 +13,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from scorewell.operators.monitor import COOLDOWN_SECONDS, micros
 
 OUTPUT = "name string, id long, t long, sent boolean, send_count long"
+ROWS_AT_ONCE = 1 << 16
+
+
+def _numbers(ids: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Ids as whole numbers (0 for a null), and which are known."""
+    known = ids.notna().to_numpy()
+    return ids.where(known, 0).to_numpy(np.int64), known
 
 
 def sends(times: np.ndarray, last: int | None, cooldown: int) -> tuple[np.ndarray, int | None]:
@@ -37,12 +44,21 @@ def stream_cooldown(alerts: DataFrame, seconds: int = COOLDOWN_SECONDS) -> DataF
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, count = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(batches)).sort_values(["t", "id"])
-        times = rows["t"].to_numpy()
+        # Of a name's alerts only two numbers each are held; an id may be null.
+        parts = [(b["t"].to_numpy(np.int64), *_numbers(b["id"])) for b in batches]
+        times, ids, known = (np.concatenate(x) for x in zip(*parts))
+        del parts
+        order = np.lexsort((ids, ~known, times))
+        times, ids, known = times[order], ids[order], known[order]
+        del order
         sent, last = sends(times, last, cooldown)
-        counts = count + np.cumsum(sent)
         state.update((last, int(count + sent.sum())))
-        yield pd.DataFrame({"name": key[0], "id": rows["id"], "t": times, "sent": sent, "send_count": counts})
+        for i in range(0, len(times), ROWS_AT_ONCE):
+            part = slice(i, i + ROWS_AT_ONCE)
+            counts = count + np.cumsum(sent[part])
+            count = int(counts[-1])
+            named = pd.Series(pd.array(ids[part], "Int64")).where(known[part])
+            yield pd.DataFrame({"name": key[0], "id": named, "t": times[part], "sent": sent[part], "send_count": counts})
 
     timed = alerts.select("name", F.col("id").cast("long").alias("id"), micros(F.col("ts")).alias("t"))
     return timed.groupBy("name").applyInPandasWithState(

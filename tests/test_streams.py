@@ -1,10 +1,13 @@
 import datetime as dt
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from scorewell import session
 from scorewell.operators.drift import drift_fit
+from scorewell.streaming import alerts
 from scorewell.streaming.alerts import stream_cooldown
 from scorewell.streaming.monitored import keyed_windows, monitored_alerts, write_alerts
 from scorewell.streaming.scoring import ScoringStream
@@ -63,6 +66,40 @@ def test_cooldown_state_outlives_a_restart(spark, tmp_path):
     assert run() == {1: True, 2: False, 3: True, 4: False, 5: True, 6: False}
 
 
+def test_cooldown_holds_two_numbers_an_alert(spark, monkeypatch):
+    """A name's alerts come out in parts, counted through, as one table of them would."""
+    monkeypatch.setattr(alerts, "ROWS_AT_ONCE", 1000)
+    times = [(i * 7919) % 20_000 for i in range(5000)]
+    got = {}
+
+    class Stream:
+        """Stands for the stream, and takes the fold it is given."""
+
+        def select(self, *columns):
+            return self
+
+        def groupBy(self, name):
+            return self
+
+        def applyInPandasWithState(self, fn, *rest):
+            got["fold"] = fn
+
+    class State:
+        exists = False
+
+        def update(self, value):
+            got["state"] = value
+
+    stream_cooldown(Stream(), 300)
+    pieces = [pd.DataFrame({"name": "a", "id": range(i, i + 500), "t": [t * 1_000_000 for t in times[i : i + 500]]}) for i in range(0, 5000, 500)]
+    parts = list(got["fold"](("a",), iter(pieces), State()))
+    assert max(map(len, parts)) == 1000
+    whole = pd.concat(parts)
+    sent, last = alerts.sends(np.sort(np.array(times) * 1_000_000), None, 300 * 1_000_000)
+    assert whole["sent"].tolist() == sent.tolist() and whole["send_count"].tolist() == np.cumsum(sent).tolist()
+    assert [times[i] for i in whole["id"]] == sorted(times) and got["state"] == (last, int(sent.sum()))
+
+
 @pytest.fixture
 def job(tmp_path):
     return ScoringStream(
