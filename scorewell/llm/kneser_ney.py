@@ -1,11 +1,10 @@
 """Quality filter: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over characters, mapped to 64 classes (letters, signs, one class each for digits, capitals
-and letters beyond ASCII), up to order 4. Counts of n-grams, of their contexts, of what precedes
+The model is over characters, each code point a sign of its own, up to order 4. Counts of n-grams, of their contexts, of what precedes
 and follows them are joined in shards by n-gram; the n-grams that occur in the documents are then
 looked up in the model by such joins, order after order. Each order has its three discounts, from
-its counts of counts. What is finally handed to the tasks that read the texts is one number per
-occurring n-gram, and there are never more than 64**4 of those, whatever the size of the corpus.
+its counts of counts. The results, one number per occurring n-gram, lie in the shared folder as shards of bounded size, which
+the tasks that read the texts go through one after another; nothing of them passes the driver, and their number grows with the corpus.
 
 A document's score is its mean negative log-probability per character. Documents go when their score is
 above their language's limit, which is read off the quantiles of the trusted documents' scores, by more than
@@ -14,92 +13,114 @@ chance explains for their length.
 
 from __future__ import annotations
 
+import io
+import math
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scorewell.llm import token_shards
 from scorewell.llm.batches import slices
 from scorewell.operators.duplicates import split_by_filter
-from scorewell.session import materialize
+from scorewell.session import fresh_path, materialize
 
 ORDER = 4
-CLASS_BITS = 6
-CLASSES = 1 << CLASS_BITS
+#: Bits of a code: 0 for what stands before a text, else a code point and one.
+CODE_BITS = 21
+MASK = (1 << CODE_BITS) - 1
+#: Code points there are.
+CLASSES = 0x110000
 #: A language's limit: its median score plus REACH times the distance from there to the HIGH quantile.
 HIGH, REACH = 0.95, 3.0
 #: The mean over n characters strays by about 1 / sqrt(n): so much, times SLACK, a text may be above the limit.
 SLACK = 2.0
 #: Documents of fewer characters than this say too little to be judged; they stay.
 LEAST_CHARS = 20
-CHARS_AT_ONCE = 1 << 20
-
-
-def _classes() -> np.ndarray:
-    """Class of each code point below 256; all others are letters beyond ASCII."""
-    out = np.full(256, 63, np.uint8)
-    out[:128] = 1
-    for i, ch in enumerate("abcdefghijklmnopqrstuvwxyz"):
-        out[ord(ch)] = 2 + i
-        out[ord(ch.upper())] = 28
-    for ch in "0123456789":
-        out[ord(ch)] = 29
-    out[ord("\n")] = 30
-    for i, ch in enumerate("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"):
-        out[ord(ch)] = 31 + i
-    return out
-
-
-TABLE = _classes()
+CHARS_AT_ONCE = 1 << 21
+#: Up to so many different values are ranked by a table, more by sorting.
+DENSE = 1 << 24
+#: N-grams of a shard, and shards that a process keeps.
+SHARD_GRAMS, SHARDS_KEPT = 1 << 21, 8
 
 
 def class_codes(text: str) -> np.ndarray:
-    """Classes of a text's characters, after ORDER - 1 places of class 0 that stand for its start."""
+    """Codes of a text's characters, after ORDER - 1 places of code 0 that stand for its start."""
     points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
     out = np.zeros(len(points) + ORDER - 1, np.uint32)
-    out[ORDER - 1 :] = TABLE[np.minimum(points, 255)]
+    out[ORDER - 1 :] = points + 1
     return out
 
 
-def ngrams(codes: np.ndarray) -> np.ndarray:
-    """The n-gram of order ORDER that ends at each character, as one number, oldest class on top."""
-    n = len(codes) - ORDER + 1
-    out = np.zeros(n, np.uint32)
-    for i in range(ORDER):
-        out = (out << np.uint32(CLASS_BITS)) | codes[i : i + n]
-    return out
+def _ranks(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values in order, and the place of each value among them."""
+    top = int(values.max()) + 1 if len(values) else 0
+    if top > DENSE:
+        return np.unique(values, return_inverse=True)
+    seen = np.zeros(top, bool)
+    seen[values] = True
+    found = np.flatnonzero(seen)
+    place = np.zeros(top, np.int32)
+    place[found] = np.arange(len(found), dtype=np.int32)
+    return found, place[values]
+
+
+def ngrams(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different n-grams of order ORDER of texts' codes, as their first and last two codes, and which of them ends at each character."""
+    codes = np.concatenate(texts)
+    inside = np.ones(len(codes), bool)
+    ends = np.cumsum([len(x) for x in texts])
+    for i in range(1, ORDER):
+        inside[ends - i] = False
+    # Places among what occurs keep the numbers small enough for tables; they are told back at the end.
+    letters, of = _ranks(codes)
+    two, of = _ranks(of[:-1].astype(np.int64) * len(letters) + of[1:])
+    pairs = (letters[two // len(letters)].astype(np.int64) << CODE_BITS) | letters[two % len(letters)]
+    at = np.flatnonzero(inside)
+    four, of = _ranks(of[at].astype(np.int64) * len(two) + of[at + 2])
+    return pairs[four // len(two)], pairs[four % len(two)], of
 
 
 def _pieces(texts: list[str]):
-    """N-grams of several texts at once and where each text's start, some millions of characters at a time."""
-    codes, sizes, total = [], [], 0
+    """``ngrams`` of several texts at once and each text's characters, some millions of characters at a time."""
+    codes, total = [], 0
     for text in texts:
-        codes.append(ngrams(class_codes(text)))
-        sizes.append(len(codes[-1]))
-        total += sizes[-1]
+        codes.append(class_codes(text))
+        total += len(codes[-1])
         if total >= CHARS_AT_ONCE:
-            yield np.concatenate(codes), np.array(sizes)
-            codes, sizes, total = [], [], 0
+            yield *ngrams(codes), np.array([len(x) - ORDER + 1 for x in codes])
+            codes, total = [], 0
     if codes:
-        yield np.concatenate(codes), np.array(sizes)
+        yield *ngrams(codes), np.array([len(x) - ORDER + 1 for x in codes])
 
 
 def count_ngrams(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(gram long, n long): the n-grams of order ORDER and how often they occur; folded per task, then summed."""
+    """(gram, n long): the n-grams of order ORDER, as a struct of two codes each, and how often they occur; folded per task, then summed."""
 
     def run(batches):
-        seen: np.ndarray = np.zeros(CLASSES**ORDER, np.int32)
         for batch in slices(batches):
-            for grams, _ in _pieces([x or "" for x in batch.column(0).to_pylist()]):
-                keys, counts = np.unique(grams, return_counts=True)
-                seen[keys] += counts.astype(np.int32)
-        found = np.flatnonzero(seen)
-        for i in range(0, len(found), 1 << 16):
-            part = found[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(seen[part].astype(np.int64))], ["gram", "n"])
+            for hi, lo, of, _ in _pieces([x or "" for x in batch.column(0).to_pylist()]):
+                n = np.bincount(of, minlength=len(hi)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo), pa.array(n)], ["hi", "lo", "n"])
+
+    counted = docs.select(F.col(f"`{text_col}`")).mapInArrow(run, "hi long, lo long, n long")
+    return counted.groupBy("hi", "lo").agg(F.sum("n").alias("n")).select(F.struct("hi", "lo").alias("gram"), "n")
 
-    counted = docs.select(F.col(f"`{text_col}`")).mapInArrow(run, "gram long, n long")
-    return counted.groupBy("gram").agg(F.sum("n").alias("n"))
+
+def _last(order: int) -> list:
+    """The last ``order`` codes of ``hi`` and ``lo``."""
+    hi = F.col("hi") if order == 4 else F.col("hi").bitwiseAND(MASK) if order == 3 else F.lit(0).cast("long")
+    return [hi.alias("hi"), (F.col("lo") if order > 1 else F.col("lo").bitwiseAND(MASK)).alias("lo")]
+
+
+def _context(hi: str, lo: str) -> list:
+    """All codes of an n-gram but its last."""
+    return [
+        F.shiftright(hi, CODE_BITS).alias("c_hi"),
+        F.shiftright(lo, CODE_BITS).bitwiseOR(F.shiftleft(F.col(hi).bitwiseAND(MASK), CODE_BITS)).alias("c_lo"),
+    ]
 
 
 def _discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -119,59 +140,85 @@ class Model:
     def __init__(self, top: DataFrame):
         """``top``: (gram, n) of order ORDER."""
         self.levels: list[tuple[DataFrame, DataFrame]] = []  # order 1 first
-        counts = materialize(top, "grams")
+        counts = materialize(top.select("gram.hi", "gram.lo", "n"), "grams")
         for order in range(ORDER, 0, -1):
             d1, d2, d3 = _discounts(counts)
             cut = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-            context = F.shiftright("gram", CLASS_BITS)
             totals = (
-                counts.groupBy(context.alias("context"))
-                .agg(F.sum("n").alias("total"), F.sum(cut).alias("freed"))
-                .select("context", "total", (F.col("freed") / F.col("total")).alias("left"))
+                counts.select(*_context("hi", "lo"), "n", cut.alias("cut")).groupBy("c_hi", "c_lo")
+                .agg(F.sum("n").alias("total"), F.sum("cut").alias("freed"))
+                .select("c_hi", "c_lo", "total", (F.col("freed") / F.col("total")).alias("left"))
             )
-            shares = counts.withColumn("context", context).join(totals, "context")
-            shares = shares.select("gram", ((F.col("n") - cut) / F.col("total")).alias("share"))
-            self.levels.insert(0, (materialize(shares, "shares"), materialize(totals.select("context", "left"), "left")))
+            shares = counts.select("hi", "lo", "n", *_context("hi", "lo")).join(totals, ["c_hi", "c_lo"])
+            shares = shares.select("hi", "lo", ((F.col("n") - cut) / F.col("total")).alias("share"))
+            self.levels.insert(0, (materialize(shares, "shares"), materialize(totals.select("c_hi", "c_lo", "left"), "left")))
             # The order below counts in how many different ways an n-gram is preceded.
-            below = F.col("gram").bitwiseAND((1 << CLASS_BITS * (order - 1)) - 1)
-            counts = materialize(counts.groupBy(below.alias("gram")).agg(F.count("*").alias("n")), "grams")
+            if order > 1:
+                counts = materialize(counts.select(*_last(order - 1)).groupBy("hi", "lo").agg(F.count("*").alias("n")), "grams")
 
     def score(self, grams: DataFrame) -> DataFrame:
         """(gram, logp) for distinct n-grams of order ORDER, seen in training or not."""
-        p = F.lit(1.0 / CLASSES)
-        out = grams.select("gram", p.alias("p"))
+        out = grams.select("gram", F.lit(1.0 / CLASSES).alias("p"))
         for order, (shares, left) in enumerate(self.levels, 1):
-            low = F.col("gram").bitwiseAND((1 << CLASS_BITS * order) - 1)
-            keyed = out.withColumn("__low", low).withColumn("__context", F.shiftright(low, CLASS_BITS))
-            keyed = keyed.join(left.withColumnRenamed("context", "__context"), "__context", "left")
-            keyed = keyed.join(shares.withColumnRenamed("gram", "__low"), "__low", "left")
+            keyed = out.select("gram", "p", "gram.hi", "gram.lo").select("gram", "p", *_last(order))
+            keyed = keyed.select("*", *_context("hi", "lo")).join(left, ["c_hi", "c_lo"], "left").join(shares, ["hi", "lo"], "left")
             # A context that was never seen leaves everything to the order below.
             value = F.coalesce("share", F.lit(0.0)) + F.coalesce("left", F.lit(1.0)) * F.col("p")
             out = keyed.select("gram", value.alias("p"))
         return out.select("gram", F.log("p").alias("logp"))
 
 
-def perplexities(docs: DataFrame, scored: DataFrame, text_col: str = "text") -> DataFrame:
+def write_scores(scored: DataFrame) -> list[str]:
+    """Files of ``scored`` (gram, logp) in the shared folder, each with some of the n-grams, sorted."""
+    folder = fresh_path(scored.sparkSession, "kn")
+    n = max(1, math.ceil(scored.count() / SHARD_GRAMS))
+
+    def write(key, table):
+        hi, lo = (table.column(x).to_numpy() for x in ("hi", "lo"))
+        order = np.lexsort((lo, hi))
+        data = io.BytesIO()
+        np.savez(data, hi=hi[order], lo=lo[order], logp=table.column("logp").to_numpy()[order].astype(np.float32))
+        token_shards._save(f"{folder}/{key[0].as_py()}.npz", data.getvalue())
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int64())})
+
+    flat = scored.select("gram.hi", "gram.lo", "logp").withColumn("shard", F.expr(f"pmod(xxhash64(hi, lo), {n}L)"))
+    found = flat.groupBy("shard").applyInArrow(write, "shard long").collect()  # one number per file
+    return sorted(f"{folder}/{r.shard}.npz" for r in found)
+
+
+@lru_cache(SHARDS_KEPT)
+def _scores(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First halves, place of the first half and last half as one number, and values of a file's n-grams."""
+    held = np.load(io.BytesIO(token_shards._load(path)))
+    first, at = np.unique(held["hi"], return_inverse=True)
+    return first, (at.astype(np.int64) << 2 * CODE_BITS) | held["lo"], held["logp"]
+
+
+def _looked_up(files: list[str], hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(hi), np.float64)
+    for path in files:
+        first, keys, logp = _scores(path)
+        at = np.minimum(np.searchsorted(first, hi), len(first) - 1)
+        key = np.where(first[at] == hi, (at << 2 * CODE_BITS) | lo, -1)
+        place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        # An n-gram is in one file.
+        out += np.where(keys[place] == key, logp[place], 0.0)
+    return out
+
+
+def perplexities(docs: DataFrame, scored: DataFrame | list[str], text_col: str = "text") -> DataFrame:
     """``docs`` with ``kn_chars`` and ``kn_score`` (mean negative log-probability per character; null without any).
 
-    ``scored``: (gram, logp) for all n-grams of the texts.
+    ``scored``: (gram, logp) for all n-grams of the texts, or the files that ``write_scores`` made of them.
     """
-    table = scored.select("gram", F.col("logp").cast("float").alias("logp")).toArrow()
-    if table.num_rows > CLASSES**ORDER:
-        raise ValueError("n-grams are not distinct")
-    grams, logp = table.column("gram").to_numpy(), table.column("logp").to_numpy()
-    by = np.argsort(grams)
-    shared = docs.sparkSession.sparkContext.broadcast((grams[by].astype(np.uint32), logp[by]))  # at most CLASSES**ORDER
+    files = scored if isinstance(scored, list) else write_scores(scored)
     at = docs.columns.index(text_col)
 
     def run(batches):
-        keys, values = shared.value
-        dense = np.zeros(CLASSES**ORDER, np.float32)
-        dense[keys] = values
         for batch in slices(batches):
             sums, sizes = [], []
-            for grams, size in _pieces([x or "" for x in batch.column(at).to_pylist()]):
-                cost = np.concatenate([[0.0], np.cumsum(dense[grams], dtype=np.float64)])
+            for hi, lo, of, size in _pieces([x or "" for x in batch.column(at).to_pylist()]):
+                cost = np.concatenate([[0.0], np.cumsum(_looked_up(files, hi, lo)[of])])
                 ends = np.cumsum(size)
                 sums.append(cost[ends - size] - cost[ends])
                 sizes.append(size)
@@ -229,7 +276,7 @@ def quality(
     docs = docs.select(*[F.col(f"`{x}`") for x in own])
     trusted = _trusted(docs, labels, id_col, text_col, lang_col, label_col)
     model = Model(count_ngrams(trusted, text_col))
-    scored = materialize(model.score(count_ngrams(docs.select(text_col), text_col).select("gram")), "scored")
+    scored = write_scores(materialize(model.score(count_ngrams(docs.select(text_col), text_col).select("gram")), "scored"))
     # Only what is trusted has to be scored for the limits.
     scores = materialize(perplexities(trusted, scored, text_col).drop(text_col), "scores")
     found = limits(scores, "lang", high, reach)

@@ -68,6 +68,34 @@ def test_junk_goes_and_prose_stays(spark):
     assert sum(got[i] for i in range(200)) >= 199 and not any(got[200 + i] for i in range(30))
 
 
+def test_scripts_beyond_latin_are_judged(spark, monkeypatch):
+    """Letters beyond ASCII, capitals and digits differ; scores lie in several files, and ranks come from sorting."""
+    monkeypatch.setattr(kn, "SHARD_GRAMS", 300)
+    rng = random.Random(6)
+    cyrillic = lambda t: "".join(chr(ord(c) - 97 + 0x430) if "a" <= c <= "z" else c for c in t.lower())
+    good = [cyrillic(prose(rng, 60)) for _ in range(60)]
+    junk = ["".join(rng.sample(t, len(t))) for t in good[:10]]
+    docs = spark.createDataFrame(list(enumerate(good + junk)), "doc_id long, text string").withColumn("lang", F.lit("ru"))
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 60, 2)], "doc_id long, quality int")
+    got = {r.doc_id: (r.kn_keep, r.kn_score) for r in kn.quality(docs, labels).collect()}
+    assert sum(got[i][0] for i in range(60)) >= 58 and not any(got[60 + i][0] for i in range(10))
+    p = plain_model(good[::2])
+    c = kn.class_codes(junk[0]).tolist()
+    assert abs(got[60][1] + np.mean([math.log(p(tuple(c[i : i + kn.ORDER]))) for i in range(len(junk[0]))])) < 1e-4
+    assert len({tuple(kn.class_codes(x)) for x in ("a", "A", "B", "1", "2", "\u0430", "\u0431", "\U0001f600")}) == 8
+
+
+def test_ranks_by_table_and_by_sorting_agree(monkeypatch):
+    texts = [kn.class_codes(x) for x in ("abcabc", "", "x", "\U0010ffff\u4e2d ab")]
+    table = kn.ngrams(texts)
+    monkeypatch.setattr(kn, "DENSE", 0)
+    assert all((a == b).all() for a, b in zip(table, kn.ngrams(texts)))
+    codes = [t.tolist() for t in texts]
+    want = [tuple(c[i : i + 4]) for c in codes for i in range(len(c) - 3)]
+    hi, lo, of = table
+    assert [(hi[i] >> 21, hi[i] & kn.MASK, lo[i] >> 21, lo[i] & kn.MASK) for i in of] == want
+
+
 def test_empty_tables_and_no_labels(docs, empty, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert kn.quality(empty, none).collect() == []
