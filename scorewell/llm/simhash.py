@@ -87,7 +87,7 @@ def ball_masks(radius: int) -> np.ndarray:
     return np.array([sum(x) for r in range(radius + 1) for x in combinations(one, r)], np.uint64)
 
 
-def _forest(pairs: np.ndarray) -> list[tuple[int, int]]:
+def spanning_forest(pairs: np.ndarray) -> list[tuple[int, int]]:
     """As many of the pairs as join all that the pairs join."""
     root: dict[int, int] = {}
 
@@ -139,7 +139,7 @@ def _links(items: DataFrame, radius: int) -> DataFrame:
         keys, fps = keys[order], fps[order]
         same = keys[1:] == keys[:-1]
         lead = np.concatenate([[True], ~same]) if len(keys) else np.zeros(0, bool)
-        forest = _forest(np.unique(np.stack([fps[:-1][same], fps[1:][same]], axis=1), axis=0)) if len(keys) else []
+        forest = spanning_forest(np.unique(np.stack([fps[:-1][same], fps[1:][same]], axis=1), axis=0)) if len(keys) else []
         u, v = [x[0] for x in forest], [x[1] for x in forest]
         columns = [keys[lead].view(np.int64), fps[lead], np.zeros(int(lead.sum()), np.int64)], [np.zeros(len(u), np.int64), u, v]
         linked = pa.array(np.concatenate([np.zeros(int(lead.sum()), bool), np.ones(len(u), bool)]))
