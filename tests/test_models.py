@@ -259,3 +259,28 @@ def test_missing_table(spark, tmp_path):
     with pytest.raises(ValueError):
         tables.split_features_target(spark.range(1), "label")
     assert len(tables.transaction_schema()) == 30
+
+
+class Reached(Exception):
+    pass
+
+
+def test_folds_and_samples_are_read_back_not_derived_again(spark, monkeypatch):
+    """Scans of a fit read what was written once, without the hashes that deal or draw the rows."""
+    rows = spark.range(400).selectExpr("id", "double(id % 7) AS x", "int(id % 3 = 0) AS label", "1D AS weight")
+
+    def stop(train, *args, **options):
+        raise Reached(train)
+
+    monkeypatch.setattr(models, "fold_statistics", stop)
+    monkeypatch.setattr(models, "fit_best", stop)
+    calls = {
+        "dealt": lambda: models.cross_validate(rows, ["id"], ["x"], [], {}, 2),
+        "sample": lambda: models.fraud_train(rows.drop("weight"), rows, ["id"], ["x"], plan={"LogisticRegression": 1}, fit_rows=200),
+    }
+    for name, call in calls.items():
+        with pytest.raises(Reached) as reached:
+            call()
+        got = reached.value.args[0]
+        assert got.inputFiles() and all(f"/{name}-" in x for x in got.inputFiles())
+        assert got.count() == {"dealt": 400, "sample": 200}[name]
