@@ -74,7 +74,8 @@ def split_by_filter(df: DataFrame, number: Column, numbers: DataFrame, n_numbers
     bits = min(FILTER_WORDS * 64, max(64, 1 << math.ceil(math.log2(BITS_PER_KEY * n_numbers))))
 
     def place(number: Column) -> Column:
-        return F.pmod(F.xxhash64(number), F.lit(bits))
+        # Never null in type either: else the join below tests it for null first, and derives all that a row's hash is made of again for that.
+        return F.xxhash64(number).bitwiseAND(F.lit(bits - 1))
 
     marked = numbers.select(place(F.col("number")).alias("at"))
     mask = F.expr("bit_or(shiftleft(1L, cast(at & 63 AS int)))")

@@ -59,3 +59,14 @@ def test_names_of_helpers_and_empty_tables(spark):
     assert cleaning.drop_duplicates(df.where("false")).collect() == []
     result, report = cleaning.clean_smart(df, outlier_method="none")
     assert ("duplicates_removed", None, 1) in report.steps and result.count() == 2
+
+
+def test_a_rows_hash_is_no_filter(spark):
+    """A filter on the hash of derived columns would derive each of them again, several times and in code too long to be compiled."""
+    df = spark.range(4000).selectExpr("id % 3000 AS id", "concat('$ ', cast(id % 3000 AS string)) AS t")
+    numbers = duplicates.repeated_numbers(df, 1)
+    passed, rest = duplicates.split_by_filter(df, duplicates._numbers(df, 1), numbers, 1000)
+    for part in (passed, rest):
+        plan = part._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        assert any("xxhash64" in line for line in plan)
+        assert not any("Filter" in line and "xxhash64" in line for line in plan)
