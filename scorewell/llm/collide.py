@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorewell.session import materialize
+from scorewell.session import few_files, materialize
 
 HIGH_BITS = 23
 KEYS_PER_BUCKET = 1 << 21
@@ -147,5 +147,7 @@ def meeting_keys(
         .groupBy("bucket")
         .applyInArrow(meet, "part long, hits binary")
     )
-    hits = materialize(met, "hits").repartition(width_of, "part")
-    return dealt.groupBy("part").cogroup(hits.groupBy("part")).applyInArrow(emit, f"key long, {payload}")
+    # No fewer tasks than buckets or parts, of which each is one group.
+    hits = materialize(met, "hits", few_files(items.sparkSession, 0) + buckets).repartition(width_of, "part")
+    found = dealt.groupBy("part").cogroup(hits.groupBy("part")).applyInArrow(emit, f"key long, {payload}")
+    return found.coalesce(few_files(items.sparkSession, 0) + width_of)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from scorewell.llm import token_shards
 from scorewell.llm.batches import slices
 from scorewell.operators.duplicates import split_by_filter
-from scorewell.session import fresh_path, materialize
+from scorewell.session import few_files, fresh_path, materialize
 
 ORDER = 4
 #: Bits of a code: 0 for what stands before a text, else a code point and one.
@@ -137,10 +137,10 @@ def _discounts(counts: DataFrame) -> tuple[float, float, float]:
 class Model:
     """Per order: seen n-grams with discounted share, and contexts with the weight they leave to the order below."""
 
-    def __init__(self, top: DataFrame):
-        """``top``: (gram, n) of order ORDER."""
+    def __init__(self, top: DataFrame, files: int | None = None):
+        """``top``: (gram, n) of order ORDER. ``files`` bounds the files of each table."""
         self.levels: list[tuple[DataFrame, DataFrame]] = []  # order 1 first
-        counts = materialize(top.select("gram.hi", "gram.lo", "n"), "grams")
+        counts = materialize(top.select("gram.hi", "gram.lo", "n"), "grams", files)
         for order in range(ORDER, 0, -1):
             d1, d2, d3 = _discounts(counts)
             cut = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
@@ -151,10 +151,10 @@ class Model:
             )
             shares = counts.select("hi", "lo", "n", *_context("hi", "lo")).join(totals, ["c_hi", "c_lo"])
             shares = shares.select("hi", "lo", ((F.col("n") - cut) / F.col("total")).alias("share"))
-            self.levels.insert(0, (materialize(shares, "shares"), materialize(totals.select("c_hi", "c_lo", "left"), "left")))
+            self.levels.insert(0, (materialize(shares, "shares", files), materialize(totals.select("c_hi", "c_lo", "left"), "left", files)))
             # The order below counts in how many different ways an n-gram is preceded.
             if order > 1:
-                counts = materialize(counts.select(*_last(order - 1)).groupBy("hi", "lo").agg(F.count("*").alias("n")), "grams")
+                counts = materialize(counts.select(*_last(order - 1)).groupBy("hi", "lo").agg(F.count("*").alias("n")), "grams", files)
 
     def score(self, grams: DataFrame) -> DataFrame:
         """(gram, logp) for distinct n-grams of order ORDER, seen in training or not."""
@@ -249,11 +249,12 @@ def _trusted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lan
     joined in full. The plan is the same at every size.
     """
     said = labels.groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).alias("__least"))
-    good = materialize(said.where("__least = 1 AND __id IS NOT NULL").select("__id"), "trusted_ids")
+    good = materialize(said.where("__least = 1 AND __id IS NOT NULL").select("__id"), "trusted_ids", few_files(docs.sparkSession, labels.count()))
+    n_good = good.count()
     slim = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__doc"), F.col(lang_col).cast("string").alias("lang"), text_col)
-    _, likely = split_by_filter(slim, F.xxhash64("__doc"), good.select(F.xxhash64("__id").alias("number")), max(good.count(), 1))
+    _, likely = split_by_filter(slim, F.xxhash64("__doc"), good.select(F.xxhash64("__id").alias("number")), max(n_good, 1))
     exact = likely.join(good.hint("shuffle_merge"), likely["__doc"] == good["__id"], "left_semi")
-    return materialize(exact.select("lang", text_col), "trusted")
+    return materialize(exact.select("lang", text_col), "trusted", few_files(docs.sparkSession, n_good))
 
 
 def quality(
@@ -275,8 +276,10 @@ def quality(
     own = [x for x in docs.columns if x not in ("kn_score", "kn_limit", "kn_keep", "kn_chars")]
     docs = docs.select(*[F.col(f"`{x}`") for x in own])
     trusted = _trusted(docs, labels, id_col, text_col, lang_col, label_col)
-    model = Model(count_ngrams(trusted, text_col))
-    scored = write_scores(materialize(model.score(count_ngrams(docs.select(text_col), text_col).select("gram")), "scored"))
+    spark = docs.sparkSession
+    model = Model(count_ngrams(trusted, text_col), few_files(spark, trusted.count()))
+    scored = model.score(count_ngrams(docs.select(text_col), text_col).select("gram"))
+    scored = write_scores(materialize(scored, "scored", few_files(spark, docs.count())))
     # Only what is trusted has to be scored for the limits.
     scores = materialize(perplexities(trusted, scored, text_col).drop(text_col), "scores")
     found = limits(scores, "lang", high, reach)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from scorewell.llm.batches import slices
 from scorewell.llm.collide import meeting_keys
 from scorewell.llm.graph import components
-from scorewell.session import materialize
+from scorewell.session import few_files, materialize
 
 SEED = 42
 BITS = 64
@@ -114,14 +114,15 @@ def fingerprint_links(fingerprints: DataFrame, radius: int = RADIUS) -> DataFram
     """
     if radius < 4:
         return _links(fingerprints.select("fp", F.xxhash64("fp").alias("part_hash")), radius)
-    near = materialize(_links(fingerprints.select("fp", F.xxhash64("fp").alias("part_hash")), radius // 2), "near_links")
+    files = few_files(fingerprints.sparkSession, fingerprints.count())
+    near = materialize(_links(fingerprints.select("fp", F.xxhash64("fp").alias("part_hash")), radius // 2), "near_links", files)
     roots = materialize(components(near), "near_roots")
     size = roots.groupBy("root").agg(F.ceil(F.count("*") / MEMBERS_PER_SHARE).alias("shares"))
     shared = roots.join(size, "root").select("node", "root", F.pmod(F.xxhash64("node"), F.col("shares")).alias("share"))
     named = fingerprints.select("fp").join(shared, F.col("fp") == F.col("node"), "left")
     owner = F.coalesce("root", "fp")
     items = named.select("fp", owner.alias("owner"), F.xxhash64(owner, F.coalesce("share", F.lit(0))).alias("part_hash"))
-    return near.union(_links(materialize(items, "dealt"), radius)).distinct()
+    return near.union(_links(materialize(items, "dealt", files), radius)).distinct()
 
 
 def _links(items: DataFrame, radius: int) -> DataFrame:

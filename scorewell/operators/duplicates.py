@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorewell.functions.exprs import c, nan_to_null
-from scorewell.session import materialize
+from scorewell.session import few_files, materialize
 
 ROWS_PER_PART = 1 << 20
 ROWS_AT_ONCE = 1 << 22
@@ -81,7 +81,7 @@ def split_by_filter(df: DataFrame, number: Column, numbers: DataFrame, n_numbers
     mask = F.expr("bit_or(shiftleft(1L, cast(at & 63 AS int)))")
     words = marked.groupBy(F.shiftright("at", 6).alias("__word")).agg(mask.alias("__mask"))
     # The filter has FILTER_WORDS rows at most, however many numbers there are.
-    words = F.broadcast(materialize(words, "repeat_filter"))
+    words = F.broadcast(materialize(words, "repeat_filter", few_files(df.sparkSession, n_numbers)))
     rows = df.withColumn("__at", place(number)).withColumn("__word", F.shiftright("__at", 6))
     hit = F.expr("__mask IS NOT NULL AND shiftright(__mask, cast(__at & 63 AS int)) & 1 = 1")
     rows = rows.join(words, "__word", "left")
