@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -160,6 +160,37 @@ def links_in_group(ids: list[int], lines: list[str], key: int, edits: int = EDIT
     return forest, counted
 
 
+def linked_groups(batches: Iterable[pa.RecordBatch], edits: int = EDITS) -> Iterator[pa.RecordBatch]:
+    """(u, v, links) of rows (key, line_id, line) in order of their keys: the forest of each group, and a line's links as (line_id, line_id, links).
+
+    The last group of a batch may go on in the next.
+    """
+    key, ids, lines = None, [], []
+
+    def ended():
+        if len(ids) < 2:
+            return []
+        forest, counted = links_in_group(ids, lines, key & 0xFFFFFFFFFFFFFFFF, edits)
+        return [(u, v, 0) for u, v in forest] + [(i, i, n) for i, n in counted.items()]
+
+    def out(rows):
+        columns = list(zip(*rows)) if rows else [[]] * 3
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["u", "v", "links"])
+
+    for batch in batches:
+        keys, rows = batch.column(0).to_numpy(), []
+        own, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        starts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)] if len(keys) else []
+        for start, end in zip(starts, starts[1:]):
+            if keys[start] != key:
+                rows += ended()
+                key, ids, lines = int(keys[start]), [], []
+            ids += own[start:end]
+            lines += texts[start:end]
+        yield out(rows)
+    yield out(ended())
+
+
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, nth, line, line_id): the lines of every text, without white space at their ends, blank ones left out."""
     lines = F.split(F.col(f"`{text_col}`"), "\n")
@@ -206,14 +237,9 @@ def line_classes(distinct: DataFrame, parts: int, edits: int = EDITS, least: int
 
     met = meeting_keys(items, per_line, LINES_PER_PART, keys_of, "line_id long, line string", rows_of, parts)
 
-    def verify(key, table):
-        ids, texts = table.column("line_id").to_pylist(), table.column("line").to_pylist()
-        forest, counted = links_in_group(ids, texts, key[0].as_py() & 0xFFFFFFFFFFFFFFFF, edits) if len(ids) > 1 else ([], {})
-        rows = [(u, v, 0) for u, v in forest] + [(i, i, n) for i, n in counted.items()]
-        columns = list(zip(*rows)) if rows else [[]] * 3
-        return pa.table([pa.array(x, pa.int64()) for x in columns], ["u", "v", "links"])
-
-    found = materialize(met.groupBy("key").applyInArrow(verify, "u long, v long, links long"), "links")
+    # Very many groups have two lines, so they come to Python in common batches and not one by one.
+    together = met.repartition("key").sortWithinPartitions("key").select("key", "line_id", "line")
+    found = materialize(together.mapInArrow(lambda batches: linked_groups(batches, edits), "u long, v long, links long"), "links")
     roots = components(found.where("u <> v").select("u", "v"))
     counts = found.where("u = v").groupBy("u").agg(F.sum("links").alias("n_links"))
     linked = materialize(

@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -106,3 +107,34 @@ def test_texts_are_shuffled_once(spark):
 
 def test_empty_table(empty):
     assert ld.dedup_lines(empty).collect() == []
+
+
+def test_groups_come_in_common_batches(spark):
+    """Groups of two lines are not handed to Python one by one, and a group that batches cut gives the same links."""
+    rng = random.Random(4)
+    lines = [prose(rng, 9) for _ in range(30)]
+    lines += [x[:4] + "#" + x[5:] for x in lines] + [lines[0] + "?", lines[0] + "!!", lines[1] + "."]
+    groups = defaultdict(list)
+    for i, x in enumerate(lines):
+        for key in ld.keys_of_line(x):
+            groups[key].append(i)
+    rows = sorted((key if key < 1 << 63 else key - (1 << 64), i, lines[i]) for key, ids in groups.items() for i in ids)
+    want = []
+    for key, ids in groups.items():
+        forest, counted = ld.links_in_group(ids, [lines[i] for i in ids], key)
+        want += [(u, v, 0) for u, v in forest] + [(i, i, n) for i, n in counted.items()]
+    for size in (1, 2, 7, len(rows)):
+        parts = [rows[i : i + size] for i in range(0, len(rows), size)] + [[]]
+        types = {"key": pa.int64(), "line_id": pa.int64(), "line": pa.string()}
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in p], t) for k, t in enumerate(types.values())], list(types)) for p in parts]
+        got = [tuple(r.values()) for b in ld.linked_groups(batches) for r in b.to_pylist()]
+        assert sorted(got) == sorted(want) and want
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    calls, own = [], ld.materialize
+    ld.materialize = lambda df, name="stage", files=None: calls.append((name, df._jdf.queryExecution().toString())) or own(df, name, files)
+    try:
+        ld.dedup_lines(docs).collect()
+    finally:
+        ld.materialize = own
+    plan = dict(calls)["links"]
+    assert "MapInArrow" in plan
