@@ -284,3 +284,19 @@ def test_folds_and_samples_are_read_back_not_derived_again(spark, monkeypatch):
         got = reached.value.args[0]
         assert got.inputFiles() and all(f"/{name}-" in x for x in got.inputFiles())
         assert got.count() == {"dealt": 400, "sample": 200}[name]
+
+
+def test_fraud_training_fits_all_rows(spark, monkeypatch):
+    """More rows than any bound that a sample once had: all of them come to the fit, and their classes make the weights."""
+    n = 2_000_100
+    rows = spark.range(n).selectExpr("id", "double(id % 7) AS x", "int(id % 3 = 0) AS label")
+
+    def stop(train, *args, **options):
+        raise Reached(train)
+
+    monkeypatch.setattr(models, "fit_best", stop)
+    with pytest.raises(Reached) as reached:
+        models.fraud_train(rows, rows, ["id"], ["x"], plan={"LogisticRegression": 1})
+    got = reached.value.args[0].groupBy("label").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).collect()
+    assert sum(r.n for r in got) == n
+    assert [r.w for r in got] == [pytest.approx(n / 2)] * 2
